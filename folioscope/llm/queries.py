@@ -5,18 +5,95 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import bpe
+from folioscope.llm import bpe, near_copies, similar_vectors, visual_form
 from folioscope.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors.neighbour_pairs(table(spark, sf_dir, "chunks"), "point_no", "dense_vector")
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked neighbours of every point."""
+    found = similar_vectors.similar_vectors(table(spark, sf_dir, "chunks"), "point_no", "dense_vector")
+    return found.select("point_no", "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copy_pairs(table(spark, sf_dir, "chunks"), "point_no", "markdown")
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per point: its class of equal word sets and the number of near copies of the class."""
+    return near_copies.near_copy_classes(table(spark, sf_dir, "chunks"), "point_no", "markdown")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual_form.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual_form.with_visual_form(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+NEIGHBOURS_SQL = """
+usable AS (
+  SELECT point_no, any_value(dense_vector)::DOUBLE[] AS v FROM chunks
+  WHERE len(dense_vector) = 64 AND len(list_filter(dense_vector, lambda x: x IS NULL OR isnan(x))) = 0
+    AND len(list_filter(dense_vector, lambda x: x <> 0)) > 0
+  GROUP BY point_no
+), ranked AS (
+  SELECT a.point_no, b.point_no AS neighbour, list_cosine_similarity(a.v, b.v) AS cosine,
+    row_number() OVER (PARTITION BY a.point_no ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.point_no) AS rank
+  FROM usable a JOIN usable b ON a.point_no <> b.point_no
+)"""
+
+P3_FOUND_SQL = f"""
+WITH {NEIGHBOURS_SQL}
+SELECT DISTINCT least(point_no, neighbour) AS point_no_a, greatest(point_no, neighbour) AS point_no_b FROM ranked WHERE rank <= 5
+"""
+
+P3_NEIGHBOURS_SQL = f"""
+WITH {NEIGHBOURS_SQL}
+SELECT point_no, CAST(rank AS INT) AS rank, neighbour, round(cosine, 6) AS cosine FROM ranked WHERE rank <= 5
+"""
+
+WORD_SETS_SQL = r"""
+points AS (SELECT point_no, any_value(markdown) AS markdown FROM chunks WHERE markdown IS NOT NULL GROUP BY point_no),
+word_sets AS (
+  SELECT point_no, list_distinct(list_filter(string_split_regex(lower(markdown), '[^\p{L}\p{Nd}_]+'), lambda w: strlen(w) > 1)) AS words
+  FROM points
+), words AS (SELECT point_no, len(words) AS n, unnest(words) AS word FROM word_sets)"""
+
+P5_FOUND_SQL = rf"""
+WITH {WORD_SETS_SQL}
+SELECT a.point_no AS point_no_a, b.point_no AS point_no_b
+FROM words a JOIN words b ON a.word = b.word AND a.point_no < b.point_no
+GROUP BY a.point_no, b.point_no, a.n, b.n HAVING count(*) >= 0.75 * (a.n + b.n - count(*))
+"""
+
+P5_CLASSES_SQL = rf"""
+WITH {WORD_SETS_SQL}, sorted AS (SELECT point_no, list_sort(words) AS words FROM word_sets WHERE len(words) > 0),
+classes AS (SELECT words, min(point_no) AS rep, count(*) AS class_size FROM sorted GROUP BY words),
+rep_words AS (SELECT rep, len(words) AS n, unnest(words) AS word FROM classes),
+pairs AS (
+  SELECT a.rep AS x, b.rep AS y FROM rep_words a JOIN rep_words b ON a.word = b.word AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.75 * (a.n + b.n - count(*))
+), links AS (SELECT rep, count(*) AS n_links FROM (SELECT x AS rep FROM pairs UNION ALL SELECT y FROM pairs) GROUP BY rep)
+SELECT s.point_no, c.rep AS class_id, c.class_size, coalesce(l.n_links, 0) AS n_links
+FROM sorted s JOIN classes c ON s.words = c.words LEFT JOIN links l ON l.rep = c.rep
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_classes": p5_classes, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL}
