@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, near_copies, similar_vectors, visual_form
+from folioscope.llm import bpe, containers, near_copies, oversized, repeated_lines, similar_vectors, visual_form
 from folioscope.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.repeated_lines(table(spark, sf_dir, "stored_pages")).select("page_no", "line_no")
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the repeated lines."""
+    return repeated_lines.without_repeated_lines(table(spark, sf_dir, "stored_pages"))
+
+
+def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate blocks of each source: their number of line forms and of the pages of the most frequent one."""
+    occurrences = repeated_lines.line_occurrences(table(spark, sf_dir, "stored_pages"))
+    blocks = repeated_lines.boilerplate_lines(repeated_lines.materialize(occurrences, "lines"))
+    return blocks.groupBy("source", "block").agg(F.count("*").alias("n_lines"), F.max("n_pages").alias("most_pages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.neighbour_pairs(table(spark, sf_dir, "chunks"), "point_no", "dense_vector")
 
@@ -21,6 +37,15 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("point_no", "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized.oversized_cases(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_configs"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized chunk."""
+    return oversized.oversized_pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_configs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copy_pairs(table(spark, sf_dir, "chunks"), "point_no", "markdown")
 
@@ -34,6 +59,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text, or of every piece of one above 2,048 tokens."""
+    return containers.fill_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the fewest possible by the sum of sizes, and the space left over."""
+    placed = p7_containers(spark, sf_dir).agg(F.sum("n_units").alias("n_tokens"), (F.max("container_no") + 1).alias("n_containers"))
+    return placed.select(
+        "n_containers", F.ceil(F.col("n_tokens") / containers.CAPACITY).alias("lower_bound"),
+        (F.col("n_containers") * containers.CAPACITY - F.col("n_tokens")).alias("space_left"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_form.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -61,7 +100,7 @@ SELECT DISTINCT least(point_no, neighbour) AS point_no_a, greatest(point_no, nei
 
 P3_NEIGHBOURS_SQL = f"""
 WITH {NEIGHBOURS_SQL}
-SELECT point_no, CAST(rank AS INT) AS rank, neighbour, round(cosine, 6) AS cosine FROM ranked WHERE rank <= 5
+SELECT point_no, CAST(rank AS INT) AS rank, neighbour, round(round(cosine, 9), 6) AS cosine FROM ranked WHERE rank <= 5
 """
 
 WORD_SETS_SQL = r"""
@@ -91,9 +130,33 @@ FROM sorted s JOIN classes c ON s.words = c.words LEFT JOIN links l ON l.rep = c
 """
 
 
+P2_FOUND_SQL = r"""
+WITH pages AS (
+  SELECT page_no, any_value(coalesce(source_id, '')) AS source, any_value(markdown) AS markdown
+  FROM stored_pages WHERE markdown IS NOT NULL GROUP BY page_no
+), split AS (
+  SELECT page_no, source, string_split(replace(markdown, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM pages
+), lines AS (SELECT page_no, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM split),
+forms AS (
+  SELECT page_no, source, line_no,
+    regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[^\p{L}\p{Nd}]+', '', 'g') AS form FROM lines
+), frequent AS (
+  SELECT source, form FROM forms WHERE length(form) >= 12 GROUP BY source, form HAVING count(DISTINCT page_no) >= 5
+)
+SELECT page_no, CAST(line_no AS INT) AS line_no FROM forms JOIN frequent USING (source, form)
+"""
+
+
+QUERIES = (
+    p2_found, p2_clean, p2_blocks, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_classes, p6_ids, p7_containers, p7_space, p8_found, p8_forms,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_classes": p5_classes, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {query.__name__: query for query in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL}
+    return {
+        "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL,
+    }
