@@ -14,7 +14,7 @@ FNV32_PRIME = 16777619
 
 
 def token_estimate(text: Column) -> Column:
-    """ceil(code points / 4), at least 1; null for null."""
+    """ceil(code points / 4), at least 1, also for null."""
     return F.greatest(F.lit(1), F.ceil(F.char_length(text) / CHARS_PER_TOKEN)).cast("int")
 
 

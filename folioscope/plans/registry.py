@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import snapshots
+from folioscope.plans import catalogs, retrieval, snapshots, texts
 
-FLAGSHIP = "p1_found"
-MODULES = (snapshots,)
+FLAGSHIP = "hybrid_search"
+MODULES = (snapshots, texts, retrieval, catalogs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
