@@ -52,7 +52,7 @@ def stored_point_id(digest: Column) -> Column:
 
 def safe_name(text: Column) -> Column:
     kept = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]", "_"), "^_+|_+$", "")
-    return F.left(F.when(kept == "", "source").otherwise(kept), F.lit(NAME_LENGTH))
+    return F.left(F.when(F.coalesce(kept, F.lit("")) == "", "source").otherwise(kept), F.lit(NAME_LENGTH))
 
 
 def safe_path(text: Column) -> Column:
