@@ -8,6 +8,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -172,24 +173,27 @@ def table_fetch(pages: DataFrame) -> Fetch:
 
     Redirects are followed in joins, at most ten; a URL the table lacks has status 404.
     """
-    known = pages.select(
-        canonical_url(F.col("url")).alias("at"), "status", "content_type", F.col("body").cast("binary").alias("body"), canonical_url(F.col("redirect_to")).alias("redirect_to")
+    known = materialize(
+        pages.select(
+            canonical_url(F.col("url")).alias("at"), "status", "content_type", F.col("body").cast("binary").alias("body"), canonical_url(F.col("redirect_to")).alias("redirect_to")
+        ),
+        "pages",
     )
 
     def fetch(frontier: DataFrame) -> DataFrame:
         at = frontier.select(F.col("url").alias("requested"), F.col("url").alias("at"), F.array().cast("array<struct<url:string,status:int,target:string>>").alias("hops"))
-        done = None
-        for hop in range(MAX_REDIRECTS + 1):
-            met = at.join(known, "at", "left")
-            end = met.where("redirect_to is null").select("requested", F.col("at").alias("final_url"), F.coalesce("status", F.lit(404)).alias("status"), "content_type", "body", "hops", F.lit(None).cast("string").alias("error"))
-            done = end if done is None else done.unionByName(end)
-            at = met.where("redirect_to is not null").select(
-                "requested", F.col("redirect_to").alias("at"), F.concat("hops", F.array(F.struct(F.col("at").alias("url"), F.coalesce("status", F.lit(302)).alias("status"), F.col("redirect_to").alias("target")))).alias("hops")
-            )
-            if hop == 0 and at.isEmpty():
-                return done
-        lost = at.select("requested", F.col("at").alias("final_url"), F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("binary").alias("body"), "hops", F.lit("too many redirects").alias("error"))
-        return done.unionByName(lost)
+        none = lambda kind: F.lit(None).cast(kind)
+        done: list[DataFrame] = []
+        for _ in range(MAX_REDIRECTS + 1):
+            met = materialize(at.join(known, "at", "left"), "fetched")
+            done.append(met.where("redirect_to is null").select("requested", F.col("at").alias("final_url"), F.coalesce("status", F.lit(404)).alias("status"), "content_type", "body", "hops", none("string").alias("error")))
+            moved = met.where("redirect_to is not null")
+            if moved.isEmpty():
+                return reduce(DataFrame.unionByName, done)
+            hop = F.struct(F.col("at").alias("url"), F.coalesce("status", F.lit(302)).alias("status"), F.col("redirect_to").alias("target"))
+            at = moved.select("requested", F.col("redirect_to").alias("at"), F.concat("hops", F.array(hop)).alias("hops"))
+        lost = at.select("requested", F.col("at").alias("final_url"), none("int").alias("status"), none("string").alias("content_type"), none("binary").alias("body"), "hops", F.lit("too many redirects").alias("error"))
+        return reduce(DataFrame.unionByName, [*done, lost])
 
     return fetch
 
@@ -235,62 +239,86 @@ def crawl(spark: SparkSession, spec: SourceSpec, fetch: Fetch, initial: list[str
     """
     for selector in spec.selectors():
         parse_selector(selector)
-    seed = F.lit(spec.seed_url)
-    start = initial or [spec.seed_url]
-    frontier = spark.createDataFrame([(u,) for u in start], "given string").select(canonical_url(F.col("given")).alias("url"), in_scope(canonical_url(F.col("given")), canonical_url(seed)).alias("ok"))
-    outside = [r.url for r in frontier.where("not ok or url is null").collect()]
-    if outside or not spec.seed_url.lower().startswith(("http://", "https://")):
+    given = [spec.seed_url, *(initial or [spec.seed_url])]
+    seed, *start = [r.url for r in spark.createDataFrame([(u,) for u in given], "url string").coalesce(1).select(canonical_url(F.col("url")).alias("url")).collect()]
+    start = list(dict.fromkeys(start))
+    frontier = spark.createDataFrame([(u,) for u in start], "url string")
+    outside = [r.url for r in frontier.where(~in_scope(F.col("url"), F.lit(seed))).collect()]
+    if outside or not seed.startswith(("http://", "https://")):
         raise ValueError(f"not in the scope of {spec.seed_url}: {outside}")
-    known = spark.createDataFrame([], "url string") if known is None else known.select("url")
-    frontier = materialize(frontier.select("url").distinct(), "frontier")
-    seen = materialize(known.unionByName(frontier).distinct(), "seen")
-    documents, events = None, None
-    null = F.lit(None)
+    known = (spark.createDataFrame([], "url string") if known is None else known.select("url")).distinct()
+    levels: list[DataFrame] = []
     while not frontier.isEmpty():
-        parsed = materialize(parse_fetched(fetch(frontier), spec.selectors()).withColumn("final_url", canonical_url(F.col("final_url"))), "level")
-        is_seed = F.col("requested") == canonical_url(seed)
-        good = F.col("error").isNull() & F.col("status").between(200, 299)
-        bad = parsed.where(~good)
-        other = parsed.where(good & ~F.col("is_html"))
-        pages = parsed.where(good & F.col("is_html"))
-        links = lambda rows, col: rows.select(F.col("final_url").alias("page"), canonical_url(col).alias("url")).withColumn("ok", in_scope(F.col("url"), canonical_url(seed)))
-        refreshed = pages.where(F.coalesce("refresh", F.lit("")) != "")
-        plain = pages.where(F.coalesce("refresh", F.lit("")) == "")
-        to = materialize(
-            links(plain, F.explode("links")).withColumn("how", F.lit("link")).unionByName(links(refreshed.withColumn("t", resolve_url(F.col("final_url"), F.col("refresh"))), F.col("t")).withColumn("how", F.lit("refresh"))), "links"
-        )
-        ranked = plain.where("not missing").withColumn("nth", F.row_number().over(Window.partitionBy("final_url").orderBy("requested")))
-        have = known if documents is None else known.unionByName(documents.select("url"))
-        fresh = ranked.where("nth = 1").join(have.select(F.col("url").alias("final_url")), "final_url", "left_anti")
-        again = ranked.where("nth > 1").unionByName(ranked.where("nth = 1").join(have.select(F.col("url").alias("final_url")), "final_url", "left_semi").select(*ranked.columns))
-        own = fresh.select(
-            artifact_document_id(F.lit(spec.source), F.lit(spec.version), F.col("final_url")).alias("doc_id"), F.col("final_url").alias("url"), "title",
-            document_filename(artifact_document_id(F.lit(spec.source), F.lit(spec.version), F.col("final_url"))).alias("filename"),
-            content_hash(F.col("markdown")).alias("content_hash"), (F.lit(crawled_at).cast("timestamp") if crawled_at else F.current_timestamp()).alias("crawled_at"), "markdown",
-        )
-        failed_seed = other.where(is_seed)
-        level = [
-            _events(plain.where("not missing"), "fetched", "final_url", F.col("status"), null, null),
-            _events(plain.where("missing"), "selector_missing", "final_url", F.col("status"), null, null),
-            _events(bad, "failed", "requested", F.col("status"), F.coalesce("error", F.concat(F.lit("status "), F.col("status").cast("string"))), null),
-            _events(failed_seed, "failed", "requested", F.col("status"), F.concat(F.lit("not HTML: "), F.col("media")), null),
-            _events(other.where(~is_seed), "skipped", "requested", F.col("status"), F.concat(F.lit("not HTML: "), F.col("media")), null),
-            _events(again, "skipped", "requested", F.col("status"), F.lit("duplicate canonical page"), F.col("final_url")),
-            _events(to.where("not ok and how = 'link'"), "skipped", "url", null, F.lit("out of scope"), null),
-            _events(to.where("not ok and how = 'refresh'"), "skipped", "page", null, F.lit("redirect out of scope"), F.col("url")),
-            _events(to.where("ok and how = 'refresh'"), "redirected", "page", null, F.lit("meta refresh"), F.col("url")),
-            parsed.select(F.explode("hops").alias("h")).select(F.lit("redirected").alias("kind"), "h.url", "h.status", F.lit(None).cast("string").alias("detail"), "h.target"),
-        ]
-        for rows in level:
-            events = rows if events is None else events.unionByName(rows)
-        events = materialize(events.distinct(), "events")
-        documents = materialize(own if documents is None else documents.unionByName(own), "documents")
-        finals = parsed.select(F.col("final_url").alias("url"))
-        seen = materialize(seen.unionByName(finals).distinct(), "seen")
-        frontier = materialize(to.where("ok").select("url").distinct().join(seen, "url", "left_anti"), "frontier")
-        seen = materialize(seen.unionByName(frontier), "seen")
+        fetched = parse_fetched(fetch(frontier), spec.selectors()).withColumn("final_url", canonical_url(F.col("final_url")))
+        levels.append(materialize(fetched.withColumn("level", F.lit(len(levels))), "level"))
+        seen = known
+        for rows in levels:
+            seen = seen.unionByName(rows.select(F.explode(F.array("requested", "final_url")).alias("url")))
+        to = link_targets(levels[-1], seed).where("ok").select("url").distinct()
+        frontier = materialize(to.join(seen.distinct(), "url", "left_anti"), "frontier")
+    parsed = levels[0]
+    for rows in levels[1:]:
+        parsed = parsed.unionByName(rows)
+    documents = materialize(crawled_documents(parsed, spec, known, crawled_at), "documents")
+    events = materialize(distinct_events(crawl_events(parsed, seed, known)), "events")
     state = is_complete(events).first()
-    return Crawled(spec, documents.orderBy("url"), distinct_events(events), state.complete, state.failed, state.missing)
+    return Crawled(spec, documents.orderBy("url"), events, state.complete, state.failed, state.missing)
+
+
+GOOD = "error is null and status between 200 and 299"
+REFRESHED = "coalesce(refresh, '') <> ''"
+
+
+def link_targets(parsed: DataFrame, seed: str) -> DataFrame:
+    """page, url, how (link or refresh), ok: all references of good HTML pages, canonical, and whether in scope.
+
+    A page with a meta refresh leads only to its target; pages whose content is missing still give their links.
+    """
+    pages = parsed.where(GOOD).where("is_html")
+    followed = pages.where(f"not ({REFRESHED})").select("final_url", F.explode("links").alias("to"), F.lit("link").alias("how"))
+    turned = pages.where(REFRESHED).select("final_url", resolve_url(F.col("final_url"), F.col("refresh")).alias("to"), F.lit("refresh").alias("how"))
+    targets = followed.unionByName(turned).select(F.col("final_url").alias("page"), canonical_url(F.col("to")).alias("url"), "how")
+    return targets.withColumn("ok", F.coalesce(in_scope(F.col("url"), F.lit(seed)), F.lit(False)))
+
+
+def content_pages(parsed: DataFrame, known: DataFrame) -> DataFrame:
+    """Good pages with content, numbered within their final URL; 0 for pages whose final URL is known already."""
+    pages = parsed.where(GOOD).where(f"is_html and not ({REFRESHED}) and not missing")
+    nth = F.row_number().over(Window.partitionBy("final_url").orderBy("level", "requested"))
+    old = known.select(F.col("url").alias("final_url"), F.lit(True).alias("old"))
+    return pages.withColumn("nth", nth).join(old, "final_url", "left").withColumn("nth", F.when(F.col("old"), 0).otherwise(F.col("nth")))
+
+
+def crawled_documents(parsed: DataFrame, spec: SourceSpec, known: DataFrame, crawled_at) -> DataFrame:
+    own_id = artifact_document_id(F.lit(spec.source), F.lit(spec.version), F.col("final_url"))
+    return content_pages(parsed, known).where("nth = 1").select(
+        own_id.alias("doc_id"), F.col("final_url").alias("url"), "title", document_filename(own_id).alias("filename"), content_hash(F.col("markdown")).alias("content_hash"),
+        (F.lit(crawled_at).cast("timestamp") if crawled_at else F.current_timestamp()).alias("crawled_at"), "markdown",
+    )
+
+
+def crawl_events(parsed: DataFrame, seed: str, known: DataFrame) -> DataFrame:
+    """All events of a crawl. A seed that is no HTML page failed; any other such page is skipped."""
+    null = F.lit(None)
+    to = link_targets(parsed, seed)
+    content = content_pages(parsed, known)
+    other = parsed.where(GOOD).where("not is_html")
+    kind = F.concat(F.lit("not HTML: "), F.col("media"))
+    status = F.col("status")
+    hops = parsed.select(F.explode("hops").alias("h")).select("h.*")
+    rows = [
+        _events(content, "fetched", "final_url", status, null, null),
+        _events(parsed.where(GOOD).where(f"is_html and not ({REFRESHED}) and missing"), "selector_missing", "final_url", status, null, null),
+        _events(parsed.where(f"not ({GOOD}) or status is null"), "failed", "requested", status, F.coalesce("error", F.concat(F.lit("status "), status.cast("string"))), null),
+        _events(other.where(F.col("requested") == seed), "failed", "requested", status, kind, null),
+        _events(other.where(F.col("requested") != seed), "skipped", "requested", status, kind, null),
+        _events(content.where("nth <> 1"), "skipped", "requested", status, F.lit("duplicate canonical page"), F.col("final_url")),
+        _events(to.where("not ok and how = 'link'"), "skipped", "url", null, F.lit("out of scope"), null),
+        _events(to.where("not ok and how = 'refresh'"), "skipped", "page", null, F.lit("redirect out of scope"), F.col("url")),
+        _events(to.where("ok and how = 'refresh'"), "redirected", "page", null, F.lit("meta refresh"), F.col("url")),
+        _events(hops, "redirected", "url", status, null, F.col("target")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def retry(spark: SparkSession, old: Crawled, fetch: Fetch, selectors: list[str] | None = None, crawled_at=None) -> Crawled:
