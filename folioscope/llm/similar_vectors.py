@@ -82,6 +82,10 @@ def matrix(batch: pa.RecordBatch, column: str = "vec") -> np.ndarray:
     return np.asarray(lists.values, np.float32)[offsets[0] : offsets[-1]].reshape(len(lists), -1)
 
 
+def list_array(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -98,6 +102,19 @@ def mindist(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return total
 
 
+def boxes_within(points: np.ndarray, low: np.ndarray, high: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the boxes within reach of any of the points, and whether each point reaches them (points x boxes).
+
+    Boxes that the points' own bounding box can't reach are left out first, so a block of points that lie together is
+    compared with few boxes.
+    """
+    gap = np.maximum(np.maximum(low - points.max(axis=0), points.min(axis=0) - high), 0)
+    some = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= reach.max())
+    meets = mindist(points, low[some], high[some]) <= reach[:, None]
+    kept = meets.any(axis=0)
+    return some[kept], meets[:, kept]
+
+
 class Part:
     """The vectors of one partition, in memory by leaf with the leaves' bounding boxes."""
 
@@ -133,18 +150,18 @@ class Part:
     def search(self, exact: np.ndarray, projected: np.ndarray, bound: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and double-precision similarities of the best in this partition for a block of queries.
 
-        First the leaf nearest to the block's middle is verified, which gives every query a k-th distance (or
+        First the two leaves nearest to the block's middle are verified, which gives every query a k-th distance (or
         ``bound``, if it is better). By the chi-square test a leaf can be left out once its squared projected
         distance is above ``stop`` times the squared k-th distance; all others are verified.
         """
         single = exact.astype(np.float32)
-        near = mindist(projected, self.low, self.high)
-        first = np.unique(near.argmin(axis=1))
+        middle = projected.mean(axis=0)[None]
+        first = mindist(middle, self.low, self.high)[0].argsort(kind="stable")[:2]
         rows, similar = self.best(single, self.rows_of(first))
         if similar.shape[1] >= self.wanted:
             bound = np.maximum(bound, similar.min(axis=1))
         reach = stop * np.maximum(2 - 2 * bound, 0) + 1e-6
-        needed = np.setdiff1d(np.flatnonzero((near <= reach[:, None]).any(axis=0)), first)
+        needed = np.setdiff1d(boxes_within(projected, self.low, self.high, reach)[0], first)
         if len(needed):
             more, also = self.best(single, self.rows_of(needed))
             rows, similar = np.concatenate((rows, more), 1), np.concatenate((similar, also), 1)
@@ -227,7 +244,7 @@ def _stream(rows: DataFrame, parts: int, schema: str, tree: Tree, wanted: int, s
                 [
                     pa.array(part.keys[0][block]), pa.array(part.keys[1][block]),
                     pa.array(lists, pa.list_(pa.struct([("cos", pa.float64()), ("id", pa.int64())]))), pa.array(kth),
-                    pa.array(part.vectors[block].tolist(), pa.list_(pa.float32())), pa.array(route(part.projected[block], kth, pid), pa.list_(pa.int32())),
+                    list_array(part.vectors[block]), pa.array(route(part.projected[block], kth, pid), pa.list_(pa.int32())),
                 ],
                 ["k1", "k2", "top", "bound", "vec", "pids"],
             )
@@ -321,8 +338,10 @@ def similar_vectors(
 
     def route(points: np.ndarray, kth: np.ndarray, pid: int) -> list[list[int]]:
         reach = stop * np.maximum(2 - 2 * kth, 0) + 1e-6
-        meets = mindist(points, low, high) <= reach[:, None]
-        return [[int(p) for p in np.unique(box_part[m]) if p != pid] for m in meets]
+        boxes, meets = boxes_within(points, low, high, reach)
+        owners, first = np.unique(box_part[boxes], return_index=True)  # box_part ascends
+        needed = np.logical_or.reduceat(meets, first, axis=1) if len(boxes) else np.zeros((len(points), 0), bool)
+        return [[p for p in owners[m].tolist() if p != pid] for m in needed]
 
     placed = vectors.mapInArrow(place, f"{POINT}, pid int").withColumn("kind", F.lit(0)).withColumn("bound", F.lit(-2.0))
     columns = ["pid", "kind", "k1", "k2", "vec", "ids", "bound"]
