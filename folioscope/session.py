@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN_FOLDERS: set[str] = set()
 PACKAGE_ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -24,7 +27,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    return f"file:///tmp/folioscope-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"/tmp/folioscope-{spark.sparkContext.applicationId}"
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

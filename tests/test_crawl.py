@@ -1,9 +1,11 @@
+import hashlib
+import json
 from datetime import datetime
 
 import pytest
 
 from folioscope.operators import catalog
-from folioscope.operators.crawl import CrawlError, CrawlSettings, SourceSpec, crawl, fetch_with_retries, reachable, retry, table_fetch
+from folioscope.operators.crawl import EVENT, Crawled, CrawlError, CrawlSettings, SourceSpec, crawl, fetch_with_retries, reachable, retry, table_fetch
 from folioscope.operators.index import index
 from folioscope.sources.artifact import read_artifact, write_artifact
 from folioscope.sources.providers import HashingEmbedder
@@ -105,16 +107,20 @@ def test_artifact_round_trip(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["docs"]
 
 
+def crawled(spark, texts, complete=True):
+    rows = [(SEED + path, "t", hashlib.sha256(text.encode()).hexdigest(), T, text) for path, text in texts.items()]
+    documents = spark.createDataFrame(rows, "url string, title string, content_hash string, crawled_at timestamp, markdown string")
+    return Crawled(spec(version="1"), documents, spark.createDataFrame([], EVENT), complete)
+
+
 def test_index_publish_and_lookup(spark, tmp_path):
     store = SnapshotStore(spark, f"file://{tmp_path}/store")
     with pytest.raises(SourceNotFoundError):
         store.resolve("docs")
-    rows = [("", 200, "text/html", page(["/en/stable/a"], "<main><h1>Top</h1><p>seed words</p></main>"), None), ("/a", 200, "text/html", page([], "<main>words of a</main>"), None)]
-    one = crawl(spark, spec(version="1"), site(spark, rows), crawled_at=T)
+    one = crawled(spark, {"": "# Top\n\nseed words", "/a": "words of a"})
     first = index(spark, one, store, HashingEmbedder(8), "profile", retention=1)
     assert first["embedded"] == 2 and index(spark, one, store, HashingEmbedder(8), "profile", retention=1)["embedded"] == 0
-    rows[1] = ("/a", 200, "text/html", page([], "<main>other words</main>"), None)
-    changed = crawl(spark, spec(version="1"), site(spark, rows), crawled_at=T)
+    changed = crawled(spark, {"": "# Top\n\nseed words", "/a": "other words"})
     third = index(spark, changed, store, HashingEmbedder(8), "profile", retention=1)
     assert (third["reused"], third["embedded"]) == (1, 1)
     assert index(spark, changed, store, HashingEmbedder(8), "another", retention=1)["embedded"] == 2
@@ -128,13 +134,11 @@ def test_index_publish_and_lookup(spark, tmp_path):
     listed = store.list_sources()["sources"]
     assert [s["source"] for s in listed] == ["docs"] and listed[0]["default_version"] == "1" and listed[0]["versions"][0]["chunk_count"] == 2
     assert [r.url for r in store.list_documents("docs").collect()] == [SEED, SEED + "/a"]
-    bad = crawl(spark, spec(version="1"), site(spark, ROWS), crawled_at=T)
+    bad = crawled(spark, {"/b": "text"}, complete=False)
     with pytest.raises(ValueError):
         index(spark, bad, store, HashingEmbedder(8))
     assert store.resolve("docs") == names[0]
     meta = store.meta(names[0])
-    import json
-
     store.files.write(f"{names[0]}/meta.json", json.dumps(meta | {"schema": 3}))
     with pytest.raises(ReindexRequiredError):
         store.get_document("docs", None, SEED)
