@@ -22,8 +22,9 @@ SAMPLE_ROWS = 65_536
 LEAF_ROWS = 64
 PART_ROWS = 65_536
 LEAST_PART_ROWS = 8192
-CONFIDENCE = 0.3
+CONFIDENCE = 0.05
 BLOCK = 128
+CHUNK_ROWS = 2048
 POINT = "k1 bigint, k2 bigint, vec array<float>, ids array<bigint>"
 TOP = "array<struct<cos:double,id:bigint>>"
 
@@ -136,46 +137,65 @@ class Part:
         self.high = np.maximum.reduceat(self.projected, self.starts)
         self.wanted = wanted
 
-    def best(self, queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and similarities of the most similar among ``rows``, per query."""
-        similar = queries @ self.single[rows].T
-        if similar.shape[1] > self.wanted:
-            top = np.argpartition(-similar, self.wanted - 1, axis=1)[:, : self.wanted]
-            return rows[top], np.take_along_axis(similar, top, 1)
-        return np.broadcast_to(rows, similar.shape), similar
-
     def rows_of(self, leaves: np.ndarray) -> np.ndarray:
         return np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in leaves.tolist()])
 
-    def search(self, exact: np.ndarray, projected: np.ndarray, bound: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and double-precision similarities of the best in this partition for a block of queries.
+    def search(self, exact: np.ndarray, projected: np.ndarray, bound: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and double-precision similarity of the best in this partition for a block of queries, best first.
 
-        First the two leaves nearest to the block's middle are verified, which gives every query a k-th distance (or
-        ``bound``, if it is better). By the chi-square test a leaf can be left out once its squared projected
-        distance is above ``stop`` times the squared k-th distance; all others are verified.
+        Leaves are verified in the order of their projected distance, some at a time. After each step every query has
+        a k-th similarity (or ``bound``, if that is better); by the chi-square test a leaf is left out once its squared
+        projected distance is above ``stop`` times the squared k-th distance. Only rows at or above the k-th
+        similarity are kept, so no step sorts more than a few rows a query.
         """
         single = exact.astype(np.float32)
-        middle = projected.mean(axis=0)[None]
-        first = mindist(middle, self.low, self.high)[0].argsort(kind="stable")[:2]
-        rows, similar = self.best(single, self.rows_of(first))
-        if similar.shape[1] >= self.wanted:
-            bound = np.maximum(bound, similar.min(axis=1))
-        reach = stop * np.maximum(2 - 2 * bound, 0) + 1e-6
-        needed = np.setdiff1d(boxes_within(projected, self.low, self.high, reach)[0], first)
-        if len(needed):
-            more, also = self.best(single, self.rows_of(needed))
-            rows, similar = np.concatenate((rows, more), 1), np.concatenate((similar, also), 1)
-            if similar.shape[1] > self.wanted:
-                top = np.argpartition(-similar, self.wanted - 1, axis=1)[:, : self.wanted]
-                rows = np.take_along_axis(rows, top, 1)
-        return rows, np.einsum("ij,ikj->ik", exact, self.exact[rows])
-
-    def tops(self, rows: np.ndarray, similar: np.ndarray) -> tuple[list[list[tuple[float, int]]], np.ndarray]:
+        bound = bound.astype(np.float32)
+        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+        def verify(queries: np.ndarray, leaves: np.ndarray) -> None:
+            nonlocal top
+            rows = self.rows_of(leaves)
+            similar = single[queries] @ self.single[rows].T
+            if (bound[queries] <= -2).all() and len(rows) > self.wanted:  # nothing known yet
+                edge = np.partition(similar, len(rows) - self.wanted, axis=1)[:, len(rows) - self.wanted]
+                q, c = np.nonzero(similar >= edge[:, None])
+            else:
+                q, c = np.nonzero(similar >= bound[queries, None] - np.float32(1e-6))
+            if not len(q):
+                return
+            found = (np.concatenate((top[0], queries[q])), np.concatenate((top[1], rows[c])), np.concatenate((top[2], similar[q, c])))
+            order = np.lexsort((-found[2], found[0]))
+            query = found[0][order]
+            place = np.arange(len(query))
+            nth = place - np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1]), place, 0))
+            kept = order[nth < self.wanted]
+            top = tuple(x[kept] for x in found)
+            full = order[nth == self.wanted - 1]
+            bound[found[0][full]] = np.maximum(bound[found[0][full]], found[2][full])
+
+        reach = lambda: stop * np.maximum(2 - 2 * bound, 0) + np.float32(1e-6)
+        everyone = np.arange(len(exact))
+        first = mindist(projected.mean(axis=0)[None], self.low, self.high)[0].argsort(kind="stable")[:2]
+        verify(everyone, first)
+        boxes, _ = boxes_within(projected, self.low, self.high, reach())
+        boxes = np.setdiff1d(boxes, first)
+        near = mindist(projected, self.low[boxes], self.high[boxes])
+        order = near.min(axis=0).argsort(kind="stable") if len(boxes) else boxes
+        sizes = np.cumsum((self.ends - self.starts)[boxes[order]]) // CHUNK_ROWS
+        for step in np.unique(sizes).tolist():
+            some = order[sizes == step]
+            meets = near[:, some] <= reach()[:, None]
+            some = some[meets.any(axis=0)]
+            if len(some):
+                verify(everyone[meets.any(axis=1)], boxes[some])
+        return top[0], top[1], np.einsum("ij,ij->i", exact[top[0]], self.exact[top[1]])
+
+    def tops(self, n: int, query: np.ndarray, rows: np.ndarray, similar: np.ndarray) -> tuple[list[list[dict]], np.ndarray]:
         """The best ids of each query (similarity rounded, ties to the lower id), and the k-th similarity."""
-        lists = []
-        for r, s in zip(rows.tolist(), np.round(similar, 9).tolist()):
-            found = sorted((-c, i) for row, c in zip(r, s) for i in self.ids[row])[: self.wanted]
-            lists.append([{"cos": -c, "id": i} for c, i in found])
+        found: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        for q, row, c in zip(query.tolist(), rows.tolist(), np.round(similar, 9).tolist()):
+            found[q] += [(-c, i) for i in self.ids[row]]
+        lists = [[{"cos": -c, "id": i} for c, i in sorted(x)[: self.wanted]] for x in found]
         kth = np.array([x[-1]["cos"] if len(x) >= self.wanted else -2.0 for x in lists])
         return lists, kth
 
@@ -222,10 +242,7 @@ def _stream(rows: DataFrame, parts: int, schema: str, tree: Tree, wanted: int, s
         bound = np.asarray(column(batch, "bound"))
         for at in range(0, len(order), BLOCK):
             own = order[at : at + BLOCK]
-            rows, similar = part.search(exact[own], projected[own], bound[own], stop)
-            better = (similar >= bound[own, None] - 1e-9).any(axis=1)
-            own = own[better]
-            lists, _ = part.tops(rows[better], similar[better])
+            lists, _ = part.tops(len(own), *part.search(exact[own], projected[own], bound[own], stop))
             lists = [[x for x in found if x["cos"] >= b - 1e-9] for found, b in zip(lists, bound[own].tolist())]
             take = [i for i, found in enumerate(lists) if found]
             picked = pa.array(own[take])
@@ -238,8 +255,7 @@ def _stream(rows: DataFrame, parts: int, schema: str, tree: Tree, wanted: int, s
         for at in range(0, len(part.exact), BLOCK):
             block = slice(at, at + BLOCK)
             bound = np.full(len(part.exact[block]), -2.0)
-            rows, similar = part.search(part.exact[block], part.projected[block], bound, stop)
-            lists, kth = part.tops(rows, similar)
+            lists, kth = part.tops(len(bound), *part.search(part.exact[block], part.projected[block], bound, stop))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(part.keys[0][block]), pa.array(part.keys[1][block]),
