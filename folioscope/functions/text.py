@@ -57,14 +57,11 @@ def identifier_parts(token: Column) -> Column:
 
 def fnv1a32(text: Column) -> Column:
     """FNV-1a 32 of the UTF-8 bytes as BIGINT; masked at every step, so ANSI overflow can't occur."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    size = F.octet_length(text)
-    byte = lambda i: F.conv(F.substr(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint")
-    steps = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
     return F.aggregate(
-        steps,
+        pairs,
         F.lit(FNV32_OFFSET).cast("bigint"),
-        lambda h, i: h.bitwiseXOR(byte(i)) * F.lit(FNV32_PRIME) % F.lit(1 << 32),
+        lambda h, pair: h.bitwiseXOR(F.conv(pair, 16, 10).cast("bigint")) * F.lit(FNV32_PRIME) % F.lit(1 << 32),
     )
 
 
