@@ -356,3 +356,112 @@ def parse_pages(pages: DataFrame, keys: list[str], url: str, page: str, selector
 
 def escape(text: str) -> str:
     return html.escape(text)
+
+
+# Line kinds of Markdown, and the marks within a line.
+FENCE_LINE = re.compile(r"\s*(```+|~~~+)\s*([\w+#-]*)")
+HEADING_LINE = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*$")
+RULE_LINE = re.compile(r"\s*([-*_])(?:\s*\1){2,}\s*$")
+ITEM_LINE = re.compile(r"(\s*)(?:([-*+])|(\d{1,9})[.)])[ \t]+(?=\S)")
+TABLE_RULE = re.compile(r"\s*\|?(\s*:?-+:?\s*\|)*\s*:?-+:?\s*\|?\s*$")
+INLINE = re.compile(r"(`+)(.+?)(?<!`)\1(?!`)|(!?)\[([^\[\]]*)\]\(([^()\s]+)\)|\*\*(?=\S)(.+?)(?<=\S)\*\*|\*(?=[^\s*])([^*]+?)(?<=\S)\*", re.S)
+
+
+def inline_html(text: str) -> str:
+    """Code, images, links, strong and emphasized text as elements; all else is escaped text."""
+    parts, at = [], 0
+    for m in INLINE.finditer(text):
+        parts.append(escape(text[at : m.start()]))
+        at = m.end()
+        if m[1]:
+            parts.append(f"<code>{escape(m[2])}</code>")
+        elif m[5]:
+            parts.append(f'<img src="{escape(m[5])}" alt="{escape(m[4])}">' if m[3] else f'<a href="{escape(m[5])}">{inline_html(m[4])}</a>')
+        else:
+            mark = "strong" if m[6] else "em"
+            parts.append(f"<{mark}>{inline_html(m[6] or m[7])}</{mark}>")
+    return "".join([*parts, escape(text[at:])])
+
+
+def _starts_block(line: str) -> bool:
+    return bool(not line.strip() or FENCE_LINE.match(line) or HEADING_LINE.match(line) or RULE_LINE.match(line) or ITEM_LINE.match(line) or line.lstrip()[:1] in (">", "|"))
+
+
+def from_markdown(markdown: str) -> str:
+    """HTML of a whole Markdown text, block by block: headings, fences, lists, quotes, tables, rules, paragraphs.
+
+    No text is left out: what is none of these is an escaped paragraph. A fence that is not closed runs to the end.
+    """
+    return _blocks_html(markdown.replace("\r\n", "\n").split("\n"))
+
+
+def _blocks_html(lines: list[str]) -> str:
+    out, at = [], 0
+    while at < len(lines):
+        line, low = lines[at], at
+        at += 1
+        if not line.strip():
+            continue
+        if fence := FENCE_LINE.match(line):
+            while at < len(lines) and not FENCE_LINE.match(lines[at]):
+                at += 1
+            kind = f' class="language-{escape(fence[2])}"' if fence[2] else ""
+            rest = line[fence.end() :].strip()
+            body = "\n".join([*([rest] if rest else []), *lines[low + 1 : at]])
+            out.append(f"<pre><code{kind}>{escape(body)}</code></pre>")
+            after = FENCE_LINE.sub("", lines[at]).strip() if at < len(lines) else ""
+            name = FENCE_LINE.match(lines[at])[2] if at < len(lines) else ""
+            at += 1
+            if name or after:
+                out.append(f"<p>{inline_html(f'{name} {after}'.strip())}</p>")
+        elif heading := HEADING_LINE.match(line):
+            level = len(heading[1])
+            out.append(f"<h{level}>{inline_html(heading[2])}</h{level}>")
+        elif RULE_LINE.match(line):
+            out.append("<hr>")
+        elif item := ITEM_LINE.match(line):
+            kind, items = item[2] or "1", []
+            while at <= len(lines) and (m := ITEM_LINE.match(lines[low])) and (m[2] or "1") == kind and not RULE_LINE.match(lines[low]):
+                depth = m.end()
+                while at < len(lines) and lines[at].strip() and (not _starts_block(lines[at]) or len(lines[at]) - len(lines[at].lstrip()) > len(m[1])):
+                    at += 1
+                own = [lines[low][depth:], *(x[len(x) - max(len(x.lstrip()), len(x) - depth) :] for x in lines[low + 1 : at])]
+                items.append(_item_html(own))
+                low, at = at, at + 1
+                if low >= len(lines):
+                    break
+            at = low
+            tag = "ul" if item[2] else "ol"
+            start = f' start="{item[3]}"' if item[3] else ""
+            out.append(f"<{tag}{start}>{''.join(f'<li>{x}</li>' for x in items)}</{tag}>")
+        elif line.lstrip().startswith(">"):
+            while at < len(lines) and lines[at].lstrip().startswith(">"):
+                at += 1
+            out.append(f"<blockquote>{_blocks_html([re.sub(r'^\s*> ?', '', x) for x in lines[low:at]])}</blockquote>")
+        elif line.lstrip().startswith("|"):
+            while at < len(lines) and lines[at].lstrip().startswith("|"):
+                at += 1
+            out.append(_table_html([x.strip() for x in lines[low:at]]))
+        else:
+            while at < len(lines) and not _starts_block(lines[at]):
+                at += 1
+            out.append(f"<p>{inline_html(chr(10).join(lines[low:at]))}</p>")
+    return "".join(out)
+
+
+def _item_html(lines: list[str]) -> str:
+    """An item's own text without a paragraph, then what is nested in it."""
+    end = next((i for i, x in enumerate(lines) if i and _starts_block(x)), len(lines))
+    return inline_html("\n".join(lines[:end])) + _blocks_html(lines[end:])
+
+
+def _table_html(lines: list[str]) -> str:
+    ruled = len(lines) > 1 and TABLE_RULE.match(lines[1])
+    rows = []
+    for i, line in enumerate(lines):
+        if i == 1 and ruled:
+            continue
+        cells = re.split(r"(?<!\\)\|", line.removeprefix("|").removesuffix("|"))
+        tag = "th" if i == 0 and ruled else "td"
+        rows.append("".join(f"<{tag}>{inline_html(x.strip().replace(chr(92) + '|', '|'))}</{tag}>" for x in cells))
+    return "<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>"

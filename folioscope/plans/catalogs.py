@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.html import parse_pages
+from folioscope.functions.html import from_markdown, parse_pages
 from folioscope.functions.ids import sha_of, stored_point_id
 from folioscope.functions.urls import canonical_url
 from folioscope.operators import catalog
@@ -116,21 +116,36 @@ def reachable_pages(spark, sf_dir):
 
 
 def html_of(spark, sf_dir) -> DataFrame:
-    """HTML around the stored pages: title, a link to the page itself, one to its parent and a rooted one, the first 12 words as content."""
+    """HTML around the stored pages: title, a link to the page itself and a rooted one, the first 12 words as content, as the SQL can follow them."""
     text = F.trim(F.regexp_replace(F.coalesce("markdown", F.lit("")), r"[^A-Za-z0-9]+", " "))
     words = F.array_join(F.slice(F.split(text, " "), 1, 12), " ")
+    return wrapped(pages(spark, sf_dir), F.concat(F.lit("<p>"), words))
+
+
+def wrapped(rows: DataFrame, content) -> DataFrame:
+    """Pages as HTML around their ``content``."""
     title = F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     body = F.concat(
         F.lit("<html><head><meta charset=utf-8><title>\n "), title, F.lit(" </title><script>var x = '<p>no</p>';</script></head><body><nav><a href='"), c("url"),
-        F.lit("#top'>here</a><a href=\"/root?q=1\">root</a></nav><main id=\"content\"><h2>Page</h2><p>"), words, F.lit("<p>End of <b>page</b></main></body></html>"),
+        F.lit("#top'>here</a><a href=\"/root?q=1\">root</a></nav><main id=\"content\"><h2>Page</h2>"), content, F.lit("<p>End of <b>page</b></main></body></html>"),
     )
-    return pages(spark, sf_dir).where("url is not null").select("page_no", "url", body.alias("html"))
+    return rows.where("url is not null").select("page_no", "url", body.alias("html"))
+
+
+def parsed(found: DataFrame) -> DataFrame:
+    rows = parse_pages(found, ["page_no"], "url", "html", ["article", "main#content"])
+    return rows.select("page_no", "title", F.array_join("links", " ").alias("links"), "markdown", "missing")
 
 
 def parsed_pages(spark, sf_dir):
-    """Title, links and Markdown of HTML pages."""
-    found = parse_pages(html_of(spark, sf_dir), ["page_no"], "url", "html", ["article", "main#content"])
-    return found.select("page_no", "title", F.array_join("links", " ").alias("links"), "markdown", "missing")
+    """Title, links and Markdown of HTML pages that hold the first 12 words of the stored ones; ``parsed_whole_pages`` has the whole texts."""
+    return parsed(html_of(spark, sf_dir))
+
+
+def parsed_whole_pages(spark, sf_dir):
+    """Title, links and Markdown of HTML pages that hold the whole stored texts, in all scripts and with all their marks."""
+    content = F.udf(from_markdown, "string", useArrow=True)
+    return parsed(wrapped(pages(spark, sf_dir), content(F.coalesce("markdown", F.lit("")))))
 
 
 SQL = {
@@ -179,7 +194,7 @@ SELECT page_no, trim(coalesce(title, '')) AS title,
   '## Page' || chr(10) || chr(10) || CASE WHEN words = '' THEN '' ELSE words || chr(10) || chr(10) END || 'End of **page**' AS markdown, false AS missing FROM w""",
 }
 
-QUERIES = (*SQL, content_selectors)
+QUERIES = (*SQL, content_selectors, parsed_whole_pages)
 
 
 def queries():
