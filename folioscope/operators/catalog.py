@@ -52,6 +52,15 @@ def merge_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("n.url", "o.url").alias("url"), *pick).select(*old.columns)
 
 
+def fold_documents(documents: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """The document of every key that comes last by ``order``: what merging all crawls one after another leaves.
+
+    One shuffle, however many crawls a series has. In ``order`` a null comes first; ties go to the higher ``columns``.
+    """
+    last = F.max(F.struct(*order, *(c for c in columns if c not in order))).alias("_last")
+    return documents.groupBy(*keys).agg(last).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in columns))
+
+
 def is_complete(events: DataFrame) -> DataFrame:
     """One row: complete, failed, missing."""
     of = lambda kind: F.count_if(F.col("kind") == kind)

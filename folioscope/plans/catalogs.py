@@ -10,6 +10,8 @@ from folioscope.functions.ids import sha_of, stored_point_id
 from folioscope.functions.urls import canonical_url
 from folioscope.operators import catalog
 from folioscope.operators.crawl import reachable
+from folioscope.operators.snapshot_diff import hex_digits
+from folioscope.plans.snapshots import CANONICAL_URL_SQL
 from folioscope.plans.texts import PAGES, UUID, pages
 from folioscope.sources.artifact import verify_hashes
 from folioscope.session import table
@@ -88,7 +90,7 @@ def retry_urls(spark, sf_dir):
 
 
 def merged_documents(spark, sf_dir):
-    """The pages of crawl number 1 of every series updated by those of number 2: replaced by URL or added."""
+    """The pages of crawl number 1 of every series updated by those of number 2: replaced by URL or added; ``merged_series`` takes all crawls."""
     listing = table(spark, sf_dir, "page_snapshots").where("url <> ''")
     crawls = table(spark, sf_dir, "manifests").select("manifest_no", "snapshot_seq", F.coalesce("version", F.lit("")).alias("version"))
     rows = listing.join(crawls, "manifest_no").groupBy("snapshot_seq", F.concat_ws(" ", "source_id", "version", "url").alias("url")).agg(F.max("content_hash").alias("content_hash"))
@@ -96,6 +98,17 @@ def merged_documents(spark, sf_dir):
     return catalog.merge_documents(side(1), side(2))
 
 
+def merged_series(spark, sf_dir):
+    """The pages of all crawls of every series, each crawl replacing by URL what the ones before it left or adding to it.
+
+    Within a crawl and canonical URL the row of the latest crawl time counts, then of the latest delivery, then the higher hash.
+    """
+    listing = table(spark, sf_dir, "page_snapshots").where("url <> ''").select("manifest_no", canonical_url(c("url")).alias("url"), hex_digits(c("content_hash")).alias("content_hash"), "crawled_at", "loaded_at")
+    crawls = table(spark, sf_dir, "manifests").select("manifest_no", "source_id", "version", "snapshot_seq")
+    order = ["snapshot_seq", "crawled_at", "loaded_at", "content_hash"]
+    return catalog.fold_documents(listing.join(crawls, "manifest_no"), ["source_id", "version", "url"], order, ["snapshot_seq", "content_hash"])
+
+
 def content_selectors(spark, sf_dir):
     """The selectors of a source in order, the primary one first, without repeats and blanks."""
     chosen = F.filter(F.concat(F.array("content_selector"), F.coalesce("content_selectors", F.array().cast("array<string>"))), lambda x: F.trim(x) != "")
@@ -194,6 +207,14 @@ SELECT page_no, trim(coalesce(title, '')) AS title,
   '## Page' || chr(10) || chr(10) || CASE WHEN words = '' THEN '' ELSE words || chr(10) || chr(10) END || 'End of **page**' AS markdown, false AS missing FROM w""",
 }
 
+SQL[merged_series] = rf"""
+WITH page_rows AS (
+  SELECT m.source_id, m.version, m.snapshot_seq, p.url, p.crawled_at, p.loaded_at, nullif(regexp_extract(lower(trim(p.content_hash)), '(?:^|[^0-9a-z])([0-9a-f]+)$', 1), '') AS hash
+  FROM page_snapshots p JOIN manifests m USING (manifest_no) WHERE p.url <> ''
+), {CANONICAL_URL_SQL}
+SELECT source_id, version, canonical_url AS url, snapshot_seq, hash AS content_hash FROM canonical
+QUALIFY row_number() OVER (PARTITION BY source_id, version, canonical_url ORDER BY snapshot_seq DESC, crawled_at DESC NULLS LAST, loaded_at DESC NULLS LAST, hash DESC NULLS LAST) = 1"""
+
 QUERIES = (*SQL, content_selectors, parsed_whole_pages)
 
 

@@ -1,10 +1,15 @@
 import random
 import re
+from datetime import datetime, timedelta
 
 from folioscope.functions.html import from_markdown, to_markdown
+from folioscope.operators import catalog
 from folioscope.plans import catalogs
 
 STORED = "page_no bigint, url string, title string, markdown string"
+LISTED = "manifest_no int, source_id string, url string, content_hash string, crawled_at timestamp, loaded_at timestamp"
+CRAWLS = "manifest_no int, source_id string, version string, snapshot_seq int"
+T = datetime(2025, 1, 1)
 
 
 def stored(spark, tmp_path, name, rows, schema):
@@ -35,3 +40,31 @@ def test_no_word_is_lost_in_html():
         line = lambda: r.choice(starts) + " ".join(r.choice(["aé", "**b**", "`c<d`", "*e", "&amp;", "<p>", "语", "x_y", "|"]) for _ in range(r.randint(0, 4)))  # noqa: E731, B023
         text = "\n".join(line() for _ in range(r.randint(0, 12)))
         assert words(to_markdown("https://h/", from_markdown(text))) == words(text), text
+
+
+def test_all_crawls_are_merged(spark, tmp_path):
+    r = random.Random(5)
+    crawls = [(10 * s + n, "s", v, n) for s, v in enumerate((None, "v1")) for n in range(1, 10)]
+    rows = [(m, "s", f"https://h/p{r.randint(1, 12)}", r.choice([f"{m:x}a", None]), T + timedelta(hours=i), T) for i, (m, *_) in enumerate(crawls) for _ in range(5)]
+    rows += [(3, "s", "HTTPS://H:443/p99#x", "SHA256:AA", T, T), (3, "s", "https://h/p99", "bb", T - timedelta(days=1), T), (3, "s", None, "cc", T, T)]
+    stored(spark, tmp_path, "page_snapshots", rows, LISTED)
+    stored(spark, tmp_path, "manifests", crawls, CRAWLS)
+    left = {}
+    for number, _, version, seq in sorted(crawls, key=lambda x: x[3]):
+        for m, _, url, digest, *_ in sorted((x for x in rows if x[0] == number and x[2] and "p99" not in x[2]), key=lambda x: x[3] or ""):
+            left[version, url] = (seq, digest)
+    left[None, "https://h/p99"] = (3, "aa")
+    got = catalogs.queries()["merged_series"](spark, str(tmp_path)).collect()
+    assert {(x.version, x.url): (x.snapshot_seq, x.content_hash) for x in got} == left and len(got) == len(left)
+    assert max(seq for seq, _ in left.values()) == 9
+
+
+def test_fold_equals_merging_one_after_another(spark):
+    r = random.Random(6)
+    rows = [(n, f"u{u}", r.choice([None, f"{n}-{u}"])) for n in range(1, 5) for u in r.sample(range(9), 4)]
+    df = spark.createDataFrame(rows, "n int, url string, content_hash string")
+    merged = df.where("n = 1").drop("n")
+    for n in range(2, 5):
+        merged = catalog.merge_documents(merged, df.where(f"n = {n}").drop("n"))
+    folded = catalog.fold_documents(df, ["url"], ["n"], ["content_hash"])
+    assert sorted(map(str, folded.collect())) == sorted(map(str, merged.collect()))
