@@ -116,11 +116,16 @@ def chunked_pages(spark, sf_dir):
 
 
 def single_block_chunks(spark, sf_dir):
-    """Documents of one line within the limit: exactly one chunk."""
+    """Documents of one line within the limit: exactly one chunk; ``document_chunks`` takes all documents."""
     docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("\r")) & (F.char_length("text") <= 3200) & (F.rlike("text", F.lit("[a-z]"))))
     return chunk_documents(docs, ["doc_id"], "text").select("doc_id", "chunk_index", F.md5("markdown").alias("chunk"))
 
 
+def document_chunks(spark, sf_dir):
+    """The chunks of all documents, whatever their length, lines and script; null and blank ones give none."""
+    return chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"], "text").withColumn("tokens", text.token_estimate(c("markdown")))
+
+
 def indexed_points(spark, sf_dir):
     """Points of all stored pages: ids, hashes and heading paths of the chunks."""
     docs = pages(spark, sf_dir).withColumnRenamed("source_id", "source")
@@ -203,7 +208,7 @@ WITH {PAGES}, page_rows AS (
     THEN regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://[^/]*(.*)$', 1), '[^/]*$', '') || '../p' || page_no ELSE '/x/p' || page_no END AS url FROM pages
 ), {CANONICAL_URL_SQL} SELECT page_no, canonical_url AS target FROM canonical"""
 
-QUERIES = (*SQL, chunked_pages, indexed_points)
+QUERIES = (*SQL, chunked_pages, document_chunks, indexed_points)
 
 
 def queries():

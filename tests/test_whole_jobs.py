@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from folioscope.functions.html import from_markdown, to_markdown
 from folioscope.operators import catalog
-from folioscope.plans import catalogs
+from folioscope.plans import catalogs, texts
 
 STORED = "page_no bigint, url string, title string, markdown string"
 LISTED = "manifest_no int, source_id string, url string, content_hash string, crawled_at timestamp, loaded_at timestamp"
@@ -68,3 +68,67 @@ def test_fold_equals_merging_one_after_another(spark):
         merged = catalog.merge_documents(merged, df.where(f"n = {n}").drop("n"))
     folded = catalog.fold_documents(df, ["url"], ["n"], ["content_hash"])
     assert sorted(map(str, folded.collect())) == sorted(map(str, merged.collect()))
+
+
+def plain_chunks(text, limit=800, overlap=100):
+    """The chunk rules as a plain walk over lines and blocks, for ASCII and ideographic white space."""
+    size = lambda t: max(1, (len(t) + 3) // 4)
+    found, own, path, fenced = [], [], [], False
+
+    def end():
+        if "\n".join(own).strip():
+            found.append(("\n".join(own).strip(), list(path)))
+        own.clear()
+
+    for line in text.replace("\r\n", "\n").split("\n"):
+        fence = line.strip().startswith(("```", "~~~"))
+        heading = re.match(r"(#{1,6})\s+(\S.*)$", line)
+        if heading and not fenced and not fence:
+            end()
+            level = len(heading[1])
+            path = (path + [""] * 6)[: level - 1] + [heading[2].strip()]
+        elif not line.strip() and not fenced:
+            end()
+            continue
+        own.append(line)
+        fenced ^= fence
+    end()
+    parts = []
+    for block, at in found:
+        if size(block) <= limit or block.startswith(("```", "~~~")):
+            parts.append((block, at))
+            continue
+        piece = ""
+        for word in block.split():
+            if piece and size(f"{piece} {word}") > limit:
+                parts.append((piece, at))
+                piece = ""
+            piece = f"{piece} {word}".strip()
+        parts.append((piece, at))
+    chunks, current = [], []
+    for part in parts:
+        if current and sum(size(t) for t, _ in current) + size(part[0]) > limit:
+            chunks.append(current)
+            kept = []
+            while len(kept) < len(current) and sum(size(t) for t, _ in kept) < overlap:
+                kept = current[len(current) - len(kept) - 1 :]
+            current = kept
+        current = [*current, part]
+        if size(part[0]) > limit:
+            chunks.append(current)
+            current = []
+    chunks += [current] if current else []
+    return [(n, chunk[-1][1], "\n\n".join(t for t, _ in chunk) + "\n") for n, chunk in enumerate(chunks)]
+
+
+def test_all_documents_are_chunked(spark, tmp_path):
+    r = random.Random(7)
+    word = lambda: r.choice(["слово", "語彙文字列", "word", "Ünï", "x" * 30])
+    block = lambda: r.choice(["# {}", "## {}\n{}", "{}", "{}\r\n{}", "```\n{}\n\n{}\n```", "### {}\n\n- {}"]).replace("{}", " ".join(word() for _ in range(r.choice([3, 40, 900]))))
+    docs = [(i, "\n\n".join(block() for _ in range(r.randint(1, 14)))) for i in range(40)]
+    docs += [(90, None), (91, " \n"), (92, "ПРОПИСНЫЕ"), (93, "short line"), (94, "語" * 5000), (95, "```\n" + "line\n\n" * 900)]
+    stored(spark, tmp_path, "documents", docs, "doc_id bigint, text string")
+    got = texts.queries()["document_chunks"](spark, str(tmp_path)).collect()
+    want = {(d, n, tuple(path), chunk) for d, text in docs if text for n, path, chunk in plain_chunks(text)}
+    assert {(x.doc_id, x.chunk_index, tuple(x.heading_path), x.markdown) for x in got} == want and len(got) == len(want)
+    assert {x.doc_id for x in got} == {d for d, _ in docs} - {90, 91}
