@@ -93,10 +93,16 @@ def suppressed_results(spark, sf_dir):
 
 
 def result_json(spark, sf_dir):
+    """URL and title of the first three results of every list; ``whole_result_json`` has the whole lists."""
     shown = results(spark, sf_dir).where("rank_no <= 3").select("query_no", c("rank_no").alias("rank"), "url", "title")
     return s.result_json(shown, "query_no")
 
 
+def whole_result_json(spark, sf_dir):
+    """All results of every list with all their columns."""
+    return s.result_json(results(spark, sf_dir).select("query_no", c("rank_no").alias("rank"), "point_no", *s.RESULT_COLUMNS), "query_no")
+
+
 def result_text(spark, sf_dir):
     shown = results(spark, sf_dir).withColumn("rank", c("rank_no"))
     return s.result_text(shown, "query_no").select("query_no", F.md5("text").alias("text"))
@@ -193,7 +199,7 @@ WITH {POINTS} SELECT a.input_hash, CAST(len(arg_min(a.dense_vector, a.point_id))
 WHERE point_no % 2 = 0 AND dense_vector IS NOT NULL AND input_hash IN (SELECT input_hash FROM points WHERE point_no % 2 = 1) GROUP BY a.input_hash""",
 }
 
-QUERIES = (*SQL, hybrid_search, dense_only_search, suppressed_results)
+QUERIES = (*SQL, hybrid_search, dense_only_search, suppressed_results, whole_result_json)
 
 
 def queries():

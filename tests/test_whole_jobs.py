@@ -1,10 +1,11 @@
+import json
 import random
 import re
 from datetime import datetime, timedelta
 
 from folioscope.functions.html import from_markdown, to_markdown
 from folioscope.operators import catalog
-from folioscope.plans import catalogs, texts
+from folioscope.plans import catalogs, retrieval, texts
 
 STORED = "page_no bigint, url string, title string, markdown string"
 LISTED = "manifest_no int, source_id string, url string, content_hash string, crawled_at timestamp, loaded_at timestamp"
@@ -132,3 +133,12 @@ def test_all_documents_are_chunked(spark, tmp_path):
     want = {(d, n, tuple(path), chunk) for d, text in docs if text for n, path, chunk in plain_chunks(text)}
     assert {(x.doc_id, x.chunk_index, tuple(x.heading_path), x.markdown) for x in got} == want and len(got) == len(want)
     assert {x.doc_id for x in got} == {d for d, _ in docs} - {90, 91}
+
+
+def test_json_holds_whole_result_lists(spark, tmp_path):
+    named = "query_no bigint, rank_no int, point_no bigint, vector_score double, dense_score double, sparse_score double, fusion_score double, reranker_score double"
+    rows = [(q, n, 100 * q + n, 0.1 * n, 0.2, 1e-7, 0.0, None if n == 4 else 1.5, "s", None if n == 2 else "v1", f"https://h/{n}", None if n == 3 else 'a "t"', None if n == 5 else ["h", "日本"], f"<b>\n{n}") for q in (1, 2) for n in range(1, 7)]
+    stored(spark, tmp_path, "search_results", [*rows, *rows[:3]], f"{named}, source_id string, version string, url string, title string, heading_path array<string>, markdown string")
+    got = {x.query_no: json.loads(x.json) for x in retrieval.queries()["whole_result_json"](spark, str(tmp_path)).collect()}
+    names = ["rank", "point_no", *retrieval.s.RESULT_COLUMNS]
+    assert got == {q: {"results": [{k: v for k, v in zip(names, x[1:]) if v is not None} for x in rows if x[0] == q]} for q in (1, 2)}
