@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from folioscope.functions.html import from_markdown, to_markdown
 from folioscope.operators import catalog
 from folioscope.plans import catalogs, retrieval, texts
+from folioscope.streaming import pages as streaming
 
 STORED = "page_no bigint, url string, title string, markdown string"
 LISTED = "manifest_no int, source_id string, url string, content_hash string, crawled_at timestamp, loaded_at timestamp"
@@ -142,3 +143,24 @@ def test_json_holds_whole_result_lists(spark, tmp_path):
     got = {x.query_no: json.loads(x.json) for x in retrieval.queries()["whole_result_json"](spark, str(tmp_path)).collect()}
     names = ["rank", "point_no", *retrieval.s.RESULT_COLUMNS]
     assert got == {q: {"results": [{k: v for k, v in zip(names, x[1:]) if v is not None} for x in rows if x[0] == q]} for q in (1, 2)}
+
+
+def test_late_and_repeated_pages_of_a_stream(spark, tmp_path):
+    page = lambda name, days, text, version="1": ("s", version, f"https://h/{name}", f"<title>t</title><main><p>{text}</main>", T + timedelta(days=days))
+    triggers = [
+        [page("a", 30, "a first"), page("a", 30.5, "a second"), page("b", 30, "b first"), page("null", 30, "n first", None)],
+        [page("late", 0, "late page"), page("b", 29, "b before"), page("a", 30.5, "a second"), ("s", "1", "https://h/a", "<div>no content</div>", T + timedelta(days=60))],
+        [page("b", 31, ""), page("null", 40, "n second", None), page("late#x", 1, "late again"), page("late", 0.5, "late between")],
+    ]
+    got = []
+    check = f"{tmp_path}/check"
+    for n, rows in enumerate(triggers):
+        spark.createDataFrame(rows, streaming.PAGES).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        source = streaming.read_pages(spark, f"{tmp_path}/in/*", 1)
+        streaming.write_chunks(source, ["main"], lambda df, _: got.append(df.select("source", "version", "url", "crawled_at", "chunk_index", "markdown").collect()), check).awaitTermination()
+    told = [sorted((x.url[10:], x.markdown.strip()) for x in batch) for batch in got]
+    assert told == [[("a", "a second"), ("b", "b first"), ("null", "n first")], [("late", "late page")], [("late", "late again"), ("null", "n second")]]
+    chunks = spark.createDataFrame([x for batch in got for x in batch], "source string, version string, url string, crawled_at timestamp, chunk_index int, markdown string")
+    left = streaming.current_chunks(chunks, streaming.written_pages(spark, check)).collect()
+    assert sorted((x.url[10:], x.markdown.strip()) for x in left) == [("a", "a second"), ("late", "late again"), ("null", "n second")]
+    assert streaming.written_pages(spark, check, 1).count() == 3
