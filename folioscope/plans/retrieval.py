@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import jaccard, normalized_text, word_set
@@ -116,7 +116,7 @@ def vector_dimensions(spark, sf_dir):
 
 
 def embedding_cache(spark, sf_dir):
-    """Vectors of the first half of the points reused for the second half: how many, and how many inputs are left."""
+    """Vectors of even points reused for odd ones: how many, and how many inputs are left; ``whole_embedding_cache`` looks at all points."""
     rows = points(spark, sf_dir)
     return reuse_counts(rows.where("point_no % 2 = 1"), rows.where("point_no % 2 = 0"))
 
@@ -127,6 +127,23 @@ def cached_inputs(spark, sf_dir):
     return found.select("input_hash", F.size("dense_vector").alias("dimension"))
 
 
+def wanted_and_stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All points but those that stand in the store, and these: of every input the point with a vector that was crawled first."""
+    order = Window.partitionBy("input_hash").orderBy(c("dense_vector").isNull(), c("crawled_at").asc_nulls_last(), "point_no")
+    rows = points(spark, sf_dir).withColumn("stored", (F.row_number().over(order) == 1) & c("dense_vector").isNotNull())
+    return rows.where("not stored"), rows.where("stored")
+
+
+def whole_embedding_cache(spark, sf_dir):
+    """Every point is in the store or looked up in it: how many are reused, and how many inputs are left."""
+    return reuse_counts(*wanted_and_stored(spark, sf_dir))
+
+
+def whole_cached_inputs(spark, sf_dir):
+    found = cached_vectors(*wanted_and_stored(spark, sf_dir))
+    return found.select("input_hash", F.size("dense_vector").alias("dimension"))
+
+
 POINTS = "points AS (SELECT DISTINCT ON (point_no) * FROM chunks)"
 ASKED = "asked AS (SELECT point_no AS query_no, coalesce(title, '') AS asked, dense_vector AS qv FROM points WHERE point_no % 50 = 0)"
 
@@ -199,6 +216,12 @@ WITH {POINTS} SELECT a.input_hash, CAST(len(arg_min(a.dense_vector, a.point_id))
 WHERE point_no % 2 = 0 AND dense_vector IS NOT NULL AND input_hash IN (SELECT input_hash FROM points WHERE point_no % 2 = 1) GROUP BY a.input_hash""",
 }
 
+STORE = f"""
+WITH {POINTS}, placed AS (SELECT *, dense_vector IS NOT NULL AND row_number() OVER (PARTITION BY input_hash ORDER BY dense_vector IS NULL, crawled_at NULLS LAST, point_no) = 1 AS stored FROM points)"""
+SQL[whole_embedding_cache] = f"""{STORE}, w AS (SELECT w.input_hash, s.input_hash IS NOT NULL AS hit FROM placed w LEFT JOIN (SELECT input_hash FROM placed WHERE stored) s USING (input_hash) WHERE NOT w.stored)
+SELECT count(*) FILTER (hit) AS reused, count(DISTINCT input_hash) FILTER (NOT hit) AS embedded FROM w"""
+SQL[whole_cached_inputs] = f"{STORE} SELECT input_hash, CAST(len(dense_vector) AS INT) AS dimension FROM placed WHERE stored AND input_hash IN (SELECT input_hash FROM placed WHERE NOT stored)"
+
 QUERIES = (*SQL, hybrid_search, dense_only_search, suppressed_results, whole_result_json)
 
 

@@ -164,3 +164,12 @@ def test_late_and_repeated_pages_of_a_stream(spark, tmp_path):
     left = streaming.current_chunks(chunks, streaming.written_pages(spark, check)).collect()
     assert sorted((x.url[10:], x.markdown.strip()) for x in left) == [("a", "a second"), ("late", "late again"), ("null", "n second")]
     assert streaming.written_pages(spark, check, 1).count() == 3
+
+
+def test_no_half_of_the_points_is_left_out_of_the_cache(spark, tmp_path):
+    rows = [(2, "twice even", 1), (4, "twice even", 0), (1, "twice odd", 0), (3, "twice odd", 1), (5, "three", 0), (6, "three", 1), (7, "three", 2), (8, "no vector", None), (9, "no vector", None), (10, "once", 3), (11, "late vector", None), (12, "late vector", 2)]
+    points = [(n, f"p{n:02}", h, T + timedelta(days=d or 0), None if d is None else [float(n)]) for n, h, d in rows]
+    stored(spark, tmp_path, "chunks", [*points, points[0]], "point_no bigint, point_id string, input_hash string, crawled_at timestamp, dense_vector array<float>")
+    known = retrieval.queries()
+    assert tuple(known["whole_embedding_cache"](spark, str(tmp_path)).first()) == (5, 1)
+    assert {x.input_hash for x in known["whole_cached_inputs"](spark, str(tmp_path)).collect()} == {"twice even", "twice odd", "three", "late vector"}
