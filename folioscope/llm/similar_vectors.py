@@ -25,6 +25,8 @@ LEAST_PART_ROWS = 8192
 CONFIDENCE = 0.05
 BLOCK = 128
 CHUNK_ROWS = 2048
+MARGIN = 5e-6  # above the error of a float32 product of two unit vectors of 64 elements
+EXACT_ROWS = 65_536
 POINT = "k1 bigint, k2 bigint, vec array<float>, ids array<bigint>"
 TOP = "array<struct<cos:double,id:bigint>>"
 
@@ -130,6 +132,7 @@ class Part:
         self.exact, self.projected, self.vectors = exact[order], projected[order], vectors[order]
         self.keys = [k[order] for k in self.keys]
         self.ids = [self.ids[i] for i in order.tolist()]
+        self.least = np.array([min(x, default=0) for x in self.ids], np.int64)
         self.single = self.exact.astype(np.float32)
         present, self.starts = np.unique(leaf[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(order))
@@ -140,8 +143,15 @@ class Part:
     def rows_of(self, leaves: np.ndarray) -> np.ndarray:
         return np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in leaves.tolist()])
 
+    def cosines(self, exact: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        parts = [slice(at, at + EXACT_ROWS) for at in range(0, len(rows), EXACT_ROWS)]
+        return np.concatenate([np.einsum("ij,ij->i", exact[queries[p]], self.exact[rows[p]]) for p in parts])
+
     def search(self, exact: np.ndarray, projected: np.ndarray, bound: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query, row and double-precision similarity of the best in this partition for a block of queries, best first.
+        """Query, row and double-precision similarity of the best in this partition for a block of queries.
+
+        Float32 similarities only choose what is looked at: all rows within ``MARGIN`` of the k-th are compared in double
+        precision, and the ``wanted`` best by the rounded value, then the lower id, are kept.
 
         Leaves are verified in the order of their projected distance, some at a time. After each step every query has
         a k-th similarity (or ``bound``, if that is better); by the chi-square test a leaf is left out once its squared
@@ -150,7 +160,8 @@ class Part:
         """
         single = exact.astype(np.float32)
         bound = bound.astype(np.float32)
-        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        margin = np.float32(MARGIN)
+        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
         def verify(queries: np.ndarray, leaves: np.ndarray) -> None:
             nonlocal top
@@ -158,13 +169,14 @@ class Part:
             similar = single[queries] @ self.single[rows].T
             if (bound[queries] <= -2).all() and len(rows) > self.wanted:  # nothing known yet
                 edge = np.partition(similar, len(rows) - self.wanted, axis=1)[:, len(rows) - self.wanted]
-                q, c = np.nonzero(similar >= edge[:, None])
+                q, c = np.nonzero(similar >= edge[:, None] - margin)
             else:
-                q, c = np.nonzero(similar >= bound[queries, None] - np.float32(1e-6))
+                q, c = np.nonzero(similar >= bound[queries, None] - margin)
             if not len(q):
                 return
-            found = (np.concatenate((top[0], queries[q])), np.concatenate((top[1], rows[c])), np.concatenate((top[2], similar[q, c])))
-            order = np.lexsort((-found[2], found[0]))
+            cosine = np.round(self.cosines(exact, queries[q], rows[c]), 9)
+            found = (np.concatenate((top[0], queries[q])), np.concatenate((top[1], rows[c])), np.concatenate((top[2], cosine)))
+            order = np.lexsort((self.least[found[1]], -found[2], found[0]))
             query = found[0][order]
             place = np.arange(len(query))
             nth = place - np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1]), place, 0))
@@ -188,7 +200,7 @@ class Part:
             some = some[meets.any(axis=0)]
             if len(some):
                 verify(everyone[meets.any(axis=1)], boxes[some])
-        return top[0], top[1], np.einsum("ij,ij->i", exact[top[0]], self.exact[top[1]])
+        return top
 
     def tops(self, n: int, query: np.ndarray, rows: np.ndarray, similar: np.ndarray) -> tuple[list[list[dict]], np.ndarray]:
         """The best ids of each query (similarity rounded, ties to the lower id), and the k-th similarity."""
@@ -207,20 +219,21 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dimensions: int = DIMEN
 
 
 def keyed_vectors(points: DataFrame) -> DataFrame:
-    """k1, k2 (128 bits of the vector's bytes), key, vec."""
+    """k1, k2 (128 bits of the vector's direction), key, vec: proportional vectors agree in k1, k2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 rows = matrix(batch)
-                digests = np.frombuffer(b"".join(hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows), np.int64).reshape(-1, 2)
+                directions = np.round(unit(rows), 12) + 0.0  # no negative zero
+                digests = np.frombuffer(b"".join(hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in directions), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), column(batch, "key"), column(batch, "vec")], ["k1", "k2", "key", "vec"])
 
     return points.mapInArrow(run, "k1 bigint, k2 bigint, key bigint, vec array<float>")
 
 
 def distinct_vectors(keyed: DataFrame, wanted: int) -> DataFrame:
-    """A row per distinct vector with its ``wanted`` lowest keys: more can't be among the nearest of any other.
+    """A row per distinct direction with its ``wanted`` lowest keys: more can't be among the nearest of any other.
 
     The rank limit is applied before the shuffle, too, so a vector that a third of all rows share sends a few rows
     per task.
@@ -303,7 +316,7 @@ def similar_vectors(
     searched in its own partition first; what remains are the partitions with a leaf whose bounding box passes the
     chi-square test (``confidence``) at the vector's k-th distance, and only to them is it sent. As whole leaves are
     verified, far more neighbours are found than the confidence says (see the README for the measured recall). Equal
-    vectors are searched once and answered for all their keys. Partitions hold about ``part_rows`` vectors, fewer
+    and proportional vectors are searched once and answered for all their keys. Partitions hold about ``part_rows`` vectors, fewer
     where that would leave cores idle.
 
     Vectors that are null, of another length, all zero or hold null or NaN take no part. Redelivered rows count once;
