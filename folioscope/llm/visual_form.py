@@ -17,17 +17,19 @@ from folioscope.session import materialize
 
 # Letters and hyphens that are drawn alike, as pairs of (drawn alike, its form here).
 LOOK_ALIKES = dict(zip(
-    "асеорхуіјѕһԁԛԝӏ" "АВЕЅІЈКМНОРСТУХԚԜӀ" "οϲνϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" "օɑɡ" "µ" "‐‑﹣˗⁃",
-    "aceopxyijshdqwl" "ABESIJKMHOPCTYXQWI" "ocvj" "ABEZHIKMNOPTYXCJ" "oag" "μ" "-----",
+    "асеорхуіјѕһԁԛԝӏ" "АВЕЅІЈКМНОРСТУХԚԜӀ" "οϲνϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" "օɑɡ" "ՕՍՏԼսհոզցյ" "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᏀᏂᏃᏏᏙᏚᏞᏟᏢᏦᏧᏴ" "µ" "‐‑﹣˗⁃",
+    "aceopxyijshdqwl" "ABESIJKMHOPCTYXQWI" "ocvj" "ABEZHIKMNOPTYXCJ" "oag" "OUSLuhnqgj" "DRTiYAJEWMHGhZbVSLCPKdB" "μ" "-----",
     strict=True,
 ))
 ZERO_WIDTH_JOINER = 0x200D
+FILLERS = frozenset((0x115F, 0x1160, 0x2065, 0x3164, 0xFFA0, *range(0xFFF0, 0xFFF9)))
 LAST = 0x110000
 PLAIN = re.compile(r"[^\n\t\x20-\x7e]")
 
 
 def _unseen(cp: int, category: str) -> bool:
-    """Characters without an image: format and control characters, grapheme joiner, variation selectors.
+    """Characters without an image: format and control characters, grapheme joiner, variation selectors, Hangul
+    fillers and the unassigned code points that are ignored by default.
 
     Arabic and Indic signs that enclose digits are drawn though they count as format characters, and the tag
     characters (U+E0020...) choose between flags.
@@ -36,7 +38,7 @@ def _unseen(cp: int, category: str) -> bool:
         return cp not in (0x09, 0x0A, 0x0D)
     if category == "Cf":
         return not (0x600 <= cp <= 0x605 or cp in (0x6DD, 0x70F, 0x890, 0x891, 0x8E2) or 0x110BD <= cp <= 0x1343F or cp >= 0xE0020)
-    return cp in (0x34F, 0x17B4, 0x17B5) or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF
+    return cp in FILLERS or cp in (0x34F, 0x17B4, 0x17B5) or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF
 
 
 def _replacement(cp: int) -> str | None:
@@ -59,6 +61,8 @@ def _replacement(cp: int) -> str | None:
         joined = "".join(chr(int(p, 16)) for p in parts)
         if all(unicodedata.category(c)[0] == "L" for c in joined):
             became = joined  # joined letters
+    elif 0x2160 <= cp <= 0x217F:
+        became = unicodedata.normalize("NFKD", char)  # Roman numerals
     became = "".join(LOOK_ALIKES.get(c, c) for c in unicodedata.normalize("NFD", became))
     return None if became == char else became
 
