@@ -6,13 +6,15 @@ import json
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import UTC, datetime
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.ids import safe_path
+from folioscope.functions.urls import scope_test
 from folioscope.operators import search as s
-from folioscope.operators.crawl import CrawlSettings, Crawled, Fetch, SourceSpec, crawl
+from folioscope.operators.crawl import CrawlSettings, Crawled, Fetch, SourceSpec, crawl, http_fetch
 from folioscope.operators.crawl import retry as retry_crawl
 from folioscope.operators.dense import Embed
 from folioscope.operators.index import index as index_crawl
@@ -47,22 +49,39 @@ def artifact_name(spark: SparkSession, spec: SourceSpec) -> str:
     return "/".join(parts)
 
 
-def scrape(spark: SparkSession, spec: SourceSpec, fetch: Fetch, root: str, name: str | None = None) -> Crawled:
-    """Crawl and write the artifact, also when pages failed; ``Crawled.check()`` raises then."""
+def site_fetch(spec: SourceSpec, settings: CrawlSettings | None = None) -> Fetch:
+    """Pages of the source's site from the network; redirects must stay in the seed's scope."""
+    return http_fetch(settings or CrawlSettings(), scope_test(spec.seed_url))
+
+
+def scrape(spark: SparkSession, spec: SourceSpec, fetch: Fetch, root: str, name: str | None = None, **watch) -> Crawled:
+    """Crawl and write the artifact, also when pages failed or the crawl was cancelled; ``Crawled.check()`` raises then.
+
+    ``watch``: ``progress`` and ``cancelled`` as in ``crawl``.
+    """
     if not spec.source or not spec.content_selector:
         raise ValueError("source and content selector are required")
     started = datetime.now(UTC)
-    crawled = crawl(spark, spec, fetch)
+    crawled = crawl(spark, spec, fetch, **watch)
     write_artifact(spark, crawled, root, name or artifact_name(spark, spec), started, datetime.now(UTC))
     return crawled
 
 
-def retry(spark: SparkSession, root: str, name: str, fetch: Fetch, selectors: list[str] | None = None) -> Crawled:
-    """Crawl again what is missing from an artifact and write the merged one; a complete artifact is not touched."""
+def retry(
+    spark: SparkSession, root: str, name: str, fetch: Fetch | Callable[[SourceSpec, CrawlSettings], Fetch] = site_fetch, selectors: list[str] | None = None,
+    overrides: dict | None = None, **watch,
+) -> Crawled:
+    """Crawl again what is missing from an artifact and write the merged one; a complete artifact is not touched.
+
+    ``fetch`` is called with the source and the artifact's own settings (``retry_settings``, with ``overrides``) if it
+    is a function of both; a fetching function made before is used as it is.
+    """
     manifest, old = read_artifact(spark, root, name)
     if old.complete:
         return old
-    merged = retry_crawl(spark, old, fetch, selectors)
+    settings = retry_settings(old.settings, **(overrides or {}))
+    own = fetch(old.spec, settings) if len(signature(fetch).parameters) > 1 else fetch
+    merged = retry_crawl(spark, old, own, selectors, settings=settings, **watch)
     write_artifact(spark, merged, root, name, datetime.fromisoformat(manifest["started_at"]), datetime.now(UTC))
     return merged
 
@@ -83,21 +102,30 @@ def ingest(
 
 def search(
     spark: SparkSession, store: SnapshotStore, query: str, source: str, embed: Embed, version: str | None = None, limit: int | None = None,
-    candidates: int | None = None, mode: str = "hybrid", reranker: Callable = s.words_contained,
+    candidates: int | None = None, mode: str = "hybrid", reranker: Callable[[str, list[str]], list[tuple[int, float]]] | None = None,
 ) -> DataFrame:
-    """The results of one query over one source's active snapshot."""
+    """The results of one query over one source's active snapshot.
+
+    The lexical list comes from the snapshot's postings, which hold the whole embedding texts (title, headings and URL
+    too); only the row groups of the query's terms are read. ``reranker``: a service (``HttpReranker``) or any function
+    of a query and its candidates' texts; without one the query's words contained are counted.
+    """
     if not query.strip() or not source:
         raise ValueError("query and source are required")
     vectors = embed([query])
     if len(vectors) != 1:
         raise ValueError(f"expected one query vector, got {len(vectors)}")
     asked = spark.createDataFrame([(0, query, [float(x) for x in vectors[0]])], "query_no int, asked string, query_vector array<float>")
-    stored = store.chunks(source, version).select(
-        F.xxhash64("point_id").alias("point_no"), "markdown", "dense_vector", F.col("source").alias("source_id"), "version", "url", "title", "heading_path"
-    )
-    if mode == "hybrid" and not s.postings(asked, "query_no", "asked").limit(1).collect():
-        raise ValueError("the query has no searchable term")
-    return s.search(asked, stored, "query_no", "asked", "query_vector", limit=limit, candidates=candidates, mode=mode, reranker=reranker).orderBy("rank")
+    stored = store.chunks(source, version).withColumnRenamed("source", "source_id")
+    posted = None
+    if mode == "hybrid":
+        terms = [r.term for r in s.postings(asked, "query_no", "asked").collect()]  # those of one query
+        if not terms:
+            raise ValueError("the query has no searchable term")
+        posted = store.postings(source, version).where(F.col("term").isin(terms))
+    rerank = s.service_scores(reranker) if reranker else None
+    found = s.search(asked, stored, "query_no", "asked", "query_vector", "point_id", limit, candidates, mode, rerank, posted, stored.count())
+    return found.orderBy("rank")
 
 
 def get(store: SnapshotStore, source: str, url: str, version: str | None = None) -> str:
@@ -128,8 +156,3 @@ def documents(store: SnapshotStore, source: str, version: str | None = None, sty
         shown = version or next((r["version"] for r in rows), "") or ""
         return json.dumps({"schema_version": 1, "source": source, "version": shown, "documents": rows}, indent=2, ensure_ascii=False, default=str) + "\n"
     return "".join(f"{r['title']}\n  {r['url']}\n" if r["title"] else f"{r['url']}\n" for r in rows) or NO_DOCUMENTS
-
-
-def progress(done: int, total: int) -> int:
-    """Crawl progress in steps of ten per cent."""
-    return 100 if total <= 0 else done * 10 // total * 10

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+from dataclasses import dataclass, replace
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of names and fingerprints.
 NAME_LENGTH = 24
-ALIAS_PREFIX = "dw_"
+ALIAS_PREFIX = "alias_"
 FNV64_OFFSET = 14695981039346656037
 FNV64_PRIME = 1099511628211
 INPUT_FORMAT_VERSION = 1
@@ -109,3 +110,21 @@ def profile_fingerprint(provider: str, endpoint: str, model: str, input_type: st
         "input_type": input_type.strip(), "input_format": str(input_format_version or INPUT_FORMAT_VERSION),
     }
     return hashlib.sha256("\n".join(f"{k}={v}" for k, v in lines.items()).encode()).hexdigest()
+
+
+@dataclass(frozen=True)
+class EmbeddingProfile:
+    """What an embedding depends on. Vectors are reused only under an equal fingerprint."""
+
+    provider: str = ""
+    endpoint: str = ""
+    model: str = ""
+    input_type: str = "document"
+    input_format_version: int = 0
+
+    def for_model(self, model: str) -> EmbeddingProfile:
+        """With ``model`` where the profile names none."""
+        return self if self.model else replace(self, model=model)
+
+    def fingerprint(self) -> str:
+        return profile_fingerprint(self.provider, self.endpoint, self.model, self.input_type or "document", self.input_format_version)

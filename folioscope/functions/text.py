@@ -1,7 +1,9 @@
-"""Text functions as Column expressions; every one stays inside the JVM."""
+"""Text functions as Column expressions; all but the hashing of terms stay inside the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,19 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.char_length(text) / CHARS_PER_TOKEN)).cast("int")
 
 
+def lowered(text: Column) -> Column:
+    """Lower case character by character: a capital sigma is always σ and a dotted I always i, wherever they stand."""
+    return F.lower(F.translate(text, "Σİ", "σi"))
+
+
 def normalized_text(text: Column) -> Column:
     """Lower case, runs of white space (Unicode ones too) become one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(lowered(text), r"(?U)\s+", " "))
 
 
 def word_set(text: Column) -> Column:
     """Distinct lower-case words (letters, digits, ``_``) of more than one byte, in order of appearance."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{Nd}_]+")
+    words = F.split(lowered(text), r"[^\p{L}\p{Nd}_]+")
     return F.array_distinct(F.filter(words, lambda w: F.octet_length(w) > 1))
 
 
@@ -42,8 +49,8 @@ def lexical_tokens(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(1))
 
     def expand(token: Column) -> Column:
-        whole = F.lower(token)
-        parts = F.transform(F.split(token, PART_SPLIT), lambda p: F.lower(p))
+        whole = lowered(token)
+        parts = F.transform(F.split(token, PART_SPLIT), lowered)
         kept = F.filter(parts, lambda p: (F.octet_length(p) > 1) & (p != whole))
         return F.concat(F.array(whole), kept)
 
@@ -55,18 +62,46 @@ def identifier_parts(token: Column) -> Column:
     return F.filter(F.split(token, PART_SPLIT), lambda p: p != "")
 
 
+def _fnv1a32(words: pa.Array) -> np.ndarray:
+    """FNV-1a 32 of the UTF-8 bytes of every word: byte by byte, all words that are long enough at once."""
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    sizes = np.diff(ends)
+    order = np.argsort(-sizes, kind="stable")
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    starts, longest = ends[:-1][order], np.sort(sizes)
+    state = np.full(len(words), FNV32_OFFSET, np.uint32)
+    for place in range(int(longest[-1]) if len(longest) else 0):
+        some = slice(0, len(words) - int(np.searchsorted(longest, place, "right")))
+        state[some] = (state[some] ^ data[starts[some] + place]) * np.uint32(FNV32_PRIME)
+    found = np.empty(len(words), np.int64)
+    found[order] = state
+    return found
+
+
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a 32 of the UTF-8 bytes as BIGINT; masked at every step, so ANSI overflow can't occur."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
-    return F.aggregate(
-        pairs,
-        F.lit(FNV32_OFFSET).cast("bigint"),
-        lambda h, pair: h.bitwiseXOR(F.conv(pair, 16, 10).cast("bigint")) * F.lit(FNV32_PRIME) % F.lit(1 << 32),
-    )
+    """FNV-1a 32 of the UTF-8 bytes as BIGINT; null for null. An Arrow UDF: the JVM has no such hash."""
+
+    @F.arrow_udf("bigint")
+    def hashed(words: pa.Array) -> pa.Array:
+        return pa.array(_fnv1a32(words.fill_null("")), mask=np.asarray(words.is_null()))
+
+    return hashed(text)
+
 
+def term_vectors(lists: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Hashed terms (ascending, distinct) and values (1 + ln of the count) of every list of tokens; null where there is none.
 
-def sparse_weight(count: Column) -> Column:
-    return (1 + F.log(count)).cast("float")
+    The distinct tokens of all lists are hashed once, then each list's hashes are counted.
+    """
+    sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    coded = lists.flatten().dictionary_encode()
+    terms = _fnv1a32(coded.dictionary)[np.asarray(coded.indices)]
+    keys, counts = np.unique(np.repeat(np.arange(len(lists)), sizes) << 32 | terms, return_counts=True)
+    bounds = pa.array(np.searchsorted(keys, np.arange(len(lists) + 1) << 32), pa.int32())
+    absent = pa.array(sizes == 0)
+    values = (1 + np.log(counts)).astype(np.float32)
+    return tuple(pa.ListArray.from_arrays(bounds, pa.array(x), mask=absent) for x in (keys & 0xFFFFFFFF, values))
 
 
 def embedding_text(title: Column, headings: Column, url: Column, markdown: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +72,15 @@ def in_scope(url: Column, seed: Column) -> Column:
     return (url_origin(url) == url_origin(seed)) & (
         (base == "") | (path == base) | F.startswith(path, F.concat(base, F.lit("/")))
     )
+
+
+def scope_test(seed: str) -> Callable[[str], bool]:
+    """``in_scope`` for redirects, which are met one by one inside a fetching task. ``seed`` is canonical."""
+    root = urlsplit(seed)
+    base = root.path.removesuffix("/")
+
+    def allowed(url: str) -> bool:
+        to = urlsplit(url)
+        return (to.scheme.lower(), to.netloc.lower()) == (root.scheme, root.netloc) and (not base or to.path == base or to.path.startswith(f"{base}/"))
+
+    return allowed

@@ -6,13 +6,17 @@ import threading
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import urljoin, urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,7 @@ from folioscope.functions.html import decode, is_html, media_type, parse_page, p
 from folioscope.functions.ids import artifact_document_id, content_hash, document_filename
 from folioscope.functions.urls import canonical_url, in_scope
 from folioscope.operators.catalog import distinct_events, is_complete, merge_documents, merge_events, retry_targets
-from folioscope.session import materialize
+from folioscope.session import checkpoint_folder, delete_on_exit, discard, materialize
 
 MAX_REDIRECTS = 10
 FETCHED = "requested string, final_url string, status int, content_type string, body binary, hops array<struct<url:string,status:int,target:string>>, error string"
@@ -70,6 +74,7 @@ class Crawled:
     complete: bool
     failed: int = 0
     missing: int = 0
+    settings: CrawlSettings | None = None
 
     def check(self) -> Crawled:
         if not self.complete:
@@ -111,17 +116,28 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
         return None
 
 
+class Slots:
+    """When each host may be asked next. Threads share it; a host met for the first time waits a whole interval.
+
+    So the interval holds from one level, that is task or Python worker, to the next without shared memory.
+    """
+
+    def __init__(self, interval: float, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.interval, self.now, self.sleep = interval, now, sleep
+        self.next: dict[str, float] = {}
+        self.lock = threading.Lock()
+
+    def wait(self, host: str) -> None:
+        with self.lock:
+            slot = max(self.now(), self.next.get(host, self.now() + self.interval))
+            self.next[host] = slot + self.interval
+        self.sleep(max(0.0, slot - self.now()))
+
+
 def http_opener(allowed: Callable[[str], bool], settings: CrawlSettings) -> Callable[[str], tuple]:
     """GET with the crawl's headers, at most 10 redirects, each of which must stay in scope; a slot per host and throttle."""
     opener = urllib.request.build_opener(_NoRedirect)
-    slots: dict[str, float] = {}
-    lock = threading.Lock()
-
-    def wait(host: str) -> None:
-        with lock:
-            slot = max(time.monotonic(), slots.get(host, 0.0))
-            slots[host] = slot + settings.throttle
-        time.sleep(max(0.0, slot - time.monotonic()))
+    wait = Slots(settings.throttle).wait
 
     def open_url(url: str) -> tuple:
         hops: list[dict] = []
@@ -152,19 +168,29 @@ FETCHED_ARROW = pa.schema([
 ])
 
 
-def http_fetch(settings: CrawlSettings, allowed: Callable[[str], bool]) -> Fetch:
-    """Pages from the network: a host's URLs go to one task, where the throttle holds without shared memory."""
+def http_fetch(settings: CrawlSettings, allowed: Callable[[str], bool], opener: Callable[..., Callable[[str], tuple]] = http_opener) -> Fetch:
+    """Pages from the network: a host's URLs go to one task, which has up to ``workers`` of them under way at once.
+
+    The throttle's slots are shared by the task's threads. Pages leave the task as they come, ``workers`` at a time.
+    """
 
     def fetch(frontier: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            one = fetch_with_retries(http_opener(allowed, settings), settings)
-            for batch in batches:
-                rows = [one(u) for u in batch.column(0).to_pylist()]
-                yield from pa.Table.from_pylist(rows, FETCHED_ARROW).to_batches()
+            one = fetch_with_retries(opener(allowed, settings), settings)
+            with ThreadPoolExecutor(settings.workers) as pool:
+                for batch in batches:
+                    urls = batch.column(0).to_pylist()
+                    waiting = [pool.submit(one, u) for u in urls[: 2 * settings.workers]]
+                    for at in range(0, len(urls), settings.workers):
+                        rows = [f.result() for f in waiting[: settings.workers]]
+                        after = at + 2 * settings.workers
+                        waiting = waiting[settings.workers :] + [pool.submit(one, u) for u in urls[after : after + settings.workers]]
+                        yield from pa.Table.from_pylist(rows, FETCHED_ARROW).to_batches()
 
         hosts = frontier.repartition(settings.workers, F.regexp_extract("url", "^[^/]+//([^/]+)", 1))
         return hosts.select("url").mapInArrow(run, FETCHED)
 
+    fetch.settings = settings
     return fetch
 
 
@@ -198,11 +224,22 @@ def table_fetch(pages: DataFrame) -> Fetch:
     return fetch
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut between rows, so that a slice has about ``most_bytes`` of ``column`` or is one row."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), np.int64)
+        start = 0
+        while start < batch.num_rows:
+            take = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most_bytes, "right")))
+            yield batch.slice(start, take)
+            start += take
+
+
 def parse_fetched(fetched: DataFrame, selectors: list[str]) -> DataFrame:
     """Media type, charset, and for HTML pages of status 2xx the parsed page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "body"):
             rows = []
             for r in batch.to_pylist():
                 body = r.pop("body") or b""
@@ -230,12 +267,40 @@ def _events(rows: DataFrame, kind: str, url: str, status, detail, target) -> Dat
     return rows.select(F.lit(kind).alias("kind"), F.col(url).alias("url"), status.cast("int").alias("status"), detail.cast("string").alias("detail"), target.cast("string").alias("target"))
 
 
-def crawl(spark: SparkSession, spec: SourceSpec, fetch: Fetch, initial: list[str] | None = None, known: DataFrame | None = None, crawled_at=None) -> Crawled:
+def percent_done(processed: int, discovered: int) -> int:
+    """Crawl progress in steps of ten per cent."""
+    return 100 if discovered <= 0 else processed * 10 // discovered * 10
+
+
+class Seen:
+    """The URLs a crawl must not fetch again, in the shared folder: every level is appended once, none is written again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{checkpoint_folder(spark)}/seen-{uuid.uuid4().hex}"
+        delete_on_exit(spark, self.path)
+
+    def add(self, urls: DataFrame) -> None:
+        urls.select("url").write.mode("append").parquet(self.path)
+
+    def urls(self) -> DataFrame:
+        return self.spark.read.schema("url string").parquet(self.path)
+
+
+def crawl(
+    spark: SparkSession, spec: SourceSpec, fetch: Fetch, initial: list[str] | None = None, known: DataFrame | None = None, crawled_at=None,
+    progress: Callable[[int, int, int], None] | None = None, cancelled: Callable[[], bool] | None = None, settings: CrawlSettings | None = None,
+) -> Crawled:
     """Documents and events of all pages in the seed's scope that links reach, level by level.
 
     ``initial``: start there instead of at the seed (each must be in scope); ``known``: documents (url) not to be
-    fetched again. Every level is written to the shared folder, and the pages seen are taken out by an anti-join, so
-    nothing grows on the driver. Of several pages with one final URL, the one requested under the lowest URL counts.
+    fetched again. Every level is written to the shared folder and read once for its links and once for the result; the
+    pages seen stand in one growing table and are taken out by an anti-join, so nothing grows on the driver. Of several
+    pages with one final URL, the one requested under the lowest URL counts.
+
+    ``progress`` is told the per cent done in steps of ten, the pages processed and the pages discovered, after a level
+    that reaches another step. ``cancelled`` is asked after every level; if it says so, or on an interrupt from the
+    keyboard, the crawl ends with what it has: an incomplete one. The seed and the pages that were still to be fetched
+    count as failed, so ``retry`` goes on from there.
     """
     for selector in spec.selectors():
         parse_selector(selector)
@@ -247,22 +312,37 @@ def crawl(spark: SparkSession, spec: SourceSpec, fetch: Fetch, initial: list[str
     if outside or not seed.startswith(("http://", "https://")):
         raise ValueError(f"not in the scope of {spec.seed_url}: {outside}")
     known = (spark.createDataFrame([], "url string") if known is None else known.select("url")).distinct()
-    levels: list[DataFrame] = []
-    while not frontier.isEmpty():
-        fetched = parse_fetched(fetch(frontier), spec.selectors()).withColumn("final_url", canonical_url(F.col("final_url")))
-        levels.append(materialize(fetched.withColumn("level", F.lit(len(levels))), "level"))
-        seen = known
-        for rows in levels:
-            seen = seen.unionByName(rows.select(F.explode(F.array("requested", "final_url")).alias("url")))
-        to = link_targets(levels[-1], seed).where("ok").select("url").distinct()
-        frontier = materialize(to.join(seen.distinct(), "url", "left_anti"), "frontier")
-    parsed = levels[0]
-    for rows in levels[1:]:
-        parsed = parsed.unionByName(rows)
+    seen, levels, processed, step, stopped = Seen(spark), [], 0, 0, ""
+    seen.add(known)
+    try:
+        while not frontier.isEmpty():
+            fetched = parse_fetched(fetch(frontier), spec.selectors()).withColumn("final_url", canonical_url(F.col("final_url")))
+            levels.append(materialize(fetched.withColumn("level", F.lit(len(levels))), "level"))
+            seen.add(levels[-1].select(F.explode(F.array("requested", "final_url")).alias("url")).distinct())
+            to = link_targets(levels[-1], seed).where("ok").select("url").distinct()
+            frontier, done = materialize(to.join(seen.urls(), "url", "left_anti"), "frontier"), frontier
+            discard(done)
+            if progress:
+                processed += levels[-1].count()
+                discovered = processed + frontier.count()
+                reached = percent_done(processed, discovered)
+                if reached > 0 and reached != step:
+                    step = reached
+                    progress(reached, processed, discovered)
+            if cancelled and cancelled():
+                stopped = "cancelled"
+                break
+    except KeyboardInterrupt:
+        stopped = "interrupted"
+    parsed = reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], f"{PARSED}, level int")
     documents = materialize(crawled_documents(parsed, spec, known, crawled_at), "documents")
-    events = materialize(distinct_events(crawl_events(parsed, seed, known)), "events")
+    happened = crawl_events(parsed, seed, known)
+    if stopped:
+        left = _events(frontier, "failed", "url", F.lit(None), F.lit(stopped), F.lit(None))
+        happened = happened.unionByName(left).unionByName(spark.createDataFrame([("failed", seed, None, stopped, None)], EVENT))
+    events = materialize(distinct_events(happened), "events")
     state = is_complete(events).first()
-    return Crawled(spec, documents.orderBy("url"), events, state.complete, state.failed, state.missing)
+    return Crawled(spec, documents.orderBy("url"), events, state.complete, state.failed, state.missing, settings or getattr(fetch, "settings", None))
 
 
 GOOD = "error is null and status between 200 and 299"
@@ -321,7 +401,7 @@ def crawl_events(parsed: DataFrame, seed: str, known: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def retry(spark: SparkSession, old: Crawled, fetch: Fetch, selectors: list[str] | None = None, crawled_at=None) -> Crawled:
+def retry(spark: SparkSession, old: Crawled, fetch: Fetch, selectors: list[str] | None = None, crawled_at=None, **watch) -> Crawled:
     """Crawl the failed and content-less pages again and merge: a complete crawl is returned as it is.
 
     New selectors are added behind the stored ones. Documents are replaced by URL or added, the retried URLs' old
@@ -332,11 +412,11 @@ def retry(spark: SparkSession, old: Crawled, fetch: Fetch, selectors: list[str]
     spec = SourceSpec(**{**old.spec.__dict__, "content_selectors": list(dict.fromkeys(s for s in [*old.spec.content_selectors, *(selectors or [])] if s.strip() and s != old.spec.content_selector))})
     targets = retry_targets(old.events)
     wanted = [r.url for r in targets.collect()]  # the pages that failed, which the caller asked to fetch one by one
-    new = crawl(spark, spec, fetch, wanted, old.documents, crawled_at)
+    new = crawl(spark, spec, fetch, wanted, old.documents, crawled_at, **watch)
     documents = materialize(merge_documents(old.documents, new.documents), "documents")
     events = materialize(merge_events(old.events, new.events, targets), "events")
     state = is_complete(events).first()
-    return Crawled(spec, documents.orderBy("url"), events, state.complete, state.failed, state.missing)
+    return Crawled(spec, documents.orderBy("url"), events, state.complete, state.failed, state.missing, new.settings)
 
 
 def resolve_url(base, href):
@@ -355,13 +435,22 @@ def resolve_url(base, href):
 
 
 def reachable(links: DataFrame, seeds: DataFrame, source: str = "src", target: str = "dst", max_levels: int | None = None) -> DataFrame:
-    """url, level: breadth-first levels over a static link table; cycles end because pages seen are taken out."""
-    frontier = materialize(seeds.select(F.col("url")).distinct().withColumn("level", F.lit(0)), "frontier")
-    seen, level = frontier, 0
+    """url, level: breadth-first levels over a static link table; cycles end because pages seen are taken out.
+
+    The levels are appended to one table, which is the result.
+    """
+    spark = links.sparkSession
+    path = f"{checkpoint_folder(spark)}/reached-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
     edges = links.select(F.col(source).alias("url"), F.col(target).alias("next"))
+    frontier, level = materialize(seeds.select(F.col("url")).distinct().withColumn("level", F.lit(0)), "frontier"), 0
+    schema = frontier.schema
+    frontier.write.mode("append").parquet(path)
     while not frontier.isEmpty() and (max_levels is None or level < max_levels):
         level += 1
+        seen = spark.read.schema(schema).parquet(path)
         after = frontier.join(edges, "url").select(F.col("next").alias("url")).where("url is not null").distinct().join(seen, "url", "left_anti")
-        frontier = materialize(after.withColumn("level", F.lit(level)), "frontier")
-        seen = materialize(seen.unionByName(frontier), "seen")
-    return seen
+        frontier, done = materialize(after.withColumn("level", F.lit(level)), "frontier"), frontier
+        discard(done)
+        frontier.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

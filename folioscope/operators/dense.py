@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.sparse import top_k
 
-QUERY_BLOCK = 4096
-BASE_BLOCK = 65_536
+BLOCK_BYTES = 32 << 20  # of one side of a block pair, in double precision
+SLICE_BYTES = 16 << 20  # of the product of two slices
+BASE_SLICE = 4096
+LEAST_ROWS = 4096
 
 
 def has_direction(vector: Column) -> Column:
@@ -22,24 +24,63 @@ def has_direction(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(table: pa.Table, name: str) -> np.ndarray:
+def _matrix(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vectors, and the places of the rows that have one (a norm that is neither 0 nor infinite)."""
     lists = table.column(name).combine_chunks()
     rows = np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
-    return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    good = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+    return rows[good] / norms[good, None], good
+
+
+def best_of_block(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of query and row and the similarity (9 decimals) of the k best rows of every query, ties to the lower place.
+
+    The product is made slice by slice, at most ``SLICE_BYTES`` at a time; after each slice of rows only k per query and
+    the similarity of the k-th are kept, so memory doesn't depend on the block's size.
+    """
+    step = max(1, SLICE_BYTES // (8 * BASE_SLICE))
+    found: list[tuple[np.ndarray, ...]] = []
+    for low in range(0, len(queries), step):
+        asked = queries[low : low + step]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        kth = np.full(len(asked), -2.0)
+        for at in range(0, len(rows), BASE_SLICE):
+            similar = asked @ rows[at : at + BASE_SLICE].T
+            width = similar.shape[1]
+            edge = kth if width <= k else np.maximum(kth, np.partition(similar, width - k, axis=1)[:, width - k])
+            near, column = np.nonzero(similar >= np.maximum(edge, -2.0)[:, None] - 1e-9)
+            score = np.round(similar[near, column], 9)
+            best = (np.append(best[0], near), np.append(best[1], at + column), np.append(best[2], score))
+            order = np.lexsort((best[1], -best[2], best[0]))
+            own = best[0][order]
+            place = np.arange(len(own))
+            nth = place - np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), place, 0)) if len(own) else place
+            last = order[nth == k - 1]
+            kth[best[0][last]] = best[2][last]
+            best = tuple(x[order[nth < k]] for x in best)
+        found.append((low + best[0], best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def dense_topk(
-    queries: DataFrame, query: str, query_vector: str, base: DataFrame, key: str, vector: str, k: int, exclude_same_key: bool = False,
-    query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK,
+    queries: DataFrame, query: str, query_vector: str, base: DataFrame, key: str, vector: str, k: int,
+    block_bytes: int = BLOCK_BYTES, least_rows: int = LEAST_ROWS,
 ) -> DataFrame:
     """query, key, score, rank: the k most similar vectors of every query by cosine, ties to the lower key.
 
-    A stated query set against all rows, in blocks: queries and rows are hashed into blocks of bounded size, each
-    pair of blocks meets in one task as two matrices, which returns k rows per query. Vectors without direction, and
-    pairs of different length, have no score.
+    A stated query set against all rows, in blocks: queries and rows are hashed into blocks of at most ``block_bytes``
+    (in double precision), each pair of blocks meets in one task, which multiplies them in slices and returns k rows per
+    query. Rows are copied once per block of queries (65,536 of 64 elements) and no more; queries once per block of
+    rows. Where there are few rows, they make more blocks of at least ``least_rows``, so that all cores work. Vectors
+    without direction, and pairs of different length, have no score.
     """
-    n_queries, n_rows = queries.count(), base.count()
-    q_blocks, b_blocks = max(1, math.ceil(n_queries / query_block)), max(1, math.ceil(n_rows / base_block))
+    size_of = lambda df, v: df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(v)), F.lit(1)).alias("d")).first()
+    (n_queries, q_size), (n_rows, b_size) = size_of(queries, query_vector), size_of(base, vector)
+    per_block = max(1, block_bytes // (8 * max(q_size, b_size, 1)))
+    q_blocks = max(1, math.ceil(n_queries / per_block))
+    spread = min(queries.sparkSession.sparkContext.defaultParallelism, n_rows // least_rows)
+    b_blocks = max(1, math.ceil(n_rows / per_block), spread)
     block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.where(has_direction(F.col(query_vector))).select(
@@ -48,27 +89,21 @@ def dense_topk(
     rows = base.where(has_direction(F.col(vector))).select(
         F.col(key).alias("p"), F.col(vector).alias("v"), F.size(vector).alias("d"), block(key, b_blocks).alias("bb"), each(q_blocks).alias("qb")
     )
+    kind = rows.schema["p"].dataType.simpleString()
+    schema = pa.schema([("q", pa.int64()), ("p", pa.string() if kind == "string" else pa.int64()), ("score", pa.float64())])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, p = np.asarray(left.column("q").to_numpy()), np.asarray(right.column("p").to_numpy())
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(q) and len(p):
-            order = np.argsort(p, kind="stable")
-            similar = _matrix(left, "v") @ _matrix(right, "v")[order].T
-            p = p[order]
-            if exclude_same_key:
-                similar[q[:, None] == p[None, :]] = -np.inf
-            take = min(k, len(p))
-            for row, s in enumerate(similar):
-                edge = np.partition(s, len(p) - take)[len(p) - take] - 1e-9
-                near = np.flatnonzero((s >= edge) & np.isfinite(s))
-                best = near[np.lexsort((near, -np.round(s[near], 9)))[:take]]
-                out.append((np.full(len(best), q[row]), p[best], np.round(s[best], 9)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"q": columns[0], "p": columns[1], "score": columns[2]}, schema)
-
-    schema = pa.schema([("q", pa.int64()), ("p", pa.int64()), ("score", pa.float64())])
-    met = asked.groupBy("d", "qb", "bb").cogroup(rows.groupBy("d", "qb", "bb")).applyInArrow(meet, "q bigint, p bigint, score double")
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        asked_vectors, mine = _matrix(left, "v")
+        keys = right.column("p").combine_chunks()
+        right = right.take(pa.array(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")))  # places ascend with the keys
+        vectors, theirs = _matrix(right, "v")
+        q, places, score = best_of_block(asked_vectors, vectors, k)
+        keys = right.column("p").combine_chunks()
+        return pa.table({"q": left.column("q").combine_chunks().take(pa.array(mine[q])), "p": keys.take(pa.array(theirs[places])), "score": score}, schema)
+
+    met = asked.groupBy("d", "qb", "bb").cogroup(rows.groupBy("d", "qb", "bb")).applyInArrow(meet, f"q bigint, p {kind}, score double")
     return top_k(met, k, "q", "score", "p").select(F.col("q").alias(query), F.col("p").alias(key), "score", "rank")
 
 

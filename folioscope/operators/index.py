@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.ids import chunk_point_id, sha_of, store_document_id, stored_point_id
+from folioscope.functions.ids import EmbeddingProfile, chunk_point_id, sha_of, store_document_id, stored_point_id
 from folioscope.functions.text import embedding_text
 from folioscope.operators.chunking import chunk_documents
 from folioscope.operators.crawl import Crawled
 from folioscope.operators.dense import Embed, attach_vectors, reuse_counts
-from folioscope.operators.sparse import sparse_vectors
+from folioscope.operators.sparse import with_term_vectors
 from folioscope.session import materialize
 from folioscope.sources.store import DEFAULT_RETENTION, Snapshot, SnapshotStore
 
@@ -35,13 +35,17 @@ def page_points(documents: DataFrame) -> DataFrame:
 
 
 def index(
-    spark: SparkSession, crawled: Crawled, store: SnapshotStore, embed: Embed, profile: str = "", model: str = "", allow_incomplete: bool = False,
+    spark: SparkSession, crawled: Crawled, store: SnapshotStore, embed: Embed, profile: EmbeddingProfile | None = None, model: str = "", allow_incomplete: bool = False,
     force_reembed: bool = False, retention: int = DEFAULT_RETENTION, batch: int = 64,
 ) -> dict:
     """Publish a crawl as a new snapshot; vectors of unchanged inputs are taken from the active one.
 
-    Incomplete crawls and crawls without a chunk are errors. Gives the physical name and the counts.
+    Vectors are reused under the same fingerprint only: of ``profile``, else of the embedder's own (``embed.profile``),
+    with ``model`` where it names none. Incomplete crawls and crawls without a chunk are errors. Gives the physical name
+    and the counts.
     """
+    profile = (profile or getattr(embed, "profile", None) or EmbeddingProfile()).for_model(model)
+    fingerprint = profile.fingerprint()
     spec = crawled.spec
     if not (crawled.complete or allow_incomplete):
         raise ValueError("the crawl is incomplete")
@@ -49,13 +53,13 @@ def index(
     points = materialize(chunk_points(documents), "points")
     if points.isEmpty():
         raise ValueError("no indexable chunks")
-    stored = None if force_reembed else store.stored_vectors(spec.source, spec.version or None, profile)
+    stored = None if force_reembed else store.stored_vectors(spec.source, spec.version or None, fingerprint)
     counts = reuse_counts(points, stored).first().asDict() if stored is not None else {"reused": 0, "embedded": points.select("input_hash").distinct().count()}
-    sparse = sparse_vectors(points, "point_id", "embedding_text")
-    chunks = materialize(attach_vectors(points, stored, "embedding_text", embed, batch).join(sparse, "point_id").drop("embedding_text"), "chunks")
+    with_vectors = with_term_vectors(attach_vectors(points, stored, "embedding_text", embed, batch), F.col("embedding_text"))
+    chunks = materialize(with_vectors.drop("embedding_text"), "chunks")
     snapshot = Snapshot(
         spec.source, spec.version or None, spec.seed_url, chunks, page_points(documents), documents.count(), spec.display_name, spec.description, spec.tags,
-        crawled.complete, allow_incomplete, model, profile,
+        crawled.complete, allow_incomplete, model or profile.model, fingerprint,
     )
     return {"physical": store.publish(snapshot, retention)} | counts
 

@@ -5,21 +5,21 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import jaccard, normalized_text, word_set
+from folioscope.functions.text import jaccard, lowered, normalized_text, word_set
 from folioscope.operators.dense import dense_topk
-from folioscope.operators.sparse import postings, sparse_scores, top_k
+from folioscope.operators.sparse import exploded, postings, sparse_topk, top_k
 
 RRF_K = 60
 DEFAULT_LIMIT = 5
 DEFAULT_CANDIDATES = 40
 SAME_PAGE_SIMILARITY = 0.75
+# Fixed value of the printed form.
 NOTHING_FOUND = "No matching documentation found."
 
-Rerank = Callable[[DataFrame], DataFrame]
-
 
 def candidate_count(limit: int | None, candidates: int | None) -> tuple[int, int]:
     """Limit (5) and candidates (40, at least the limit)."""
@@ -43,38 +43,44 @@ def fuse(dense: DataFrame, sparse: DataFrame, query: str, key: str, rrf_k: int =
 
 
 def hybrid_candidates(
-    queries: DataFrame, points: DataFrame, query: str, query_text: str, query_vector: str, key: str, text: str, vector: str, candidates: int, mode: str = "hybrid"
-) -> DataFrame:
+    queries: DataFrame, points: DataFrame, query: str, query_text: str, query_vector: str, key: str, candidates: int, mode: str = "hybrid",
+    posted: DataFrame | None = None, n_rows: int | None = None,
+) -> DataFrame:
     """The ``candidates`` best points of every query with their scores and position ``candidate_rank``.
 
-    ``hybrid``: the dense and the sparse list, each of that length, fused. ``dense``: the dense list alone.
+    ``points``: key, dense_vector and the published sparse vectors ``indices`` and ``values`` (null where a text has no
+    token), which were made from the whole embedding text; no text is tokenized but the queries'. ``posted`` (key, term,
+    weight) are these vectors exploded and ``n_rows`` the number of points, where a snapshot has them. ``hybrid``: the dense
+    and the sparse list, each of that length, fused. ``dense``: the dense list alone.
     """
     if mode not in ("hybrid", "dense"):
         raise ValueError(f"unknown search mode {mode!r}")
-    dense = dense_topk(queries, query, query_vector, points, key, vector, candidates)
+    dense = dense_topk(queries, query, query_vector, points, key, "dense_vector", candidates)
     if mode == "dense":
         return dense.select(query, key, F.col("score").alias("dense_score"), F.lit(0.0).alias("sparse_score"), F.lit(0.0).alias("fusion_score"), F.col("rank").alias("candidate_rank"))
-    posted = postings(points.where(F.col(text).isNotNull()), key, text)
-    sparse = top_k(sparse_scores(queries, query, query_text, posted, key, points.count()), candidates, query, "score", key)
+    asked = postings(queries, query, query_text)
+    sparse = sparse_topk(asked, query, exploded(points, key) if posted is None else posted, key, candidates, points.count() if n_rows is None else n_rows)
     return top_k(fuse(dense, sparse, query, key), candidates, query, "fusion_score", key, "candidate_rank")
 
 
 def words_contained(query_text: Column, markdown: Column) -> Column:
     """A deterministic reranker: 0.1 plus the number of the query's words that the text contains."""
-    text = F.lower(F.coalesce(markdown, F.lit("")))
-    words = F.filter(F.split(F.trim(F.lower(query_text)), r"\s+"), lambda w: w != "")
+    text = lowered(F.coalesce(markdown, F.lit("")))
+    words = F.filter(F.split(F.trim(lowered(query_text)), r"\s+"), lambda w: w != "")
     return F.lit(0.1) + F.size(F.filter(words, lambda w: F.contains(text, w))).cast("double")
 
 
 def rerank_order(scored: DataFrame, query: str) -> DataFrame:
     """``position``: by reranker score, then fusion (dense, where fusion is 0), then the candidates' own order."""
     tie = F.when(F.col("fusion_score") != 0, F.col("fusion_score")).otherwise(F.col("dense_score"))
-    order = Window.partitionBy(query).orderBy(F.col("reranker_score").desc(), tie.desc(), F.col("candidate_rank"))
+    order = Window.partitionBy(query).orderBy(F.col("reranker_score").desc_nulls_last(), tie.desc(), F.col("candidate_rank"))
     return scored.withColumn("position", F.row_number().over(order))
 
 
-def suppress_near_duplicates(ordered: DataFrame, query: str, key: str, url: str, markdown: str, limit: int, similarity: float = SAME_PAGE_SIMILARITY) -> DataFrame:
-    """query, key, rank: walking by ``position``, a row is kept unless it repeats one already kept.
+def suppress_near_duplicates(
+    ordered: DataFrame, query: str, key: str, url: str, markdown: str, limit: int, similarity: float = SAME_PAGE_SIMILARITY, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """query, key, rank and the columns ``carry``: walking by ``position``, a row is kept unless it repeats one already kept.
 
     Repeats: the same key; the same text but for case and white space; the same URL and word sets of at least the
     similarity. Stops at the limit. The fold runs over an array of a query's candidates, so the candidates must be
@@ -83,8 +89,9 @@ def suppress_near_duplicates(ordered: DataFrame, query: str, key: str, url: str,
     """
     text = F.coalesce(F.col(markdown), F.lit(""))
     item = F.struct(
-        F.col("position").alias("position"), F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), normalized_text(text).alias("form"), word_set(text).alias("words")
-    )
+        F.col("position").alias("position"), F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), normalized_text(text).alias("form"), word_set(text).alias("words"),
+        F.struct(F.lit(None).cast("int").alias("_"), *carry).alias("carried"),
+    )
     listed = ordered.select(query, item.alias("item")).groupBy(query).agg(F.sort_array(F.collect_list("item")).alias("items"))
     kind = listed.schema["items"].dataType.simpleString()
     repeats = lambda a, b: (a["key"] == b["key"]) | (a["form"] == b["form"]) | ((a["url"] == b["url"]) & (jaccard(a["words"], b["words"]) >= similarity))
@@ -93,29 +100,64 @@ def suppress_near_duplicates(ordered: DataFrame, query: str, key: str, url: str,
         F.array().cast(kind),
         lambda done, x: F.when((F.size(done) >= limit) | F.exists(done, lambda d: repeats(d, x)), done).otherwise(F.concat(done, F.array(x))),
     )
-    return listed.select(query, F.posexplode(kept).alias("pos", "x")).select(query, F.col("x.key").alias(key), (F.col("pos") + 1).alias("rank"))
+    walked = listed.select(query, F.posexplode(kept).alias("pos", "x"))
+    return walked.select(query, F.col("x.key").alias(key), (F.col("pos") + 1).alias("rank"), *(F.col(f"x.carried.{c}").alias(c) for c in carry))
 
 
 RESULT_COLUMNS = ["vector_score", "dense_score", "sparse_score", "fusion_score", "reranker_score", "source_id", "version", "url", "title", "heading_path", "markdown"]
 
 
+def service_scores(reranker: Callable[[str, list[str]], list[tuple[int, float]]]) -> Callable[[DataFrame, str], DataFrame]:
+    """A reranking service as a step of ``search``: one call for each query with the texts of all its candidates.
+
+    The service gives (index, score) pairs; a candidate it leaves out is no result. The calls are
+    made on the executors, one query's candidates (bounded by ``candidates``) in a task at a time.
+    """
+
+    def scored(found: DataFrame, query: str) -> DataFrame:
+        listed = found.groupBy(query, "_asked").agg(F.sort_array(F.collect_list(F.struct("candidate_rank", F.coalesce("markdown", F.lit("")).alias("text")))).alias("c"))
+
+        @F.arrow_udf("array<double>")
+        def call(asked: pa.Array, texts: pa.Array) -> pa.Array:
+            answers = []
+            for question, own in zip(asked.to_pylist(), texts.to_pylist()):
+                scores: list[float | None] = [None] * len(own)
+                for index, score in reranker(question or "", own):
+                    scores[index] = score
+                answers.append(scores)
+            return pa.array(answers, pa.list_(pa.float64()))
+
+        ranked = listed.select(query, F.col("c.candidate_rank").alias("r"), call(F.col("_asked"), F.col("c.text")).alias("s"))
+        scores = ranked.select(query, F.inline(F.arrays_zip(F.col("r").alias("candidate_rank"), F.col("s").alias("reranker_score"))))
+        return found.join(scores.where("reranker_score is not null"), [query, "candidate_rank"])
+
+    return scored
+
+
+def column_scores(reranker: Callable[[Column, Column], Column]) -> Callable[[DataFrame, str], DataFrame]:
+    """A reranker that is an expression of the query's text and the candidate's Markdown."""
+    return lambda found, _: found.withColumn("reranker_score", reranker(F.col("_asked"), F.col("markdown")))
+
+
 def search(
     queries: DataFrame, points: DataFrame, query: str, query_text: str, query_vector: str, key: str = "point_no", limit: int | None = None,
-    candidates: int | None = None, mode: str = "hybrid", reranker: Callable[[Column, Column], Column] = words_contained,
+    candidates: int | None = None, mode: str = "hybrid", rerank: Callable[[DataFrame, str], DataFrame] | None = None,
+    posted: DataFrame | None = None, n_rows: int | None = None,
 ) -> DataFrame:
     """query, rank, key and the result columns: the whole search for a batch of queries.
 
-    ``points``: key, markdown, dense_vector, source_id, version, url, title, heading_path. The reranker sees the
-    Markdown only. ``vector_score`` is the fusion score, or the dense one in dense mode.
+    ``points``: key, dense_vector, indices, values, markdown, source_id, version, url, title, heading_path. The reranker
+    (``column_scores`` or ``service_scores``; by default the words contained) sees the Markdown only. ``vector_score`` is
+    the fusion score, or the dense one in dense mode. ``points`` is read for the two lists, for their number and for the
+    columns shown, each time with only the columns needed; ``posted`` and ``n_rows`` as in ``hybrid_candidates``.
     """
     limit, candidates = candidate_count(limit, candidates)
-    found = hybrid_candidates(queries, points, query, query_text, query_vector, key, "markdown", "dense_vector", candidates, mode)
+    found = hybrid_candidates(queries, points, query, query_text, query_vector, key, candidates, mode, posted, n_rows)
     shown = points.select(key, "source_id", "version", "url", "title", "heading_path", "markdown")
-    scored = found.join(queries.select(query, F.col(query_text).alias("_asked")), query).join(shown, key).withColumn("reranker_score", reranker(F.col("_asked"), F.col("markdown")))
-    ordered = rerank_order(scored, query)
-    kept = suppress_near_duplicates(ordered, query, key, "url", "markdown", limit)
-    vector_score = F.col("dense_score" if mode == "dense" else "fusion_score")
-    return kept.join(ordered.withColumn("vector_score", vector_score), [query, key]).select(query, "rank", key, *RESULT_COLUMNS)
+    asked = found.join(queries.select(query, F.col(query_text).alias("_asked")), query).join(shown, key)
+    scored = (rerank or column_scores(words_contained))(asked, query).withColumn("vector_score", F.col("dense_score" if mode == "dense" else "fusion_score"))
+    kept = suppress_near_duplicates(rerank_order(scored, query), query, key, "url", "markdown", limit, carry=tuple(RESULT_COLUMNS))
+    return kept.select(query, "rank", key, *RESULT_COLUMNS)
 
 
 def result_json(results: DataFrame, query: str) -> DataFrame:

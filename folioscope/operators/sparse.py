@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from folioscope.functions.text import lexical_tokens, term_vectors
 
-from folioscope.functions.text import fnv1a32, lexical_tokens, sparse_weight
+SCORE_DECIMALS = 12  # below it, sums differ by the order of their terms
 
 
 def term_frequency(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -13,20 +19,37 @@ def term_frequency(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(lexical_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, n, weight: the hashed term vector of every text, exploded.
+def with_term_vectors(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``indices`` (hashed terms, ascending and distinct) and ``values``; both null where there is no token.
 
-    Only the distinct vocabulary is hashed; tokens of one hash are one term.
+    A text's vector is made in place, without a shuffle: the JVM finds the tokens, an Arrow function hashes and counts
+    them. Tokens of one hash are one term.
     """
-    counted = term_frequency(df, key, text)
-    vocabulary = counted.select("token").distinct().select("token", fnv1a32(F.col("token")).alias("term"))
-    return counted.join(vocabulary, "token").groupBy(key, "term").agg(F.sum("n").alias("n")).withColumn("weight", sparse_weight(F.col("n")))
+
+    names = [*df.columns, "indices", "values"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            indices, values = term_vectors(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], indices, values], names)
+
+    schema = StructType([*df.schema.fields, *StructType.fromDDL("indices array<bigint>, values array<float>").fields])
+    return df.select("*", lexical_tokens(text).alias("_tokens")).mapInArrow(run, schema)
 
 
 def sparse_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, indices (ascending, distinct), values of every text that has a token."""
-    pairs = F.sort_array(F.collect_list(F.struct("term", "weight")))
-    return postings(df, key, text).groupBy(key).agg(pairs.alias("v")).select(key, F.col("v.term").alias("indices"), F.col("v.weight").alias("values"))
+    """key, indices, values of every text that has a token."""
+    return with_term_vectors(df.select(key, F.col(text).alias("_text")), F.col("_text")).where("indices is not null").select(key, "indices", "values")
+
+
+def exploded(vectors: DataFrame, key: str) -> DataFrame:
+    """key, term, weight: one row per element of stored ``indices`` and ``values``; null and empty vectors have none."""
+    return vectors.select(key, F.inline(F.arrays_zip(F.col("indices").alias("term"), F.col("values").alias("weight"))))
+
+
+def postings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, weight: the hashed term vector of every text, exploded."""
+    return exploded(sparse_vectors(df, key, text), key)
 
 
 def document_frequency(posted: DataFrame, n_rows: int) -> DataFrame:
@@ -41,22 +64,26 @@ def top_k(scored: DataFrame, k: int, query: str, score: str, key: str, rank: str
     return scored.withColumn(rank, nth).where(F.col(rank) <= k)
 
 
-def sparse_scores(queries: DataFrame, query: str, query_text: str, posted: DataFrame, key: str, n_rows: int) -> DataFrame:
+def sparse_scores(asked: DataFrame, query: str, posted: DataFrame, key: str, n_rows: int) -> DataFrame:
     """query, key, score: IDF-weighted products of the term vectors over shared terms.
 
-    The queries' terms meet the postings in an equi-join; terms that no query has never reach the IDF or the sum.
+    ``asked``: query, term, weight; ``posted``: key, term, weight. The queries' terms meet the postings in an
+    equi-join; terms that no query has never reach the IDF or the sum. Scores are rounded to 12 decimals, so equal ones
+    stay equal whatever the order of the sum.
     """
-    asked = postings(queries, query, query_text).select(query, "term", F.col("weight").cast("double").alias("query_weight"))
     wanted = asked.select("term").distinct()
     relevant = posted.join(wanted, "term", "left_semi")
-    idf = document_frequency(relevant, n_rows).select("term", "idf")
+    weighted = asked.select(query, "term", F.col("weight").cast("double").alias("query_weight")).join(document_frequency(relevant, n_rows).select("term", "idf"), "term")
     return (
-        asked.join(idf, "term").join(relevant, "term")
-        .groupBy(query, key).agg(F.sum(F.col("query_weight") * F.col("weight").cast("double") * F.col("idf")).alias("score"))
+        weighted.join(relevant, "term")
+        .groupBy(query, key).agg(F.round(F.sum(F.col("query_weight") * F.col("weight").cast("double") * F.col("idf")), SCORE_DECIMALS).alias("score"))
     )
 
 
-def sparse_topk(queries: DataFrame, query: str, query_text: str, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """query, key, score, rank: the k best texts of every query. Texts that share no term are not listed."""
-    posted = postings(docs.where(F.col(text).isNotNull()), key, text)
-    return top_k(sparse_scores(queries, query, query_text, posted, key, docs.count()), k, query, "score", key)
+def sparse_topk(asked: DataFrame, query: str, posted: DataFrame, key: str, k: int, n_rows: int) -> DataFrame:
+    """query, key, score, rank: the k best rows of the postings (key, term, weight) for every query (query, term, weight).
+
+    Rows that share no term with a query are not listed for it; ``n_rows`` counts all rows of the snapshot, those
+    without a vector included.
+    """
+    return top_k(sparse_scores(asked, query, posted, key, n_rows), k, query, "score", key)

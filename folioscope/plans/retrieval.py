@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import jaccard, normalized_text, word_set
+from folioscope.functions.text import embedding_text, jaccard, normalized_text, word_set
 from folioscope.operators import search as s
 from folioscope.operators.dense import cached_vectors, dense_topk, has_direction, reuse_counts
+from folioscope.operators.sparse import exploded, postings, top_k, with_term_vectors
 from folioscope.operators.sparse import sparse_topk as sparse_search
-from folioscope.operators.sparse import top_k
-from folioscope.session import table
+from folioscope.plans.texts import EMBEDDING_TEXT
+from folioscope.session import materialize, table
 
 c = F.col
 K = 10
 
 
-def points(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "chunks").dropDuplicates(["point_no"])
+def points(spark, sf_dir, *columns) -> DataFrame:
+    rows = table(spark, sf_dir, "chunks")
+    return (rows.select("point_no", *columns) if columns else rows).dropDuplicates(["point_no"])
+
+
+def published(spark, sf_dir, *more) -> DataFrame:
+    """The points as a snapshot has them: once each, with the sparse vectors of their embedding texts, written to disk."""
+    rows = points(spark, sf_dir, "source_id", "version", "url", "title", "heading_path", "markdown", *more)
+    with_vectors = with_term_vectors(rows, embedding_text(c("title"), c("heading_path"), c("url"), c("markdown")))
+    return materialize(with_vectors, "published")
 
 
 def queries_of(rows: DataFrame) -> DataFrame:
@@ -26,8 +35,8 @@ def queries_of(rows: DataFrame) -> DataFrame:
 
 
 def sparse_topk(spark, sf_dir):
-    rows = points(spark, sf_dir)
-    found = sparse_search(queries_of(rows), "query_no", "asked", rows, "point_no", "markdown", K)
+    rows = published(spark, sf_dir, "dense_vector")
+    found = sparse_search(postings(queries_of(rows), "query_no", "asked"), "query_no", exploded(rows, "point_no"), "point_no", K, rows.count())
     return found.select("query_no", "point_no", F.round("score", 6).alias("score"))
 
 
@@ -47,22 +56,23 @@ def rrf_fusion(spark, sf_dir):
 
 
 def hybrid_candidates(spark, sf_dir):
-    rows = points(spark, sf_dir)
-    found = s.hybrid_candidates(queries_of(rows), rows, "query_no", "asked", "query_vector", "point_no", "markdown", "dense_vector", s.DEFAULT_CANDIDATES)
+    rows = published(spark, sf_dir, "dense_vector")
+    found = s.hybrid_candidates(queries_of(rows), rows, "query_no", "asked", "query_vector", "point_no", s.DEFAULT_CANDIDATES)
     return found.select("query_no", "point_no", F.round("fusion_score", 9).alias("fusion_score"))
 
 
 def hybrid_search(spark, sf_dir):
     """The whole search for all queries: candidates, fusion, reranking, suppression, five results each."""
-    rows = points(spark, sf_dir)
+    rows = published(spark, sf_dir, "dense_vector")
     found = s.search(queries_of(rows), rows, "query_no", "asked", "query_vector")
     scores = ["vector_score", "dense_score", "sparse_score", "fusion_score", "reranker_score"]
     return found.select("query_no", "rank", "point_no", *(F.round(x, 6).alias(x) for x in scores), "source_id", "version", "url", "title")
 
 
 def dense_only_search(spark, sf_dir):
-    rows = points(spark, sf_dir)
-    found = s.search(queries_of(rows), rows, "query_no", "asked", "query_vector", mode="dense", limit=3)
+    """The whole search by the dense list alone."""
+    rows = materialize(points(spark, sf_dir, "source_id", "version", "url", "title", "heading_path", "markdown", "dense_vector"), "points")
+    found = s.search(queries_of(rows), rows, "query_no", "asked", "query_vector", mode="dense")
     return found.select("query_no", "rank", "point_no", F.round("vector_score", 6).alias("vector_score"))
 
 
@@ -160,7 +170,7 @@ def _tokens(name: str, source: str, key: str, text: str) -> str:
 
 
 SPARSE = f"""
-{_tokens('q', 'asked', 'query_no', 'asked')}, {_tokens('d', 'points', 'point_no', 'markdown')},
+inputs AS (SELECT point_no, {EMBEDDING_TEXT} AS body FROM points), {_tokens('q', 'asked', 'query_no', 'asked')}, {_tokens('d', 'inputs', 'point_no', 'body')},
 n AS (SELECT count(*) AS n FROM points), idf AS (SELECT token, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM d, n GROUP BY token),
 sparse AS (SELECT query_no, point_no, sum(q.w * d.w * idf) AS score FROM q JOIN d USING (token) JOIN idf USING (token) GROUP BY query_no, point_no),
 sparse_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY round(score, 12) DESC, point_no) AS rank FROM sparse)"""

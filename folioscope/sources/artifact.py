@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators.crawl import Crawled, SourceSpec
+from folioscope.operators.crawl import Crawled, CrawlSettings, SourceSpec
 from folioscope.sources.files import Files
 
 ARTIFACT_SCHEMA = 1
@@ -19,7 +19,7 @@ KINDS = ("fetched", "redirected", "skipped", "failed", "selector_missing")
 def write_artifact(spark: SparkSession, crawled: Crawled, root: str, name: str, started_at: datetime, completed_at: datetime) -> None:
     """Write beside the old artifact, then swap by two renames; a failure restores the old one.
 
-    Documents and events are Parquet, written by the executors; the manifest is one JSON file. A document without
+    Documents and events are Parquet, written by the executors; the manifest is one JSON file, with the crawl's settings. A document without
     Markdown aborts before the swap.
     """
     files = Files(spark, root)
@@ -31,6 +31,7 @@ def write_artifact(spark: SparkSession, crawled: Crawled, root: str, name: str,
         crawled.events.write.parquet(f"{files.root}/{fresh}/report")
         manifest = {
             "schema_version": ARTIFACT_SCHEMA, "source": crawled.spec.__dict__, "started_at": started_at.isoformat(), "completed_at": completed_at.isoformat(), "complete": crawled.complete,
+            "crawl": vars(crawled.settings) if crawled.settings else None,
         }
         files.write(f"{fresh}/manifest.json", json.dumps(manifest, indent=2))
         had = files.exists(name)
@@ -61,7 +62,9 @@ def read_artifact(spark: SparkSession, root: str, name: str) -> tuple[dict, Craw
     events = spark.read.parquet(f"{files.root}/{name}/report")
     spec = SourceSpec(**{k: v for k, v in manifest["source"].items() if k in SourceSpec.__dataclass_fields__})
     counts = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
-    return manifest, Crawled(spec, documents, events, manifest["complete"], counts.get("failed", 0), counts.get("selector_missing", 0))
+    known = {k: v for k, v in (manifest.get("crawl") or {}).items() if k in CrawlSettings.__dataclass_fields__}
+    settings = CrawlSettings(**known) if known else None
+    return manifest, Crawled(spec, documents, events, manifest["complete"], counts.get("failed", 0), counts.get("selector_missing", 0), settings)
 
 
 def verify_hashes(documents: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import json
 import urllib.request
 from dataclasses import dataclass
 
+from folioscope.functions.ids import EmbeddingProfile
+
 TIMEOUT_S = 60
 
 
@@ -45,6 +47,10 @@ class HttpEmbedder:
     style: str = "openai"
     input_type: str = "document"
 
+    @property
+    def profile(self) -> EmbeddingProfile:
+        return EmbeddingProfile(self.style, self.endpoint, self.model, self.input_type)
+
     def __call__(self, texts: list[str]) -> list[list[float]]:
         extra = {"encoding_format": "float"} if self.style == "openai" else {"input_type": self.input_type}
         got = post_json(f"{self.endpoint.rstrip('/')}/v1/embeddings", {"model": self.model, "input": texts} | extra, self.api_key)
@@ -72,6 +78,10 @@ class HashingEmbedder:
 
     dimensions: int = 64
 
+    @property
+    def profile(self) -> EmbeddingProfile:
+        return EmbeddingProfile("hashing", "", str(self.dimensions))
+
     def __call__(self, texts: list[str]) -> list[list[float]]:
         import zlib
 

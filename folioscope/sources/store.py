@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.ids import alias_name, physical_name, sha_of, stored_point_id
-from folioscope.operators.catalog import retained
+from folioscope.operators.catalog import retained, source_catalog
+from folioscope.operators.sparse import exploded
 from folioscope.sources.files import Files
 
 # Fixed values of the index format.
@@ -19,6 +20,10 @@ INDEX_SCHEMA = 4
 CATALOG_SCHEMA = 1
 DEFAULT_RETENTION = 2
 ALIASES = "aliases.json"
+PUBLISHED = (
+    "source string, version string, is_default boolean, display_name string, description string, tags array<string>, seed_url string, "
+    "document_count bigint, chunk_count bigint, indexed_at_ns bigint, complete boolean, embedding_model string"
+)
 
 
 class SourceNotFoundError(LookupError):
@@ -101,7 +106,10 @@ class SnapshotStore:
         return physical
 
     def publish(self, snapshot: Snapshot, retention: int = DEFAULT_RETENTION) -> str:
-        """Validate, write, count what was written, switch the aliases, clean up. A failure leaves the old state."""
+        """Validate, write, count what was written, switch the aliases, clean up. A failure leaves the old state.
+
+        Beside the chunks their sparse vectors are written exploded and sorted by term, as the index of sparse search.
+        """
         problems = snapshot_problems(snapshot).first().asDict()
         wrong = {k: v for k, v in problems.items() if not k.startswith("n_") and v}
         if problems["n_documents"] != snapshot.document_count:
@@ -118,6 +126,8 @@ class SnapshotStore:
         try:
             snapshot.chunks.write.parquet(f"{self.root}/{physical}/chunks")
             snapshot.documents.sort("document_point_id").write.parquet(f"{self.root}/{physical}/documents")
+            posted = exploded(self.spark.read.parquet(f"{self.root}/{physical}/chunks"), "point_id")
+            posted.repartitionByRange("term", "point_id").sortWithinPartitions("term", "point_id").write.parquet(f"{self.root}/{physical}/postings")
             counted = {k: self.spark.read.parquet(f"{self.root}/{physical}/{k}").count() for k in ("chunks", "documents")}
             if counted != {"chunks": problems["n_chunks"], "documents": problems["n_documents"]}:
                 raise OSError(f"{physical} holds {counted}, not {problems}")
@@ -154,6 +164,10 @@ class SnapshotStore:
     def chunks(self, source: str, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.resolve(source, version)}/chunks")
 
+    def postings(self, source: str, version: str | None = None) -> DataFrame:
+        """point_id, term, weight of all chunks, sorted by term: a filter on terms reads only their row groups."""
+        return self.spark.read.parquet(f"{self.root}/{self.resolve(source, version)}/postings")
+
     def documents(self, source: str, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.resolve(source, version)}/documents")
 
@@ -174,23 +188,23 @@ class SnapshotStore:
         return self.documents(source, version).where("url <> ''").select("source", "version", "url", "title", "content_hash", "crawled_at").orderBy("url")
 
     def list_sources(self) -> dict:
-        """Catalog: sources by name with their versions, the default version's description winning."""
+        """Catalog: sources by name with their versions, the default version's description winning.
+
+        Snapshots without metadata are left out. A snapshot whose metadata has no chunk count is counted.
+        """
         pointers = self.aliases()
-        listed: dict[str, dict] = {}
-        for physical in sorted(set(pointers.values())):
-            meta = self.meta(physical)
-            if not meta or not meta.get("source") or not meta.get("schema"):
-                continue
-            default = pointers.get(alias_name(meta["source"], None)) == physical
-            entry = listed.setdefault(meta["source"], {"source": meta["source"], "versions": [], "default_version": None})
-            if default or "display_name" not in entry:
-                entry |= {k: meta[k] for k in ("display_name", "description", "tags")}
-            if default:
-                entry["default_version"] = meta["version"]
-            entry["versions"].append({k: meta[k] for k in ("version", "seed_url", "document_count", "chunk_count", "indexed_at_ns", "complete", "embedding_model")})
-        for entry in listed.values():
-            entry["versions"].sort(key=lambda v: v["version"] or "")
-        return {"schema_version": CATALOG_SCHEMA, "sources": [listed[k] for k in sorted(listed)]}
+        metas = [m for p in sorted(set(pointers.values())) if (m := self.meta(p)) and m.get("source") and m.get("schema")]
+        if not metas:
+            return {"schema_version": CATALOG_SCHEMA, "sources": []}
+        for meta in metas:
+            meta["is_default"] = pointers.get(alias_name(meta["source"], None)) == meta["physical"]
+            if not meta.get("chunk_count"):
+                meta["chunk_count"] = self.spark.read.parquet(f"{self.root}/{meta['physical']}/chunks").count()
+        names = [f.split()[0] for f in PUBLISHED.split(", ")]
+        published = self.spark.createDataFrame([tuple(m.get(n) for n in names) for m in metas], PUBLISHED)
+        details, columns = ["display_name", "description", "tags"], ["seed_url", "document_count", "chunk_count", "indexed_at_ns", "complete", "embedding_model"]
+        rolled = source_catalog(published, "source", "version", "is_default", details, columns).orderBy("source")
+        return {"schema_version": CATALOG_SCHEMA, "sources": [r.asDict(recursive=True) for r in rolled.collect()]}
 
     def stored_vectors(self, source: str, version: str | None, profile: str) -> DataFrame | None:
         """Chunks whose vectors may be reused: of the active snapshot, if it was embedded with the same profile."""

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,7 @@ from folioscope.operators.crawl import CrawlSettings
 from folioscope.sources.providers import HashingEmbedder
 from folioscope.sources.store import SnapshotStore
 from folioscope.streaming import pages as streaming
-from tests.test_crawl import SEED, crawled
+from tests.test_crawl import ROWS, SEED, crawled, page, site, spec
 
 T = datetime(2025, 1, 1)
 
@@ -36,8 +37,58 @@ def test_retry_settings():
         api.retry_settings(None, max_retries=-1)
 
 
-def test_progress():
-    assert [api.progress(n, 11) for n in (1, 2, 6, 11)] == [0, 10, 50, 100]
+def test_words_of_titles_headings_and_urls_are_found(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    flat = lambda texts: [[1.0, 0.0] for _ in texts]
+    pages = crawled(spark, {"/a": "# Zebra\n\nplain words", "/b": "other words", "/giraffe": "more words"})
+    pages.documents = pages.documents.selectExpr("* except (title)", "if(url like '%/b', 'Lion', 't') as title")
+    api.index_crawl(spark, pages, store, flat)
+    first = lambda query: api.search(spark, store, query, "docs", flat, reranker=lambda _, texts: [(i, 1.0) for i in range(len(texts))]).first()
+    assert [first(q).url.removeprefix(SEED) for q in ("zebra", "lion", "giraffe")] == ["/a", "/b", "/giraffe"]
+    assert first("lion").sparse_score > 0 and store.postings("docs").columns == ["point_id", "term", "weight"]
+
+
+def test_reranking_service(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    api.index_crawl(spark, crawled(spark, {"/a": "alpha one", "/b": "beta two", "/c": "gamma three"}), store, HashingEmbedder(16))
+    service = lambda query, texts: [(i, float("two" in t) - float("one" in t)) for i, t in enumerate(texts) if "three" not in t]
+    got = api.search(spark, store, "alpha", "docs", HashingEmbedder(16), reranker=service).collect()
+    assert [(r.url.removeprefix(SEED), r.reranker_score) for r in got] == [("/b", 1.0), ("/a", -1.0)]
+
+
+def test_chunk_count_is_counted_where_metadata_lacks_it(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    done = api.index_crawl(spark, crawled(spark, {"/a": "alpha", "/b": "beta"}), store, HashingEmbedder(4))
+    meta = store.meta(done["physical"])
+    store.files.write(f"{done['physical']}/meta.json", json.dumps(meta | {"chunk_count": 0}))
+    assert store.list_sources()["sources"][0]["versions"][0]["chunk_count"] == 2
+
+
+def test_vectors_are_reused_under_one_profile_only(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    page = crawled(spark, {"/a": "alpha"})
+    embedded = lambda embed, **more: api.index_crawl(spark, page, store, embed, **more)["embedded"]
+    assert [embedded(HashingEmbedder(4)), embedded(HashingEmbedder(4)), embedded(HashingEmbedder(8))] == [1, 0, 1]
+    plain = lambda texts: [[1.0] for _ in texts]
+    assert [embedded(plain, model="m1"), embedded(plain, model="m1"), embedded(plain, model="m2")] == [1, 0, 1]
+
+
+def test_artifact_settings_and_retry_overrides(spark, tmp_path):
+    root, told = f"file://{tmp_path}/art", []
+    fetch = site(spark, ROWS[:4])
+    fetch.settings = CrawlSettings(workers=7, throttle=0.0)
+    name = "docs"
+    assert api.scrape(spark, spec(), fetch, root, name, progress=lambda *x: told.append(x)).settings.workers == 7
+    assert told[-1][0] == 100 and api.read_artifact(spark, root, name)[1].settings == CrawlSettings(workers=7, throttle=0.0)
+    seen = []
+
+    def build(source, settings):
+        seen.append(settings)
+        return site(spark, [("/b", 200, "text/html", page([]), None), ("/lost", 200, "text/html", page([]), None), ("/file.pdf", 200, "application/pdf", "", None), ("/moved", 302, None, None, "/a"), ROWS[1]])
+
+    merged = api.retry(spark, root, name, build, overrides={"max_retries": 1})
+    assert merged.complete and seen == [CrawlSettings(workers=7, throttle=0.0, max_retries=1)]
+    assert api.read_artifact(spark, root, name)[1].settings == seen[0] and api.retry(spark, root, name, None).complete
 
 
 def test_stream(spark, tmp_path):

@@ -1,12 +1,19 @@
 import hashlib
 import json
+import time
+import uuid
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
+from folioscope import session
+from folioscope.functions.ids import EmbeddingProfile
+from folioscope.functions.urls import scope_test
 from folioscope.operators import catalog
-from folioscope.operators.crawl import EVENT, Crawled, CrawlError, CrawlSettings, SourceSpec, crawl, fetch_with_retries, reachable, retry, table_fetch
+from folioscope.operators.crawl import EVENT, Crawled, CrawlError, CrawlSettings, SourceSpec, Slots, crawl, fetch_with_retries, http_fetch, percent_done, reachable, retry, table_fetch
 from folioscope.operators.index import index
+from folioscope.session import discard, materialize, scratch
 from folioscope.sources.artifact import read_artifact, write_artifact
 from folioscope.sources.providers import HashingEmbedder
 from folioscope.sources.store import DocumentNotFoundError, ReindexRequiredError, SnapshotStore, SourceNotFoundError
@@ -118,12 +125,12 @@ def test_index_publish_and_lookup(spark, tmp_path):
     with pytest.raises(SourceNotFoundError):
         store.resolve("docs")
     one = crawled(spark, {"": "# Top\n\nseed words", "/a": "words of a"})
-    first = index(spark, one, store, HashingEmbedder(8), "profile", retention=1)
-    assert first["embedded"] == 2 and index(spark, one, store, HashingEmbedder(8), "profile", retention=1)["embedded"] == 0
+    first = index(spark, one, store, HashingEmbedder(8), EmbeddingProfile("profile"), retention=1)
+    assert first["embedded"] == 2 and index(spark, one, store, HashingEmbedder(8), EmbeddingProfile("profile"), retention=1)["embedded"] == 0
     changed = crawled(spark, {"": "# Top\n\nseed words", "/a": "other words"})
-    third = index(spark, changed, store, HashingEmbedder(8), "profile", retention=1)
+    third = index(spark, changed, store, HashingEmbedder(8), EmbeddingProfile("profile"), retention=1)
     assert (third["reused"], third["embedded"]) == (1, 1)
-    assert index(spark, changed, store, HashingEmbedder(8), "another", retention=1)["embedded"] == 2
+    assert index(spark, changed, store, HashingEmbedder(8), EmbeddingProfile("another"), retention=1)["embedded"] == 2
     names = [n for n in store.files.names() if n.startswith("docs__")]
     assert len(names) == 1 and store.resolve("docs") == store.resolve("docs", "1") == names[0]
     assert store.get_document("docs", None, SEED + "/a").first().markdown == "other words"
@@ -142,3 +149,71 @@ def test_index_publish_and_lookup(spark, tmp_path):
     store.files.write(f"{names[0]}/meta.json", json.dumps(meta | {"schema": 3}))
     with pytest.raises(ReindexRequiredError):
         store.get_document("docs", None, SEED)
+
+
+def test_progress_steps():
+    assert [percent_done(n, 11) for n in (1, 2, 6, 11)] == [0, 10, 50, 100]
+
+
+def test_slots_keep_the_interval_between_threads():
+    clock, waits = [0.0], []
+    slots = Slots(0.5, lambda: clock[0], waits.append)
+    for host in ("a", "a", "b", "a"):
+        slots.wait(host)
+    assert waits == [0.5, 1.0, 0.5, 1.5]
+    clock[0] = 9.0
+    slots.wait("a")
+    assert waits[-1] == 0
+
+
+def slow_opener(folder):
+    """Pages that take 0.3 s each; every request leaves a file with its begin and end."""
+
+    def build(allowed, settings):
+        def open_url(url):
+            began = time.time()
+            time.sleep(0.3)
+            (Path(folder) / uuid.uuid4().hex).write_text(f"{began} {time.time()}")
+            links = [f"/en/stable/p{i}" for i in range(12)] if url == SEED else []
+            return 200, url, "text/html", page(links).encode(), []
+
+        return open_url
+
+    return build
+
+
+def test_one_site_is_fetched_by_all_workers_at_once(spark, tmp_path):
+    fetch = http_fetch(CrawlSettings(workers=4, throttle=0.0), scope_test(SEED), slow_opener(str(tmp_path)))
+    got = crawl(spark, spec(), fetch, crawled_at=T)
+    assert got.documents.count() == 13 and got.complete and got.settings.workers == 4
+    times = [tuple(map(float, p.read_text().split())) for p in tmp_path.iterdir()]
+    at_once = max(sum(a <= t < b for a, b in times) for t, _ in times)
+    assert len(times) == 13 and at_once == 4
+
+
+def test_cancelled_crawl_is_kept_and_taken_up_again(spark, tmp_path):
+    told = []
+    got = crawl(spark, spec(), site(spark, ROWS), crawled_at=T, cancelled=lambda: True, progress=lambda *x: told.append(x))
+    assert [r.url for r in got.documents.collect()] == [SEED] and not got.complete
+    assert "" in events(got, "failed") and "/a" in events(got, "failed") and told == [(10, 1, 6)]
+    write_artifact(spark, got, f"file://{tmp_path}", "docs", T, T)
+    back = read_artifact(spark, f"file://{tmp_path}", "docs")[1]
+    whole = [("/lost", 200, "text/html", page([]), None), ("/b", 200, "text/html", page(["/en/stable/c"]), None), *(r for r in ROWS if r[0] not in ("/b",))]
+    again = retry(spark, back, site(spark, whole), crawled_at=T)
+    assert again.complete and [r.url.removeprefix(SEED) for r in again.documents.collect()] == ["", "/a", "/b", "/c", "/lost"]
+
+
+def test_redirects_and_scope():
+    allowed = scope_test(SEED)
+    assert allowed(SEED) and allowed(SEED + "/x?y") and not allowed(SEED + "x") and not allowed("http://docs.example.com/en/stable") and scope_test("https://h/")("https://h/any")
+
+
+def test_steps_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "checkpoint_folder", lambda _: f"file://{tmp_path}")
+    kept = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        assert materialize(spark.range(2), "inner").count() == 2 and len(list(tmp_path.iterdir())) == 2
+    assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    discard(kept)
+    discard(kept, spark.range(1))
+    assert not list(tmp_path.iterdir())

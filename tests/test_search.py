@@ -1,9 +1,12 @@
 import math
+import tracemalloc
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import embedding_text
 from folioscope.operators import dense, search, sparse
 from folioscope.sources import providers
 
@@ -11,7 +14,8 @@ POINT = "point_no bigint, markdown string, dense_vector array<float>, source_id
 
 
 def points(spark, rows):
-    return spark.createDataFrame([(n, m, v, "s", None, u, f"t{n}", ["h"]) for n, m, v, u in rows], POINT)
+    df = spark.createDataFrame([(n, m, v, "s", None, u, f"t{n}", ["h"]) for n, m, v, u in rows], POINT)
+    return sparse.with_term_vectors(df, embedding_text(F.col("title"), F.col("heading_path"), F.col("url"), F.col("markdown")))
 
 
 def test_sparse_vectors(spark):
@@ -24,7 +28,8 @@ def test_sparse_vectors(spark):
 def test_sparse_topk_brute_force(spark):
     texts = {1: "alpha beta", 2: "alpha alpha gamma", 3: "delta", 4: None, 5: "beta beta alpha"}
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
-    got = sparse.sparse_topk(spark.createDataFrame([(7, "alpha beta")], "q int, asked string"), "q", "asked", df, "id", "text", 2).collect()
+    asked = sparse.postings(spark.createDataFrame([(7, "alpha beta")], "q int, asked string"), "q", "asked")
+    got = sparse.sparse_topk(asked, "q", sparse.postings(df, "id", "text"), "id", 2, 5).collect()
     idf = {t: math.log(1 + (5 - n + 0.5) / (n + 0.5)) for t, n in {"alpha": 3, "beta": 2}.items()}
     score = {i: sum(idf[t] * (1 + math.log(x.split().count(t))) for t in idf if t in x.split()) for i, x in texts.items() if x}
     best = sorted((-s, i) for i, s in score.items() if s)[:2]
@@ -37,17 +42,41 @@ def test_dense_topk_blocks_and_dirty_vectors(spark):
     df = spark.createDataFrame(rows, "id bigint, v array<float>")
     asked = df.where("id in (1, 7, 90, 92)").select(F.col("id").alias("q"), F.col("v").alias("qv"))
     whole = {(r.q, r.id, r["rank"]) for r in dense.dense_topk(asked, "q", "qv", df, "id", "v", 3).collect()}
-    blocked = {(r.q, r.id, r["rank"]) for r in dense.dense_topk(asked, "q", "qv", df, "id", "v", 3, query_block=1, base_block=4).collect()}
+    blocked = {(r.q, r.id, r["rank"]) for r in dense.dense_topk(asked, "q", "qv", df, "id", "v", 3, block_bytes=64, least_rows=4).collect()}
     assert whole == blocked and {q for q, _, _ in whole} == {1, 7}
     assert (1, 1, 1) in whole and (1, 95, 2) in whole
+    named = df.withColumn("id", F.format_string("p%02d", "id"))
+    assert {(r.q, int(r.id[1:]), r["rank"]) for r in dense.dense_topk(asked, "q", "qv", named, "id", "v", 3, block_bytes=64).collect()} == whole
+    infinite = spark.createDataFrame([(1, [float("inf"), 1.0]), (2, [1.0, 1.0])], "id bigint, v array<float>")
+    assert [r.id for r in dense.dense_topk(asked.where("q = 1"), "q", "qv", infinite, "id", "v", 3).collect()] == [2]
     assert dense.dense_topk(asked.limit(0), "q", "qv", df, "id", "v", 3).count() == 0
 
 
+def test_a_full_block_of_vectors_stays_small():
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((dense.BLOCK_BYTES // 512, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    queries = rows[:1500]
+    tracemalloc.start()
+    q, p, score = dense.best_of_block(queries, rows, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak + 4 * dense.BLOCK_BYTES < 500e6 and len(q) == 15_000
+    first = [np.lexsort((np.arange(len(rows)), -np.round(queries[i] @ rows.T, 9)))[:10] for i in (0, 700, 1499)]
+    assert [p[q == i].tolist() for i in (0, 700, 1499)] == [x.tolist() for x in first] and (score[p == q] == 1).all()
+
+
+def test_ties_in_one_slice_and_over_slices():
+    rows = np.tile(np.eye(3), (3000, 1))
+    q, p, score = dense.best_of_block(np.eye(3), rows, 4)
+    assert p.tolist() == [0, 3, 6, 9, 1, 4, 7, 10, 2, 5, 8, 11] and (score == 1).all()
+
+
 def test_modes_and_defaults():
     assert search.candidate_count(None, None) == (5, 40)
     assert search.candidate_count(60, 0) == (60, 60)
     with pytest.raises(ValueError):
-        search.hybrid_candidates(None, None, "", "", "", "", "", "", 1, "other")
+        search.hybrid_candidates(None, None, "", "", "", "", 1, "other")
 
 
 def test_suppression_is_ordered_not_transitive(spark):

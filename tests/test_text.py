@@ -74,7 +74,7 @@ def test_ids(spark):
 
 
 def test_names_and_fingerprint():
-    assert ids.alias_name("My Docs", "1.0").startswith("dw_my_docs_1_0_") and len(ids.alias_name("a", None).rsplit("_", 1)[1]) == 10
+    assert ids.alias_name("My Docs", "1.0").startswith("alias_my_docs_1_0_") and len(ids.alias_name("a", None).rsplit("_", 1)[1]) == 10
     assert ids.physical_name("a", None, 5, "ff") == "a__unversioned__snapshot_5_ff"
     base = ids.profile_fingerprint("P", "https://H/v1/", "m", "document")
     assert base == ids.profile_fingerprint("p ", "HTTPS://h/v1", "m", "document", 1)
