@@ -118,34 +118,55 @@ def boxes_within(points: np.ndarray, low: np.ndarray, high: np.ndarray, reach: n
     return some[kept], meets[:, kept]
 
 
+def split_leaves(projected: np.ndarray, leaf_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The kd-tree of one partition: rows in the order of their leaves, and where each leaf begins.
+
+    Every group of more than ``leaf_rows`` rows is halved at the median of its widest coordinate, so leaves have about
+    the same size however many rows the partition and the whole table have.
+    """
+    leaves, groups = [], [np.arange(len(projected))]
+    while groups:
+        rows = groups.pop()
+        if len(rows) <= leaf_rows:
+            leaves.append(rows)
+            continue
+        own = projected[rows]
+        half = len(rows) // 2
+        order = np.argpartition(own[:, int(np.argmax(own.var(axis=0)))], half)
+        groups += [rows[order[half:]], rows[order[:half]]]
+    return np.concatenate(leaves), np.cumsum([0, *map(len, leaves[:-1])])
+
+
 class Part:
-    """The vectors of one partition, in memory by leaf with the leaves' bounding boxes."""
+    """The vectors of one partition, in memory by the leaves of a kd-tree of their own, with the leaves' bounding boxes."""
 
-    def __init__(self, batches: list[pa.RecordBatch], tree: Tree, wanted: int):
+    def __init__(self, batches: list[pa.RecordBatch], tree: Tree, wanted: int, leaf_rows: int):
         vectors = np.concatenate([matrix(b) for b in batches])
-        self.ids: list[list[int]] = [i for b in batches for i in column(b, "ids").to_pylist()]
-        self.keys = [np.concatenate([np.asarray(column(b, k)) for b in batches]) for k in ("k1", "k2")]
-        exact = unit(vectors)
-        projected = tree.project(exact)
-        leaf = tree.leaf(projected)
-        order = np.argsort(leaf, kind="stable")
-        self.exact, self.projected, self.vectors = exact[order], projected[order], vectors[order]
-        self.keys = [k[order] for k in self.keys]
-        self.ids = [self.ids[i] for i in order.tolist()]
-        self.least = np.array([min(x, default=0) for x in self.ids], np.int64)
-        self.single = self.exact.astype(np.float32)
-        present, self.starts = np.unique(leaf[order], return_index=True)
+        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
+        projected = tree.project(vectors / norms[:, None])
+        order, self.starts = split_leaves(projected, leaf_rows)
         self.ends = np.append(self.starts[1:], len(order))
+        self.vectors, self.norms, self.projected = vectors[order], norms[order], projected[order]
+        self.single = (self.vectors / self.norms[:, None]).astype(np.float32)
+        self.keys = [np.concatenate([np.asarray(column(b, k)) for b in batches])[order] for k in ("k1", "k2")]
+        ids = pa.chunked_array([column(b, "ids") for b in batches]).combine_chunks().take(pa.array(order))
+        self.ids, self.id_starts = np.asarray(ids.flatten()), np.asarray(ids.offsets, np.int64)
+        self.least = self.ids[self.id_starts[:-1]]  # ids ascend, and every row has one
         self.low = np.minimum.reduceat(self.projected, self.starts)
         self.high = np.maximum.reduceat(self.projected, self.starts)
         self.wanted = wanted
 
+    def exact(self, rows: np.ndarray | slice) -> np.ndarray:
+        return self.vectors[rows].astype(np.float64) / self.norms[rows, None]
+
     def rows_of(self, leaves: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in leaves.tolist()])
+        size = (self.ends - self.starts)[leaves]
+        until = np.cumsum(size)
+        return np.arange(until[-1]) + np.repeat(self.starts[leaves] - (until - size), size)
 
     def cosines(self, exact: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
         parts = [slice(at, at + EXACT_ROWS) for at in range(0, len(rows), EXACT_ROWS)]
-        return np.concatenate([np.einsum("ij,ij->i", exact[queries[p]], self.exact[rows[p]]) for p in parts])
+        return np.concatenate([np.einsum("ij,ij->i", exact[queries[p]], self.exact(rows[p])) for p in parts])
 
     def search(self, exact: np.ndarray, projected: np.ndarray, bound: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, row and double-precision similarity of the best in this partition for a block of queries.
@@ -177,9 +198,7 @@ class Part:
             cosine = np.round(self.cosines(exact, queries[q], rows[c]), 9)
             found = (np.concatenate((top[0], queries[q])), np.concatenate((top[1], rows[c])), np.concatenate((top[2], cosine)))
             order = np.lexsort((self.least[found[1]], -found[2], found[0]))
-            query = found[0][order]
-            place = np.arange(len(query))
-            nth = place - np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1]), place, 0))
+            nth = places_within(found[0][order])
             kept = order[nth < self.wanted]
             top = tuple(x[kept] for x in found)
             full = order[nth == self.wanted - 1]
@@ -202,14 +221,28 @@ class Part:
                 verify(everyone[meets.any(axis=1)], boxes[some])
         return top
 
-    def tops(self, n: int, query: np.ndarray, rows: np.ndarray, similar: np.ndarray) -> tuple[list[list[dict]], np.ndarray]:
-        """The best ids of each query (similarity rounded, ties to the lower id), and the k-th similarity."""
-        found: list[list[tuple[float, int]]] = [[] for _ in range(n)]
-        for q, row, c in zip(query.tolist(), rows.tolist(), np.round(similar, 9).tolist()):
-            found[q] += [(-c, i) for i in self.ids[row]]
-        lists = [[{"cos": -c, "id": i} for c, i in sorted(x)[: self.wanted]] for x in found]
-        kth = np.array([x[-1]["cos"] if len(x) >= self.wanted else -2.0 for x in lists])
-        return lists, kth
+    def tops(self, n: int, query: np.ndarray, rows: np.ndarray, similar: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+        """The best ids of each query (similarity rounded, ties to the lower id), and the k-th similarity (-2: there is none)."""
+        size = np.diff(self.id_starts)[rows]
+        until = np.cumsum(size)
+        ids = self.ids[np.arange(size.sum()) + np.repeat(self.id_starts[:-1][rows] - (until - size), size)]
+        query, similar = np.repeat(query, size), np.repeat(np.round(similar, 9), size)
+        order = np.lexsort((ids, -similar, query))
+        nth = places_within(query[order])
+        kth = np.full(n, -2.0)
+        last = order[nth == self.wanted - 1]
+        kth[query[last]] = similar[last]
+        kept = order[nth < self.wanted]
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(query[kept], minlength=n))))
+        items = pa.StructArray.from_arrays([pa.array(similar[kept]), pa.array(ids[kept])], ["cos", "id"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items), kth
+
+
+def places_within(groups: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each run of equal values."""
+    place = np.arange(len(groups))
+    fresh = np.append(True, groups[1:] != groups[:-1])[: len(groups)]
+    return place - np.maximum.accumulate(np.where(fresh, place, 0))
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -245,7 +278,7 @@ def distinct_vectors(keyed: DataFrame, wanted: int) -> DataFrame:
     )
 
 
-def _stream(rows: DataFrame, parts: int, schema: str, tree: Tree, wanted: int, stop: float, route) -> DataFrame:
+def _stream(rows: DataFrame, parts: int, schema: str, tree: Tree, wanted: int, leaf_rows: int, stop: float, route) -> DataFrame:
     """Points (kind 0) and queries (kind 1) of each partition, points first; only the points are held in memory."""
 
     def answer(part: Part, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -255,25 +288,21 @@ def _stream(rows: DataFrame, parts: int, schema: str, tree: Tree, wanted: int, s
         bound = np.asarray(column(batch, "bound"))
         for at in range(0, len(order), BLOCK):
             own = order[at : at + BLOCK]
-            lists, _ = part.tops(len(own), *part.search(exact[own], projected[own], bound[own], stop))
-            lists = [[x for x in found if x["cos"] >= b - 1e-9] for found, b in zip(lists, bound[own].tolist())]
-            take = [i for i, found in enumerate(lists) if found]
+            query, found, similar = part.search(exact[own], projected[own], bound[own], stop)
+            good = similar >= bound[own][query] - 1e-9
+            lists, _ = part.tops(len(own), query[good], found[good], similar[good])
+            take = np.flatnonzero(np.diff(np.asarray(lists.offsets)))
             picked = pa.array(own[take])
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "k1").take(picked), column(batch, "k2").take(picked), pa.array([lists[i] for i in take], pa.list_(pa.struct([("cos", pa.float64()), ("id", pa.int64())])))],
-                ["k1", "k2", "top"],
-            )
+            yield pa.RecordBatch.from_arrays([column(batch, "k1").take(picked), column(batch, "k2").take(picked), lists.take(pa.array(take))], ["k1", "k2", "top"])
 
     def own_search(part: Part, pid: int) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(part.exact), BLOCK):
+        for at in range(0, len(part.vectors), BLOCK):
             block = slice(at, at + BLOCK)
-            bound = np.full(len(part.exact[block]), -2.0)
-            lists, kth = part.tops(len(bound), *part.search(part.exact[block], part.projected[block], bound, stop))
+            own = part.exact(block)
+            lists, kth = part.tops(len(own), *part.search(own, part.projected[block], np.full(len(own), -2.0), stop))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(part.keys[0][block]), pa.array(part.keys[1][block]),
-                    pa.array(lists, pa.list_(pa.struct([("cos", pa.float64()), ("id", pa.int64())]))), pa.array(kth),
-                    list_array(part.vectors[block]), pa.array(route(part.projected[block], kth, pid), pa.list_(pa.int32())),
+                    pa.array(part.keys[0][block]), pa.array(part.keys[1][block]), lists, pa.array(kth), list_array(part.vectors[block]), route(part.projected[block], kth, pid),
                 ],
                 ["k1", "k2", "top", "bound", "vec", "pids"],
             )
@@ -289,17 +318,17 @@ def _stream(rows: DataFrame, parts: int, schema: str, tree: Tree, wanted: int, s
                     continue
                 if pids[a] != current:
                     if route and held:
-                        yield from own_search(Part(held, tree, wanted), current)
+                        yield from own_search(Part(held, tree, wanted, leaf_rows), current)
                     held, part, current = [], None, int(pids[a])
                 if kinds[a] == 0:
                     held.append(batch.slice(a, b - a))
                 else:
                     if part is None and held:
-                        part, held = Part(held, tree, wanted), []
+                        part, held = Part(held, tree, wanted, leaf_rows), []
                     if part is not None:
                         yield from answer(part, batch.slice(a, b - a))
         if route and held:
-            yield from own_search(Part(held, tree, wanted), current)
+            yield from own_search(Part(held, tree, wanted, leaf_rows), current)
 
     return rows.repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", "kind").mapInArrow(run, schema)
 
@@ -307,17 +336,20 @@ def _stream(rows: DataFrame, parts: int, schema: str, tree: Tree, wanted: int, s
 def similar_vectors(
     df: DataFrame, key: str, vector: str, k: int = 5, dimensions: int = DIMENSIONS, projected: int = PROJECTED,
     confidence: float = CONFIDENCE, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, part_rows: int = PART_ROWS,
+    least_part_rows: int = LEAST_PART_ROWS,
 ) -> DataFrame:
     """``key``, neighbour, cosine, rank: the ``k`` most similar other keys by cosine, ties to the lower key.
 
     Unit vectors are projected on ``projected`` Gaussian (2-stable) directions, so the squared projected distance over
-    the squared distance is chi-square distributed. A kd-tree is fitted on a sample of at most about ``sample_rows``
-    vectors; every vector is placed in it. Subtrees of about ``part_rows`` vectors are the partitions. Each vector is
-    searched in its own partition first; what remains are the partitions with a leaf whose bounding box passes the
-    chi-square test (``confidence``) at the vector's k-th distance, and only to them is it sent. As whole leaves are
-    verified, far more neighbours are found than the confidence says (see the README for the measured recall). Equal
-    and proportional vectors are searched once and answered for all their keys. Partitions hold about ``part_rows`` vectors, fewer
-    where that would leave cores idle.
+    the squared distance is chi-square distributed. There are two levels of kd-trees. The top one is fitted on a sample
+    of at most about ``sample_rows`` vectors and places every vector; its leaves (at most ``sample_rows`` / 8) make up
+    partitions of about ``part_rows`` vectors, and a partition that gets more is cut at random into as many as that
+    takes, so no task holds more however many vectors there are. Each partition then has a tree over all its own
+    vectors, with leaves of ``leaf_rows`` at any size of the table. Every vector is searched in its own partition first;
+    what remains are the partitions with a top leaf whose bounding box passes the chi-square test (``confidence``) at the
+    vector's k-th distance, and only to them is it sent. As whole leaves are verified, far more neighbours are found
+    than the confidence says (see the README for the measured recall). Equal and proportional vectors are searched once
+    and answered for all their keys. Where ``part_rows`` would leave cores idle, partitions are smaller.
 
     Vectors that are null, of another length, all zero or hold null or NaN take no part. Redelivered rows count once;
     if rows of one key differ, each of its vectors is searched. An empty table gives an empty result.
@@ -328,60 +360,75 @@ def similar_vectors(
     n = vectors.count()
     depth = max(0, min(math.ceil(math.log2(max(n, 1) / leaf_rows)), int(math.log2(sample_rows)) - 3)) if n else 0
     leaves = 2**depth
-    wanted_parts = max(n / part_rows, min(n / LEAST_PART_ROWS, keyed.sparkSession.sparkContext.defaultParallelism), 1)
-    parts = min(leaves, 2 ** math.ceil(math.log2(wanted_parts)))
+    part_rows = max(1, min(part_rows, max(least_part_rows, n // keyed.sparkSession.sparkContext.defaultParallelism)))
+    groups = min(leaves, 2 ** math.ceil(math.log2(max(n / part_rows, 1))))
     share = min(1.0, sample_rows / max(n, 1))
     picked = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "k1"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vec")
     sample = picked.toArrow().column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dimensions)
     tree = fit_tree(unit(sample), depth, projected)
-    per_part = leaves // parts
+    per_group = leaves // groups
     stop = chi_square_quantile(confidence, projected)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pid = tree.leaf(tree.project(unit(matrix(batch)))) // per_part
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pid.astype(np.int32))], [*batch.schema.names, "pid"])
-
     def bound_boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = np.full((leaves, projected), np.inf, np.float32), np.full((leaves, projected), -np.inf, np.float32)
+        count = np.zeros(leaves, np.int64)
         for batch in batches:
             points = tree.project(unit(matrix(batch)))
             leaf = tree.leaf(points)
-            np.minimum.at(low, leaf, points)
-            np.maximum.at(high, leaf, points)
-        there = np.flatnonzero(np.isfinite(low[:, 0]))
-        flat = lambda x: pa.array(x[there].ravel().astype(np.float64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(there, projected).astype(np.int32)), pa.array(np.tile(np.arange(projected), len(there)).astype(np.int32)), flat(low), flat(high)],
-            ["leaf", "dim", "low", "high"],
-        )
-
-    # At most sample_rows / 8 leaves x `projected` rows, whatever the size of the table.
+            order = np.argsort(leaf, kind="stable")
+            there, first = np.unique(leaf[order], return_index=True)
+            low[there] = np.minimum(low[there], np.minimum.reduceat(points[order], first)) if len(there) else low[there]
+            high[there] = np.maximum(high[there], np.maximum.reduceat(points[order], first)) if len(there) else high[there]
+            count += np.bincount(leaf, minlength=leaves)
+        there = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(count[there]), list_array(low[there]), list_array(high[there])], ["leaf", "n", "low", "high"])
+
+    # At most sample_rows / 8 leaves come to the driver, whatever the size of the table.
+    side = lambda how, name: [how(F.get(name, F.lit(d))).alias(f"{name}{d}") for d in range(projected)]
     boxes = (
-        vectors.select("vec").mapInArrow(bound_boxes, "leaf int, dim int, low double, high double")
-        .groupBy("leaf", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values(["leaf", "dim"])
+        vectors.select("vec").mapInArrow(bound_boxes, "leaf int, n bigint, low array<float>, high array<float>")
+        .groupBy("leaf").agg(F.sum("n").alias("n"), *side(F.min, "low"), *side(F.max, "high")).toPandas().sort_values("leaf")
     )
-    box_leaf = boxes["leaf"].to_numpy().reshape(-1, projected)[:, 0]
-    low, high = (boxes[c].to_numpy(np.float32).reshape(-1, projected) for c in ("low", "high"))
-    box_part = box_leaf // per_part
+    low, high = (np.ascontiguousarray(boxes[[f"{c}{d}" for d in range(projected)]].to_numpy(np.float32)) for c in ("low", "high"))
+    box_group = boxes["leaf"].to_numpy() // per_group
+    counts = np.bincount(box_group, boxes["n"].to_numpy(), groups)
+    salts = np.maximum(1, np.ceil(counts / (2 * part_rows)).astype(np.int64))
+    first_part = np.concatenate(([0], np.cumsum(salts)))
+    parts = int(first_part[-1])
+    group_of = np.repeat(np.arange(groups), salts)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = tree.leaf(tree.project(unit(matrix(batch)))) // per_group
+            pid = first_part[group] + np.asarray(column(batch, "k2")) % salts[group]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pid.astype(np.int32))], [*batch.schema.names, "pid"])
 
-    def route(points: np.ndarray, kth: np.ndarray, pid: int) -> list[list[int]]:
+    def route(points: np.ndarray, kth: np.ndarray, pid: int) -> pa.ListArray:
+        """The other partitions each point must be searched in."""
         reach = stop * np.maximum(2 - 2 * kth, 0) + 1e-6
-        boxes, meets = boxes_within(points, low, high, reach)
-        owners, first = np.unique(box_part[boxes], return_index=True)  # box_part ascends
-        needed = np.logical_or.reduceat(meets, first, axis=1) if len(boxes) else np.zeros((len(points), 0), bool)
-        return [[p for p in owners[m].tolist() if p != pid] for m in needed]
+        near, meets = boxes_within(points, low, high, reach)
+        owners, first = np.unique(box_group[near], return_index=True)  # box_group ascends
+        needed = np.logical_or.reduceat(meets, first, axis=1) if len(near) else np.zeros((len(points), 0), bool)
+        if salts[group_of[pid]] > 1:
+            needed[:, owners == group_of[pid]] = True
+        row, at = np.nonzero(needed)
+        times = salts[owners[at]]
+        until = np.cumsum(times)
+        row, pids = np.repeat(row, times), np.arange(times.sum()) + np.repeat(first_part[owners[at]] - (until - times), times)
+        row, pids = row[pids != pid], pids[pids != pid]
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(points)))))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pids.astype(np.int32)))
 
     placed = vectors.mapInArrow(place, f"{POINT}, pid int").withColumn("kind", F.lit(0)).withColumn("bound", F.lit(-2.0))
     columns = ["pid", "kind", "k1", "k2", "vec", "ids", "bound"]
     own = _stream(
-        placed.select(columns), parts, f"k1 bigint, k2 bigint, top {TOP}, bound double, vec array<float>, pids array<int>", tree, wanted, stop, route
+        placed.select(columns), parts, f"k1 bigint, k2 bigint, top {TOP}, bound double, vec array<float>, pids array<int>", tree, wanted, leaf_rows, stop, route
     )
     own = materialize(own, "own")
     sent = own.select(
         F.explode("pids").alias("pid"), F.lit(1).alias("kind"), "k1", "k2", "vec", F.array().cast("array<bigint>").alias("ids"), "bound"
     )
-    away = _stream(placed.select(columns).unionByName(sent), parts, f"k1 bigint, k2 bigint, top {TOP}", tree, wanted, stop, None)
+    away = _stream(placed.select(columns).unionByName(sent), parts, f"k1 bigint, k2 bigint, top {TOP}", tree, wanted, leaf_rows, stop, None)
     ordered = F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("top"))), lambda x: F.struct((-x["cos"]).alias("far"), x["id"].alias("id"))))
     tops = own.select("k1", "k2", "top").unionByName(away).groupBy("k1", "k2").agg(F.slice(ordered, 1, wanted).alias("top"))
     others = F.slice(F.filter("top", lambda x: x["id"] != F.col("key")), 1, k)

@@ -50,3 +50,17 @@ def test_empty_and_single(spark):
 def test_chi_square_quantile():
     assert sv.chi_square_quantile(0.95, 16) == pytest.approx(26.296, rel=0.01)
     assert sv.chi_square_quantile(0.5, 16) == pytest.approx(15.338, rel=0.01)
+
+
+def test_leaves_have_one_size_and_large_partitions_are_cut(spark):
+    for n in (1, 64, 65, 1000, 5000):
+        order, starts = sv.split_leaves(np.random.default_rng(n).standard_normal((n, 4)).astype(np.float32), 64)
+        sizes = np.diff(np.append(starts, n))
+        assert sorted(order.tolist()) == list(range(n)) and sizes.max() <= 64 and (n <= 64 or sizes.min() >= 16)
+    same, _ = sv.split_leaves(np.ones((500, 4), np.float32), 64)  # equal coordinates are halved, too
+    assert sorted(same.tolist()) == list(range(500))
+    rows = list(enumerate(clustered(3000, 64, 5).tolist()))
+    df = spark.createDataFrame(rows, "point_no bigint, dense_vector array<float>")
+    got = {tuple(r) for r in sv.neighbour_pairs(df, "point_no", "dense_vector", sample_rows=32, part_rows=100, least_part_rows=1, leaf_rows=32).collect()}  # 4 top leaves
+    wanted = brute(rows, 5)
+    assert len(got & wanted) >= 0.98 * len(wanted) and len(got - wanted) <= 0.02 * len(wanted)
