@@ -19,12 +19,13 @@ SEED = 20260711
 DIMENSIONS = 64
 PROJECTED = 16
 SAMPLE_ROWS = 65_536
-LEAF_ROWS = 64
+LEAF_ROWS = 128
 PART_ROWS = 65_536
 LEAST_PART_ROWS = 8192
 CONFIDENCE = 0.05
 BLOCK = 128
 CHUNK_ROWS = 2048
+FIRST_LEAVES = 8
 MARGIN = 5e-6  # above the error of a float32 product of two unit vectors of 64 elements
 EXACT_ROWS = 65_536
 POINT = "k1 bigint, k2 bigint, vec array<float>, ids array<bigint>"
@@ -106,16 +107,16 @@ def mindist(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
 
 
 def boxes_within(points: np.ndarray, low: np.ndarray, high: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the boxes within reach of any of the points, and whether each point reaches them (points x boxes).
+    """Numbers of the boxes within reach of any of the points, and the squared distances (points x boxes).
 
     Boxes that the points' own bounding box can't reach are left out first, so a block of points that lie together is
     compared with few boxes.
     """
     gap = np.maximum(np.maximum(low - points.max(axis=0), points.min(axis=0) - high), 0)
     some = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= reach.max())
-    meets = mindist(points, low[some], high[some]) <= reach[:, None]
-    kept = meets.any(axis=0)
-    return some[kept], meets[:, kept]
+    near = mindist(points, low[some], high[some])
+    kept = (near <= reach[:, None]).any(axis=0)
+    return some[kept], near[:, kept]
 
 
 def split_leaves(projected: np.ndarray, leaf_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,9 +191,9 @@ class Part:
             similar = single[queries] @ self.single[rows].T
             if (bound[queries] <= -2).all() and len(rows) > self.wanted:  # nothing known yet
                 edge = np.partition(similar, len(rows) - self.wanted, axis=1)[:, len(rows) - self.wanted]
-                q, c = np.nonzero(similar >= edge[:, None] - margin)
             else:
-                q, c = np.nonzero(similar >= bound[queries, None] - margin)
+                edge = bound[queries]
+            q, c = np.divmod(np.flatnonzero(similar >= edge[:, None] - margin), len(rows))
             if not len(q):
                 return
             cosine = np.round(self.cosines(exact, queries[q], rows[c]), 9)
@@ -206,11 +207,11 @@ class Part:
 
         reach = lambda: stop * np.maximum(2 - 2 * bound, 0) + np.float32(1e-6)
         everyone = np.arange(len(exact))
-        first = mindist(projected.mean(axis=0)[None], self.low, self.high)[0].argsort(kind="stable")[:2]
+        first = mindist(projected.mean(axis=0)[None], self.low, self.high)[0].argsort(kind="stable")[:FIRST_LEAVES]
         verify(everyone, first)
-        boxes, _ = boxes_within(projected, self.low, self.high, reach())
-        boxes = np.setdiff1d(boxes, first)
-        near = mindist(projected, self.low[boxes], self.high[boxes])
+        boxes, near = boxes_within(projected, self.low, self.high, reach())
+        other = ~np.isin(boxes, first)
+        boxes, near = boxes[other], near[:, other]
         order = near.min(axis=0).argsort(kind="stable") if len(boxes) else boxes
         sizes = np.cumsum((self.ends - self.starts)[boxes[order]]) // CHUNK_ROWS
         for step in np.unique(sizes).tolist():
@@ -406,7 +407,8 @@ def similar_vectors(
     def route(points: np.ndarray, kth: np.ndarray, pid: int) -> pa.ListArray:
         """The other partitions each point must be searched in."""
         reach = stop * np.maximum(2 - 2 * kth, 0) + 1e-6
-        near, meets = boxes_within(points, low, high, reach)
+        near, distance = boxes_within(points, low, high, reach)
+        meets = distance <= reach[:, None]
         owners, first = np.unique(box_group[near], return_index=True)  # box_group ascends
         needed = np.logical_or.reduceat(meets, first, axis=1) if len(near) else np.zeros((len(points), 0), bool)
         if salts[group_of[pid]] > 1:
