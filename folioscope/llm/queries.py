@@ -21,10 +21,12 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boilerplate blocks of each source: their number of line forms and of the pages of the most frequent one."""
-    occurrences = repeated_lines.line_occurrences(table(spark, sf_dir, "stored_pages"))
-    blocks = repeated_lines.boilerplate_lines(repeated_lines.materialize(occurrences, "lines"))
-    return blocks.groupBy("source", "block").agg(F.count("*").alias("n_lines"), F.max("n_pages").alias("most_pages"))
+    """Boilerplate blocks of each source: their number of lines, the pages of the most frequent one, and their matches."""
+    lines = repeated_lines.materialize(repeated_lines.page_lines(table(spark, sf_dir, "stored_pages")), "lines")
+    blocks = repeated_lines.materialize(repeated_lines.boilerplate_blocks(lines), "blocks")
+    matches = repeated_lines.block_occurrences(lines, blocks).groupBy("block").agg(F.count("*").alias("n_matches"), F.max(F.size("line_nos")).alias("longest"))
+    sizes = blocks.groupBy("source", "block").agg(F.count("*").alias("n_lines"), F.max("n_pages").alias("most_pages"))
+    return sizes.join(matches, "block").select("source", F.lower(F.hex("block")).alias("block"), "n_lines", "most_pages", "n_matches", "longest")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +149,47 @@ SELECT page_no, CAST(line_no AS INT) AS line_no FROM forms JOIN frequent USING (
 """
 
 
+P2_LINES_SQL = r"""
+pages AS (
+  SELECT page_no, any_value(coalesce(source_id, '')) AS source, any_value(markdown) AS markdown
+  FROM stored_pages WHERE markdown IS NOT NULL GROUP BY page_no
+), split AS (
+  SELECT page_no, source, string_split(replace(markdown, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM pages
+), lines AS (SELECT page_no, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM split),
+formed AS (
+  SELECT page_no, source, line_no,
+    regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[^\p{L}\p{Nd}]+', '', 'g') AS form FROM lines
+), long AS (
+  SELECT page_no, source, line_no, md5(source || chr(0) || form) AS node, row_number() OVER (PARTITION BY page_no ORDER BY line_no) AS pos
+  FROM formed WHERE length(form) >= 12
+), nodes AS (SELECT source, node, count(DISTINCT page_no) AS n_pages FROM long GROUP BY ALL HAVING count(DISTINCT page_no) >= 5),
+edges AS (
+  SELECT a.node AS u, b.node AS v FROM long a JOIN long b ON a.page_no = b.page_no AND b.pos = a.pos + 1 AND a.node <> b.node
+  GROUP BY ALL HAVING count(DISTINCT a.page_no) >= 5
+), both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reached AS (SELECT node, node AS other FROM nodes UNION SELECT r.node, e.v FROM reached r JOIN both_ways e ON e.u = r.other),
+blocks AS (SELECT node, min(other) AS block FROM reached GROUP BY node)"""
+
+P2_BLOCKS_SQL = f"""
+WITH RECURSIVE {P2_LINES_SQL},
+kept AS (SELECT l.*, block FROM long l JOIN blocks USING (node)),
+begun AS (
+  SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(block) OVER w = block THEN 0 ELSE 1 END AS begins FROM kept WINDOW w AS (PARTITION BY page_no ORDER BY pos)
+), runs AS (SELECT *, sum(begins) OVER (PARTITION BY page_no ORDER BY pos) AS run FROM begun),
+matched AS (SELECT block, count(*) AS n_matches, max(n) AS longest FROM (SELECT block, page_no, run, count(*) AS n FROM runs GROUP BY ALL) GROUP BY block)
+SELECT source, block, count(*) AS n_lines, max(n_pages) AS most_pages, any_value(n_matches) AS n_matches, CAST(any_value(longest) AS INT) AS longest
+FROM nodes JOIN blocks USING (node) JOIN matched USING (block) GROUP BY source, block
+"""
+
+P2_CLEAN_SQL = f"""
+WITH RECURSIVE {P2_LINES_SQL},
+kept AS (
+  SELECT page_no, l.source, l.line_no, line FROM lines l ANTI JOIN (SELECT page_no, line_no FROM long JOIN blocks USING (node)) r USING (page_no, line_no)
+), joined AS (SELECT page_no, string_agg(line, chr(10) ORDER BY line_no) AS markdown FROM kept GROUP BY page_no)
+SELECT page_no, CASE WHEN any_value(s.markdown) IS NOT NULL THEN coalesce(any_value(j.markdown), '') END AS markdown FROM stored_pages s LEFT JOIN joined j USING (page_no) GROUP BY page_no
+"""
+
+
 QUERIES = (
     p2_found, p2_clean, p2_blocks, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_classes, p6_ids, p7_containers, p7_space, p8_found, p8_forms,
 )
@@ -158,5 +201,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL,
+        "p2_found": P2_FOUND_SQL, "p2_clean": P2_CLEAN_SQL, "p2_blocks": P2_BLOCKS_SQL, "p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL,
     }

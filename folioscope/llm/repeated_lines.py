@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.session import materialize
+from folioscope.session import discard, materialize
 
 MIN_PAGES = 5
 MIN_CHARS = 12
@@ -20,26 +20,38 @@ def lines_of(text: Column) -> Column:
     return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
 
 
-def line_occurrences(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """source, h1, h2 (128 bits of the line's form), page_no and the numbers of the lines of that form on the page.
+def page_lines(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """page_no, source, lines (line_no, node): a row per page with its lines of at least ``min_chars`` in their order.
 
-    A row per form and page, so redelivered pages count once and no group is larger than a page.
+    ``node`` is the MD5 of source and form. Redelivered pages are one row; if rows of a page differ, it has the lines of
+    each. Null and empty texts have no line, a null source is a source of its own (the empty one).
     """
-    lines = (
-        pages.where("page_no is not null and markdown is not null")
-        .select("page_no", F.coalesce("source_id", F.lit("")).alias("source"), F.posexplode(lines_of(F.col("markdown"))).alias("pos", "line"))
-        .select("page_no", "source", (F.col("pos") + 1).alias("line_no"), line_form(F.col("line")).alias("form"))
-        .where(F.char_length("form") >= min_chars)
-    )
-    keyed = lines.select("source", F.xxhash64("form").alias("h1"), F.xxhash64(F.lit("second"), "form").alias("h2"), "page_no", "line_no")
-    return keyed.groupBy("source", "h1", "h2", "page_no").agg(F.sort_array(F.collect_set("line_no")).alias("line_nos"))
+    source = F.coalesce("source_id", F.lit(""))
+    forms = F.transform(lines_of(F.col("markdown")), lambda line, i: F.struct((i + 1).alias("line_no"), line_form(line).alias("form")))
+    long = F.filter(forms, lambda x: F.char_length(x["form"]) >= min_chars)
+    lines = F.transform(long, lambda x: F.struct(x["line_no"].alias("line_no"), F.unhex(F.md5(F.concat(F.col("source"), F.lit("\0"), x["form"]))).alias("node")))
+    rows = pages.where("page_no is not null and markdown <> ''").select("page_no", source.alias("source"), "markdown").select("page_no", "source", lines.alias("lines"))
+    return rows.groupBy("page_no", "source").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines"))
+
+
+def line_graph(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """source, u, v, n_pages: nodes (v is null) and edges of the graph of consecutive lines, on at least ``min_pages`` each.
+
+    An edge joins two lines that follow each other among a page's lines (blank and short lines between them are not
+    seen). Both kinds are counted in one pass with one combining shuffle; the ends of an edge stand on the edge's pages,
+    so they are nodes.
+    """
+    node = F.transform("lines", lambda x: F.struct(x["node"].alias("u"), F.lit(None).cast("binary").alias("v")))
+    steps = F.zip_with(F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0))), F.slice("lines", F.lit(2), F.size("lines")), lambda a, b: F.struct(a["node"].alias("u"), b["node"].alias("v")))
+    parts = pages.select("source", F.explode(F.array_distinct(F.concat(node, F.filter(steps, lambda x: x["u"] != x["v"])))).alias("x"))
+    return parts.groupBy("source", "x.u", "x.v").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, label: the lowest node of each connected component.
 
     Every round takes the lowest label among the neighbours and then the label of that label, so long chains need a
-    logarithmic number of rounds. Each round is written to the shared folder.
+    logarithmic number of rounds. Each round is written to the shared folder and the one before it deleted.
     """
     both = materialize(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
@@ -52,50 +64,49 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = materialize(
             lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels"
         )
-        labels = after.select("node", "label")
+        discard(labels)
+        labels = after
         if after.where("label <> old").isEmpty():
-            return labels
+            discard(both)
+            return after.select("node", "label")
+
+
+def boilerplate_blocks(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """source, node, n_pages, block: the lines kept, and the connected component each belongs to."""
+    graph = materialize(line_graph(pages, min_pages), "graph")
+    nodes = graph.where("v is null").select("source", F.col("u").alias("node"), "n_pages")
+    labels = components(nodes, graph.where("v is not null")).withColumnRenamed("label", "block")
+    return nodes.join(labels, "node").select("source", "node", "n_pages", "block")
 
 
-def boilerplate_lines(occurrences: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """source, h1, h2, n_pages, block: the lines on at least ``min_pages`` pages of a source, and their block.
+def block_occurrences(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """page_no, source, block, line_nos: the places on pages that match a block.
 
-    Nodes are line forms within a source, weighted by their pages; an edge joins two kept lines that follow each
-    other on a page (lines that are not kept in between are skipped over only if blank or short), weighted by the
-    pages where they do. Nodes and edges of at least ``min_pages`` are kept; a connected component is a block, a line
-    without such a neighbour a block of its own.
+    A match is a longest run of lines of one block that follow each other on the page, with nothing but blank and short
+    lines between them. The lines meet the blocks in a join that is broadcast only below the session's threshold and
+    split by AQE where one line is very frequent; runs are found within a page.
     """
-    nodes = (
-        occurrences.groupBy("source", "h1", "h2").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
-        .withColumn("node", F.xxhash64("source", "h1", "h2"))
-    )
-    nodes = materialize(nodes, "nodes")
-    placed = occurrences.join(nodes, ["source", "h1", "h2"], "left").select("page_no", "source", "node", F.explode("line_nos").alias("line_no"))
-    order = Window.partitionBy("page_no", "source").orderBy("line_no")
-    steps = placed.select("source", "page_no", F.col("node").alias("u"), F.lead("node").over(order).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = (
-        steps.groupBy("source", "page_no", "u", "v").agg(F.lit(1).alias("one")).groupBy("source", "u", "v").agg(F.count("*").alias("n_pages"))
-        .where(F.col("n_pages") >= min_pages)
-    )
-    labels = components(nodes, edges).withColumnRenamed("label", "block")
-    return materialize(nodes.join(labels, "node").select("source", "h1", "h2", "n_pages", "block"), "blocks")
+    placed = pages.select("page_no", F.posexplode("lines").alias("pos", "x")).select("page_no", "pos", "x.line_no", "x.node")
+    kept = placed.join(blocks.select("node", "source", "block"), "node")
+    order = Window.partitionBy("page_no", "source").orderBy("pos")
+    follows = (F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("block").over(order) == F.col("block"))
+    runs = kept.withColumn("begins", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("begins").over(order))
+    return runs.groupBy("page_no", "source", "run", "block").agg(F.sort_array(F.collect_list("line_no")).alias("line_nos")).drop("run")
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
-    """page_no, line_no, block, n_pages of every occurrence of a boilerplate line.
+    """page_no, source, block, line_no of every line within a match of a boilerplate block.
 
     Line numbers count from 1 over all lines, blank ones and those in fences included. Null and empty texts have none;
     a null source is a source of its own; redelivered rows count once (if they differ, the lines of each count).
-    Occurrences meet the kept lines in a join that is broadcast only below the session's threshold and split by AQE
-    where one line is very frequent.
     """
-    occurrences = materialize(line_occurrences(pages), "lines")
-    blocks = boilerplate_lines(occurrences)
-    return occurrences.join(blocks, ["source", "h1", "h2"]).select("page_no", F.explode("line_nos").alias("line_no"), "block", "n_pages")
+    lines = materialize(page_lines(pages), "lines")
+    matches = block_occurrences(lines, materialize(boilerplate_blocks(lines), "blocks"))
+    return matches.select("page_no", "source", "block", F.explode("line_nos").alias("line_no"))
 
 
 def without_repeated_lines(pages: DataFrame) -> DataFrame:
-    """page_no, markdown of every page without its boilerplate lines, line ends as LF; null stays null."""
+    """page_no, markdown of every page without the matches of boilerplate blocks, line ends as LF; null stays null."""
     removed = repeated_lines(pages).groupBy("page_no").agg(F.collect_set("line_no").alias("removed"))
     newest = F.max_by(F.struct("markdown"), F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp")))
     latest = pages.where("page_no is not null").groupBy("page_no").agg(newest.alias("c")).select("page_no", "c.markdown")

@@ -24,7 +24,7 @@ def test_found(spark):
 
 def test_blocks_join_consecutive_lines(spark):
     rows = rl.repeated_lines(pages(spark)).where("page_no < 70").collect()
-    assert len({r.block for r in rows}) == 1 and {r.n_pages for r in rows} == {8}
+    assert len({r.block for r in rows}) == 1 and len(rows) == 18
 
 
 def test_clean(spark):
@@ -42,3 +42,14 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty(spark):
     assert rl.repeated_lines(pages(spark).limit(0)).count() == 0
+
+
+def test_matches_are_runs_of_one_block(spark):
+    both, one, other = "The first boilerplate line\nThe second boilerplate line", "The first boilerplate line", "Another footer of the site"
+    texts = [both] * 6 + [f"{one}\n\nA line of this page alone\nThe second boilerplate line\n{other}"] + [f"Body number {chr(97 + i) * 9}\n{other}" for i in range(6)]
+    df = spark.createDataFrame([(i, "s", t, T) for i, t in enumerate(texts)], "page_no int, source_id string, markdown string, loaded_at timestamp")
+    lines = rl.page_lines(df)
+    blocks = rl.boilerplate_blocks(lines)
+    assert {bytes(r.block) for r in blocks.collect()}.__len__() == 2 and blocks.count() == 3
+    got = sorted((r.page_no, r.line_nos) for r in rl.block_occurrences(lines, blocks).collect())
+    assert got == [(i, [1, 2]) for i in range(6)] + [(6, [1]), (6, [4]), (6, [5])] + [(i, [2]) for i in range(7, 13)]
