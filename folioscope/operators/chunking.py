@@ -57,6 +57,23 @@ def blocks(markdown: str) -> list[tuple[str, list[str]]]:
     return [(text, path) for text, path in found if text]
 
 
+BLOCK = pa.struct([("block", pa.string()), ("heading_path", pa.list_(pa.string()))])
+
+
+def document_blocks(df: DataFrame, keys: list[str], markdown: str) -> DataFrame:
+    """A row per block: the keys, block_no (from 0), block, heading_path. Null and blank texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"block": b, "heading_path": path} for b, path in blocks(t)] if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(BLOCK))], [*keys, "_blocks"])
+
+    picked = df.select(*(df[k] for k in keys), df[markdown].alias("_text"))
+    schema = ", ".join(f"`{k}` {picked.schema[k].dataType.simpleString()}" for k in keys)
+    split = picked.mapInArrow(run, f"{schema}, _blocks array<struct<block:string,heading_path:array<string>>>")
+    return split.select(*keys, F.posexplode("_blocks").alias("block_no", "b")).select(*keys, "block_no", "b.*")
+
+
 def packed_words(text: str, max_tokens: int) -> list[str]:
     """The words joined by one blank, in pieces of as many as fit; a longer word is a piece of its own."""
     words = [w for w in SPACE_RUN.split(text) if w]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import ids, text
 from folioscope.functions.urls import canonical_url, in_scope
-from folioscope.operators.chunking import chunk_documents
+from folioscope.operators.chunking import WHITE, chunk_documents, document_blocks
 from folioscope.operators.crawl import resolve_url
 from folioscope.operators.index import chunk_points
 from folioscope.operators.sparse import document_frequency, postings, sparse_vectors, term_frequency
@@ -111,19 +111,24 @@ def timestamps(spark, sf_dir):
     return rows.select("manifest_no", "started", (F.try_to_timestamp("started") == c("started_at")).alias("same"), F.try_to_timestamp(F.concat(F.lit("no "), "started")).isNull().alias("refused"))
 
 
-def chunked_pages(spark, sf_dir):
-    return chunk_documents(pages(spark, sf_dir), ["page_no"], "markdown").withColumn("tokens", text.token_estimate(c("markdown")))
+def shown_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with their heading path as one text and their token estimate."""
+    return chunks.withColumn("tokens", text.token_estimate(c("markdown"))).withColumn("headings", F.array_join("heading_path", " > ")).drop("heading_path")
+
 
+def markdown_blocks(spark, sf_dir):
+    """The blocks of all documents with their heading paths."""
+    found = document_blocks(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return found.select("doc_id", "block_no", F.array_join("heading_path", " > ").alias("headings"), F.md5("block").alias("block"))
 
-def single_block_chunks(spark, sf_dir):
-    """Documents of one line within the limit: exactly one chunk; ``document_chunks`` takes all documents."""
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("\r")) & (F.char_length("text") <= 3200) & (F.rlike("text", F.lit("[a-z]"))))
-    return chunk_documents(docs, ["doc_id"], "text").select("doc_id", "chunk_index", F.md5("markdown").alias("chunk"))
+
+def chunked_pages(spark, sf_dir):
+    return shown_chunks(chunk_documents(pages(spark, sf_dir), ["page_no"], "markdown"))
 
 
 def document_chunks(spark, sf_dir):
     """The chunks of all documents, whatever their length, lines and script; null and blank ones give none."""
-    return chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"], "text").withColumn("tokens", text.token_estimate(c("markdown")))
+    return shown_chunks(chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"], "text"))
 
 
 def indexed_points(spark, sf_dir):
@@ -132,6 +137,83 @@ def indexed_points(spark, sf_dir):
     return chunk_points(docs).select("point_id", "url", "chunk_index", F.array_join("heading_path", " > ").alias("headings"), "input_hash")
 
 
+WHITE_SQL = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITE_CHARS_SQL = " || ".join(f"chr({ord(x)})" for x in WHITE)
+
+
+def blocks_sql(source: str, key: str, column: str) -> str:
+    """Common table expressions up to ``blocks``: key, block_no, block, path. A block begins at a heading or behind a blank line."""
+    path = ", ".join(
+        f"CASE WHEN last_level >= {j} THEN CASE WHEN h{j}.l = {j} THEN h{j}.t ELSE '' END END" for j in range(1, 7)
+    )
+    levels = ", ".join(f"last_value(CASE WHEN level <= {j} THEN {{'l': level, 't': heading}} END IGNORE NULLS) OVER upto AS h{j}" for j in range(1, 7))
+    return rf"""
+cut_lines AS (SELECT {key}, string_split(replace({column}, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM {source} WHERE {column} IS NOT NULL),
+numbered AS (SELECT {key}, unnest(parts) AS line, generate_subscripts(parts, 1) AS no FROM cut_lines),
+bared AS (SELECT *, trim(line, {WHITE_CHARS_SQL}) AS bare FROM numbered),
+toggled AS (SELECT *, starts_with(bare, '```') OR starts_with(bare, '~~~') AS toggles FROM bared),
+fenced AS (SELECT *, coalesce(sum(toggles::INT) OVER (PARTITION BY {key} ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced FROM toggled),
+headed AS (
+  SELECT *, NOT fenced AND NOT toggles AND regexp_matches(line, '^#{{1,6}}[	
+ ]+.+$') AS is_heading, bare <> '' OR fenced AS content FROM fenced
+), leveled AS (
+  SELECT *, CASE WHEN is_heading THEN length(regexp_extract(line, '^#+')) END AS level,
+    CASE WHEN is_heading THEN trim(regexp_extract(line, '^#+[	
+ ]+(.+?)[	
+ ]*$', 1), {WHITE_CHARS_SQL}) END AS heading,
+    content AND (is_heading OR NOT coalesce(lag(content) OVER (PARTITION BY {key} ORDER BY no), false)) AS begins FROM headed
+), placed AS (
+  SELECT {key}, no, line, content, sum(begins::INT) OVER upto AS nth, last_value(level IGNORE NULLS) OVER upto AS last_level, {levels}
+  FROM leveled WINDOW upto AS (PARTITION BY {key} ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), blocks AS (
+  SELECT {key}, nth - 1 AS block_no, trim(string_agg(line, chr(10) ORDER BY no), {WHITE_CHARS_SQL}) AS block,
+    any_value(list_filter([{path}], lambda x: x IS NOT NULL)) AS path
+  FROM placed WHERE content GROUP BY {key}, nth
+)"""
+
+
+def chunks_sql(source: str, key: str, column: str, most: int = 800, overlap: int = 100) -> str:
+    """Common table expressions up to ``chunked``: key, chunk_index, path, markdown. Needs WITH RECURSIVE.
+
+    Long blocks are cut into runs of words, one run a step, and the parts of a text are packed, one chunk a step.
+    """
+    estimate = "CAST(greatest(1, ceil(length({0}) / 4.0)) AS BIGINT)".format
+    return rf"""
+{blocks_sql(source, key, column)},
+sized AS (SELECT *, {estimate('block')} > {most} AND NOT starts_with(block, '```') AND NOT starts_with(block, '~~~') AS long FROM blocks),
+worded AS (SELECT {key}, block_no, path, list_filter(string_split_regex(block, '[{WHITE_SQL}]+'), lambda w: w <> '') AS words FROM sized WHERE long),
+summed AS (SELECT *, list_transform(range(1, len(words) + 1), lambda i: list_sum(list_transform(words[1:i], lambda w: length(w) + 1))) AS ends FROM worded),
+runs AS (
+  SELECT {key}, block_no, 0 AS piece_no, 0::BIGINT AS skipped, greatest(1, len(list_filter(ends, lambda e: e <= {4 * most + 1}))) AS after FROM summed
+  UNION ALL
+  SELECT r.{key}, r.block_no, piece_no + 1, after, greatest(after + 1, len(list_filter(ends, lambda e: e <= ends[after] + {4 * most + 1})))
+  FROM runs r JOIN summed s ON s.{key} = r.{key} AND s.block_no = r.block_no WHERE after < len(words)
+), parts AS (
+  SELECT {key}, block_no, 0 AS piece_no, block AS part, path FROM sized WHERE NOT long
+  UNION ALL SELECT r.{key}, r.block_no, piece_no, array_to_string(words[skipped + 1:after], ' '), path FROM runs r JOIN summed s ON s.{key} = r.{key} AND s.block_no = r.block_no
+), listed_parts AS (
+  SELECT {key}, list(part ORDER BY block_no, piece_no) AS parts, list(path ORDER BY block_no, piece_no) AS paths, list({estimate('part')} ORDER BY block_no, piece_no) AS sizes FROM parts GROUP BY {key}
+), totals AS (
+  SELECT *, len(sizes) AS n, list_transform(range(0, len(sizes) + 1), lambda i: coalesce(list_sum(sizes[1:i]), 0)) AS total FROM listed_parts
+), packed AS (
+  SELECT {key}, -1 AS chunk_index, 0::BIGINT AS low, 0::BIGINT AS high, 0::BIGINT AS next_low, 0::BIGINT AS over_from, 0::BIGINT AS size_from FROM totals
+  UNION ALL
+  SELECT {key}, chunk_index + 1, low, CASE WHEN over THEN e1 WHEN e2 IS NOT NULL THEN e2 + 1 ELSE n END,
+    CASE WHEN over THEN greatest(low, len(list_filter(total, lambda t: t <= total[e1 + 1] - {overlap})) - 1) WHEN e2 IS NOT NULL THEN e2 + 1 ELSE n END,
+    CASE WHEN over THEN e1 + 1 WHEN e2 IS NOT NULL THEN e2 + 1 ELSE n END, CASE WHEN over THEN e1 WHEN e2 IS NOT NULL THEN e2 + 1 ELSE n END
+  FROM (
+    SELECT *, e1 IS NOT NULL AND (e2 IS NULL OR e1 <= e2) AS over FROM (
+      SELECT p.{key}, p.chunk_index, p.next_low AS low, t.n, t.total,
+        list_filter(range(p.over_from, t.n), lambda i: i > p.next_low AND t.total[i + 2] - t.total[p.next_low + 1] > {most})[1] AS e1,
+        list_filter(range(p.size_from, t.n), lambda i: t.sizes[i + 1] > {most})[1] AS e2
+      FROM packed p JOIN totals t ON t.{key} = p.{key} WHERE p.next_low < t.n))
+), chunked AS (
+  SELECT p.{key}, chunk_index, t.paths[high] AS path, trim(array_to_string(t.parts[low + 1:high], chr(10) || chr(10)), {WHITE_CHARS_SQL}) || chr(10) AS markdown
+  FROM packed p JOIN totals t ON t.{key} = p.{key} WHERE chunk_index >= 0
+)"""
+
+
+SHOWN_CHUNKS_SQL = "SELECT {0}, CAST(chunk_index AS INT) AS chunk_index, markdown, CAST(greatest(1, ceil(length(markdown) / 4.0)) AS INT) AS tokens, array_to_string(path, ' > ') AS headings FROM chunked"
 TOKENS = r"""
 raw_tokens AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}_.:/@-]*')) AS token FROM documents),
 marked AS (
@@ -197,9 +279,6 @@ SELECT source_id, version,
   left(coalesce(nullif(trim(regexp_replace(lower(coalesce(version, '')), '[^a-z0-9]', '_', 'g'), '_'), ''), 'source'), 24) AS label,
   replace(replace(replace(seed_url, '/', '_'), '\', '_'), '..', '_') AS path FROM sources""",
     timestamps: "SELECT manifest_no, strftime(started_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%fZ') AS started, true AS same, true AS refused FROM manifests",
-    single_block_chunks: f"""
-SELECT doc_id, 0::INT AS chunk_index, md5(trim(text, {' || '.join(f'chr({ord(x)})' for x in chr(32) + chr(9) + chr(0xA0) + chr(0x2004) + chr(0x2005) + chr(0x2007) + chr(0x202F) + chr(0x3000))}) || chr(10)) AS chunk
-FROM documents WHERE text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%' || chr(13) || '%' AND length(text) <= 3200 AND regexp_matches(text, '[a-z]')""",
 }
 
 SQL[url_resolved] = rf"""
@@ -208,7 +287,17 @@ WITH {PAGES}, page_rows AS (
     THEN regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://[^/]*(.*)$', 1), '[^/]*$', '') || '../p' || page_no ELSE '/x/p' || page_no END AS url FROM pages
 ), {CANONICAL_URL_SQL} SELECT page_no, canonical_url AS target FROM canonical"""
 
-QUERIES = (*SQL, chunked_pages, document_chunks, indexed_points)
+SQL[markdown_blocks] = f"WITH {blocks_sql('documents', 'doc_id', 'text')} SELECT doc_id, CAST(block_no AS INT) AS block_no, array_to_string(path, ' > ') AS headings, md5(block) AS block FROM blocks"
+SQL[chunked_pages] = f"WITH RECURSIVE {PAGES}, {chunks_sql('pages', 'page_no', 'markdown')} {SHOWN_CHUNKS_SQL.format('page_no')}"
+SQL[document_chunks] = f"WITH RECURSIVE {chunks_sql('documents', 'doc_id', 'text')} {SHOWN_CHUNKS_SQL.format('doc_id')}"
+SQL[indexed_points] = f"""
+WITH RECURSIVE {PAGES}, {chunks_sql('pages', 'page_no', 'markdown')}, points AS (
+  SELECT p.url, p.title, chunk_index, path AS heading_path, c.markdown,
+    sha256(source_id || chr(0) || coalesce(version, '') || chr(0) || coalesce(p.url, '') || chr(0) || coalesce(content_hash, '') || chr(0) || chunk_index) AS d
+  FROM chunked c JOIN pages p USING (page_no)
+) SELECT {UUID.format('d')} AS point_id, url, CAST(chunk_index AS INT) AS chunk_index, array_to_string(heading_path, ' > ') AS headings, sha256({EMBEDDING_TEXT}) AS input_hash FROM points"""
+
+QUERIES = tuple(SQL)
 
 
 def queries():
