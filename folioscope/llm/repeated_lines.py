@@ -35,7 +35,7 @@ def page_lines(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def line_graph(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """source, u, v, n_pages: nodes (v is null) and edges of the graph of consecutive lines, on at least ``min_pages`` each.
+    """u, v, n_pages: nodes (v is null) and edges of the graph of consecutive lines, on at least ``min_pages`` each.
 
     An edge joins two lines that follow each other among a page's lines (blank and short lines between them are not
     seen). Both kinds are counted in one pass with one combining shuffle; the ends of an edge stand on the edge's pages,
@@ -43,8 +43,8 @@ def line_graph(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """
     node = F.transform("lines", lambda x: F.struct(x["node"].alias("u"), F.lit(None).cast("binary").alias("v")))
     steps = F.zip_with(F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0))), F.slice("lines", F.lit(2), F.size("lines")), lambda a, b: F.struct(a["node"].alias("u"), b["node"].alias("v")))
-    parts = pages.select("source", F.explode(F.array_distinct(F.concat(node, F.filter(steps, lambda x: x["u"] != x["v"])))).alias("x"))
-    return parts.groupBy("source", "x.u", "x.v").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    parts = pages.select(F.explode(F.array_distinct(F.concat(node, F.filter(steps, lambda x: x["u"] != x["v"])))).alias("x"))
+    return parts.groupBy("x.u", "x.v").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -72,11 +72,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def boilerplate_blocks(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """source, node, n_pages, block: the lines kept, and the connected component each belongs to."""
+    """node, n_pages, block: the lines kept, and the connected component each belongs to."""
     graph = materialize(line_graph(pages, min_pages), "graph")
-    nodes = graph.where("v is null").select("source", F.col("u").alias("node"), "n_pages")
+    nodes = graph.where("v is null").select(F.col("u").alias("node"), "n_pages")
     labels = components(nodes, graph.where("v is not null")).withColumnRenamed("label", "block")
-    return nodes.join(labels, "node").select("source", "node", "n_pages", "block")
+    return nodes.join(labels, "node").select("node", "n_pages", "block")
 
 
 def block_occurrences(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -86,8 +86,8 @@ def block_occurrences(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     lines between them. The lines meet the blocks in a join that is broadcast only below the session's threshold and
     split by AQE where one line is very frequent; runs are found within a page.
     """
-    placed = pages.select("page_no", F.posexplode("lines").alias("pos", "x")).select("page_no", "pos", "x.line_no", "x.node")
-    kept = placed.join(blocks.select("node", "source", "block"), "node")
+    placed = pages.select("page_no", "source", F.posexplode("lines").alias("pos", "x")).select("page_no", "source", "pos", "x.line_no", "x.node")
+    kept = placed.join(blocks.select("node", "block"), "node")
     order = Window.partitionBy("page_no", "source").orderBy("pos")
     follows = (F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("block").over(order) == F.col("block"))
     runs = kept.withColumn("begins", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("begins").over(order))
