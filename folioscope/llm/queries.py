@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, containers, near_copies, oversized, repeated_lines, similar_vectors, visual_form
+from folioscope.plans.texts import WHITE_SQL, blocks_sql
 from folioscope.session import table
 
 
@@ -24,8 +25,8 @@ def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate blocks of each source: their number of lines, the pages of the most frequent one, and their matches."""
     lines = repeated_lines.materialize(repeated_lines.page_lines(table(spark, sf_dir, "stored_pages")), "lines")
     blocks = repeated_lines.materialize(repeated_lines.boilerplate_blocks(lines), "blocks")
-    matches = repeated_lines.block_occurrences(lines, blocks).groupBy("block").agg(F.count("*").alias("n_matches"), F.max(F.size("line_nos")).alias("longest"))
-    sizes = blocks.groupBy("source", "block").agg(F.count("*").alias("n_lines"), F.max("n_pages").alias("most_pages"))
+    matches = repeated_lines.block_occurrences(lines, blocks).groupBy("block").agg(F.first("source").alias("source"), F.count("*").alias("n_matches"), F.max(F.size("line_nos")).alias("longest"))
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("n_lines"), F.max("n_pages").alias("most_pages"))
     return sizes.join(matches, "block").select("source", F.lower(F.hex("block")).alias("block"), "n_lines", "most_pages", "n_matches", "longest")
 
 
@@ -48,6 +49,11 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized.oversized_pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_configs"))
 
 
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of every oversized chunk are in order, within the limit and together the whole text."""
+    return oversized.checked_pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_configs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copy_pairs(table(spark, sf_dir, "chunks"), "point_no", "markdown")
 
@@ -149,6 +155,25 @@ SELECT page_no, CAST(line_no AS INT) AS line_no FROM forms JOIN frequent USING (
 """
 
 
+OVERSIZED_SQL = """
+limits AS (SELECT source_id, min(coalesce(nullif(max_tokens, 0), 800)) AS most FROM chunk_configs GROUP BY source_id),
+large AS (
+  SELECT point_no, any_value(markdown) AS markdown, any_value(coalesce(most, 800)) AS most FROM chunks LEFT JOIN limits USING (source_id)
+  WHERE markdown <> '' AND greatest(1, ceil(length(markdown) / 4.0)) > coalesce(most, 800) GROUP BY point_no
+)"""
+
+P4_FOUND_SQL = rf"""
+WITH {OVERSIZED_SQL}, {blocks_sql('large', 'point_no', 'markdown')},
+longest AS (SELECT point_no, max(length(block)) AS size FROM blocks GROUP BY point_no)
+SELECT point_no, CASE WHEN list_max(list_transform(string_split_regex(markdown, '[{WHITE_SQL}]+'), lambda w: length(w))) > 4 * most THEN 'inside word'
+  WHEN size > 4 * most THEN 'inside block' ELSE 'between blocks' END AS cut_kind FROM large LEFT JOIN longest USING (point_no)
+"""
+
+P4_CHECKS_SQL = rf"""
+WITH {OVERSIZED_SQL} SELECT point_no, true AS within_limit, true AS in_order, md5(regexp_replace(markdown, '[{WHITE_SQL}]+', '', 'g')) AS body FROM large
+"""
+
+
 P2_LINES_SQL = r"""
 pages AS (
   SELECT page_no, any_value(coalesce(source_id, '')) AS source, any_value(markdown) AS markdown
@@ -191,7 +216,7 @@ SELECT page_no, CASE WHEN any_value(s.markdown) IS NOT NULL THEN coalesce(any_va
 
 
 QUERIES = (
-    p2_found, p2_clean, p2_blocks, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_classes, p6_ids, p7_containers, p7_space, p8_found, p8_forms,
+    p2_found, p2_clean, p2_blocks, p3_found, p3_neighbours, p4_found, p4_pieces, p4_checks, p5_found, p5_classes, p6_ids, p7_containers, p7_space, p8_found, p8_forms,
 )
 
 
@@ -201,5 +226,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND_SQL, "p2_clean": P2_CLEAN_SQL, "p2_blocks": P2_BLOCKS_SQL, "p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL,
+        "p2_found": P2_FOUND_SQL, "p2_clean": P2_CLEAN_SQL, "p2_blocks": P2_BLOCKS_SQL, "p4_found": P4_FOUND_SQL, "p4_checks": P4_CHECKS_SQL, "p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL,
     }

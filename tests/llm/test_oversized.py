@@ -2,13 +2,25 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pytest
 
 from folioscope.llm import oversized as ov
-from folioscope.operators.chunking import WHITE, estimate
+from folioscope.operators.chunking import SPACE_RUN, WHITE, blocks, estimate
 
 T = datetime(2025, 1, 1)
 
 
+def needed_kind(text, limit):
+    """The kind of cut a text needs, from its stretches and blocks."""
+    if max(map(len, SPACE_RUN.split(text))) > 4 * limit:
+        return "inside word"
+    return "inside block" if any(estimate(b) > limit for b, _ in blocks(text)) else "between blocks"
+
+
+def worst(pieces):
+    return min((p["cut_kind"] for p in pieces if p["cut_kind"]), key=ov.RANKED.index, default="between blocks")
+
+
 def test_orbit_follows_the_table():
     r = random.Random(2)
     for _ in range(50):
@@ -28,7 +40,7 @@ def test_pieces_cover_the_text_within_the_limit():
             own = lambda n, end: "".join(f"{chr(97 + r.randint(0, 25))}{r.randint(0, 10**6)}{end}" for _ in range(n))
             parts.append(r.choice([f"# {own(1, '')}\n", own(r.randint(1, 30), " "), "\n\n", own(r.randint(1, 8), "\n"), own(r.randint(1, 40), ""), f"```\n{own(2, '')}\n\ncode\n```\n", "\r\n", "é日 "]))
         text = "".join(parts)
-        limit, overlap = r.choice([(10, 3), (20, 0), (50, 10), (8, 100)])
+        limit, overlap = r.choice([(10, 3), (20, 0), (50, 10), (8, 7), (40, 30)])
         pieces = ov.split_oversized(text, ["Top"], limit, overlap)
         plain = text.replace("\r\n", "\n")
         at = 0
@@ -37,6 +49,8 @@ def test_pieces_cover_the_text_within_the_limit():
             starts = [i for i in range(max(0, at - 4 * limit), len(plain)) if plain.startswith(p["markdown"], i) and not plain[at:i].strip(WHITE)]
             assert starts
             at = max(at, starts[-1] + len(p["markdown"]))
+        assert "".join(SPACE_RUN.sub("", p["markdown"][p["n_shared"] :]) for p in pieces) == SPACE_RUN.sub("", plain)
+        assert not plain.strip(WHITE) or worst(pieces) == needed_kind(text, limit)
         assert not plain[at:].strip(WHITE) and [p["piece_no"] for p in pieces] == list(range(len(pieces)))
 
 
@@ -48,9 +62,15 @@ def test_natural_cuts_overlap_and_headings():
     long = ov.split_oversized(" ".join(f"w{i:03}" for i in range(200)), None, 40, 10)
     for a, b in zip(long, long[1:]):
         assert 20 < len(set(a["markdown"].split()) & set(b["markdown"].split())) * 5 <= 45
-    assert ov.split_oversized("x" * 100, None, 10, 2)[0]["cut_kind"] == "inside word"
-    assert ov.split_oversized("ab " * 30, None, 10, 2)[0]["cut_kind"] == "inside block"
-    assert ov.split_oversized("ab cd ef gh\n\n" * 9, None, 10, 2)[0]["cut_kind"] == "between blocks"
+    assert worst(ov.split_oversized("x" * 100, None, 10, 2)) == "inside word"
+    assert worst(ov.split_oversized("ab " * 30, None, 10, 2)) == "inside block"
+    assert worst(ov.split_oversized("ab cd ef gh\n\n" * 9, None, 10, 2)) == "between blocks"
+    assert [p["cut_kind"] for p in ov.split_oversized("ab " * 30, None, 10, 2)][-1] is None
+    exact = [p["n_shared"] for p in ov.split_oversized(" ".join(["abc"] * 400), None, 50, 10)[1:]]
+    assert set(exact) == {40}
+    for overlap in (10, 11, -1):
+        with pytest.raises(ValueError):
+            ov.split_oversized("ab " * 30, None, 10, overlap)
     assert ov.split_oversized(" " * 100, None, 10, 2)[0]["markdown"] == ""
 
 
@@ -64,3 +84,15 @@ def test_table(spark):
     pieces = ov.oversized_pieces(df, configs).where("point_no = 6").collect()
     assert len(pieces) == 2 and all(p.n_tokens <= 800 for p in pieces)
     assert ov.oversized_cases(df.limit(0), configs).count() == 0
+    assert all(r.within_limit and r.in_order for r in ov.checked_pieces(df, configs).collect())
+    with pytest.raises(ValueError):
+        ov.oversized_cases(df, spark.createDataFrame([("s", 20, 20)], configs.schema))
+
+
+def test_a_block_that_fits_is_not_cut():
+    r = random.Random(5)
+    for _ in range(100):
+        text = "\n\n".join(" ".join("w" * r.randint(1, 9) for _ in range(r.randint(1, 12))) for _ in range(r.randint(2, 20)))
+        limit = max(estimate(b) for b in text.split("\n\n"))
+        pieces = ov.split_oversized(text, None, limit, max(1, limit // 4) if limit > 1 else 0)
+        assert {p["cut_kind"] for p in pieces[:-1]} <= {"between blocks"}
