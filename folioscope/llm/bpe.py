@@ -232,3 +232,28 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer_dir: str = TOKENI
 
     kind = picked.schema["key"].dataType.simpleString()
     return picked.mapInArrow(run, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)
+
+
+def decoded_texts(df: DataFrame, key: str, ids: str, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """``key`` and ``text``: the bytes of the tokens put together, the inverse of ``token_ids``; an empty list gives an empty text."""
+    path = f"{tokenizer_dir}/byte_bpe_50k.json"
+    picked = df.select(df[key].alias("key"), df[ids].alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        bytes_of = printable_bytes()
+        shown = sorted(((i, bytes(bytes_of[c] for c in token)) for token, i in vocab.items() if all(c in bytes_of for c in token)))
+        place = np.full(max(i for i, _ in shown) + 1, -1)
+        place[[i for i, _ in shown]] = np.arange(len(shown))
+        table = pa.array([b for _, b in shown], pa.binary())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                keys, lists = (column.slice(at, 1000) for column in batch.columns)
+                offsets = np.asarray(lists.offsets)
+                tokens = table.take(pa.array(place[np.asarray(lists.values)[offsets[0] : offsets[-1]]]))
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), tokens), b"")
+                yield pa.RecordBatch.from_arrays([keys, joined.cast(pa.string())], ["key", "text"])
+
+    kind = picked.schema["key"].dataType.simpleString()
+    return picked.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)

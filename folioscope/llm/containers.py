@@ -13,7 +13,7 @@ from folioscope.llm import bpe
 from folioscope.session import materialize
 
 CAPACITY = 2048
-BUCKETS = 64
+ROWS_PER_BUCKET = 500_000
 
 
 class Stock:
@@ -148,33 +148,37 @@ def slots(filled: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def fill_containers(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def fill_containers(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``key``, piece_no, first_unit, n_units, container_no: a container for every item.
 
     An item above the capacity is cut: full pieces have a container each, the rest is an item like any other. The
     sizes' histogram (at most ``capacity`` rows, whatever the number of items) is packed by dominance reduction and
     best fit in terms of whole size classes, which gives the best containers over all items, not per partition. Items
-    then get their number within their size and so their place. A size a third of all items have is numbered in
-    ``buckets`` parts; the parts' offsets are at most ``capacity * buckets`` rows. Rows whose key is null, or whose
-    size is null or below 1, have no container; rows are not de-duplicated, equal rows are items of their own.
+    then get their number within their size and so their place. A size of more than ``rows_per_bucket`` items is
+    numbered in as many parts as that takes, so no task sorts more, whatever share of all items the size has. Rows whose
+    key is null, or whose size is null or below 1, have no container; rows are not de-duplicated, equal rows are items
+    of their own.
     """
     n, cap = F.col("size"), F.lit(capacity)
     rows = sizes.select(sizes[key].alias("key"), sizes[size].cast("bigint").alias("size")).where("key is not null and size > 0")
     cut = F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / cap)), lambda i: F.struct(i.alias("piece_no"), F.least(cap, n - i * cap).alias("units")))
-    items = (
-        rows.select("key", F.inline(cut))
-        .select("key", F.col("piece_no").cast("int").alias("piece_no"), F.col("units").cast("int").alias("units"), F.pmod(F.xxhash64("key", "piece_no"), F.lit(buckets)).cast("int").alias("bucket"))
-    )
-    items = materialize(items, "items")
-    counts = materialize(items.groupBy("units", "bucket").agg(F.count("*").alias("n")), "sizes")
+    items = materialize(rows.select("key", F.inline(cut)).select("key", F.col("piece_no").cast("int").alias("piece_no"), F.col("units").cast("int").alias("units")), "items")
     histogram = np.zeros(capacity + 1, np.int64)
-    for row in counts.groupBy("units").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
+    for row in items.groupBy("units").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
         histogram[row.units] = row.n
     table = slots(pack_sizes(histogram, capacity))
-    before = Window.partitionBy("units").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("units", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    parts = -(-histogram // rows_per_bucket)
     nth = F.row_number().over(Window.partitionBy("units", "bucket").orderBy("key", "piece_no"))
-    numbered = items.withColumn("nth", nth).join(offsets, ["units", "bucket"]).select("key", "piece_no", "units", (F.col("offset") + F.col("nth") - 1).alias("number"))
+    if parts.max() <= 1:
+        numbered = items.withColumn("bucket", F.lit(0)).select("key", "piece_no", "units", (nth - 1).cast("bigint").alias("number"))
+    else:
+        many = items.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(parts) if p > 1], "units int, parts int")  # at most `capacity` rows
+        bucket = F.coalesce(F.pmod(F.xxhash64("key", "piece_no"), F.col("parts")), F.lit(0)).cast("int")
+        placed = materialize(items.join(F.broadcast(many), "units", "left").withColumn("bucket", bucket).drop("parts"), "buckets")
+        before = Window.partitionBy("units").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        counts = placed.groupBy("units", "bucket").agg(F.count("*").alias("n"))
+        offsets = counts.select("units", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        numbered = placed.withColumn("nth", nth).join(offsets, ["units", "bucket"]).select("key", "piece_no", "units", (F.col("offset") + F.col("nth") - 1).alias("number"))
     kind = numbered.schema["key"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,3 +196,19 @@ def fill_containers(sizes: DataFrame, key: str, size: str, capacity: int = CAPAC
 def fill_documents(documents: DataFrame, key: str, text: str, capacity: int = CAPACITY, tokenizer_dir: str = bpe.TOKENIZER_DIR) -> DataFrame:
     """``fill_containers`` over the token counts (byte_bpe_50k) of all texts that are neither null nor empty."""
     return fill_containers(bpe.token_counts(documents, key, text, tokenizer_dir), key, "n_tokens", capacity)
+
+
+def checked_containers(sizes: DataFrame, placed: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+    """``key``, fits, whole of every sized item: whether no container of its pieces is overfull, and whether they are all of
+    it, one after another, and more than one only above the capacity.
+    """
+    placed = placed.select(F.col(key).alias("_key"), "piece_no", "first_unit", "n_units", "container_no")
+    loads = placed.groupBy("container_no").agg(F.sum("n_units").alias("load"))
+    told = placed.join(loads, "container_no").groupBy("_key").agg(
+        F.max("load").alias("most"), F.sum("n_units").alias("units"), F.count("*").alias("pieces"), F.max(F.col("first_unit") + F.col("n_units")).alias("end"),
+        F.count_if(F.col("first_unit") != F.col("piece_no").cast("bigint") * capacity).alias("astray"),
+    )
+    own = F.col("_size")
+    whole = (F.col("units") == own) & (F.col("end") == own) & (F.col("astray") == 0) & (F.col("pieces") == F.ceil(own / capacity))
+    items = sizes.select(F.col(key).alias("_key"), F.col(size).alias("_size")).join(told, "_key", "left")
+    return items.select(F.col("_key").alias(key), F.coalesce(F.col("most") <= capacity, F.lit(False)).alias("fits"), F.coalesce(whole, F.lit(False)).alias("whole"))

@@ -17,6 +17,8 @@ BANDS = 48
 ROWS = 6
 SKETCH_WORDS = 8  # 512 bits
 SEED = 20260711
+BUCKETS = 65_536  # in which the rows of bands are counted
+ROWS_PER_SALT = 2000
 
 
 def most_bits(similarity: float, samples: int, bits: int) -> int:
@@ -70,13 +72,33 @@ def word_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def banded_candidates(banded: DataFrame, n_rows: int, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """rep_a < rep_b, without repeats: all pairs of ``rep`` that agree in a ``band``.
+
+    No band is capped. Rows are counted in ``BUCKETS`` hash buckets of bands (the counts are at most as many rows, so
+    they may be broadcast); the bands of a bucket that has far more rows than the mean of ``n_rows`` are spread: one side
+    of the join has one of the bucket's salts, the other a row for each.
+    """
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), "band"), F.lit(BUCKETS)).cast("int")
+    mean = n_rows / BUCKETS
+    counted = banded.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * mean + rows_per_salt)
+    hot = materialize(counted.select("bucket", F.ceil((F.col("n") - mean) / rows_per_salt).cast("int").alias("salts")), "hot")
+    on, left, right = ["band"], banded.withColumnRenamed("rep", "rep_a"), banded.withColumnRenamed("rep", "rep_b")
+    if not hot.isEmpty():
+        on = ["band", "salt"]
+        spread = banded.withColumn("bucket", bucket).join(F.broadcast(hot), "bucket", "left").select("rep", "band", F.coalesce("salts", F.lit(1)).alias("salts"))
+        left = spread.select(F.col("rep").alias("rep_a"), "band", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
+        right = spread.select(F.col("rep").alias("rep_b"), "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.hint("merge").join(right, on).where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+
+
 def class_pairs(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, slack: float = 0.15) -> DataFrame:
     """rep_a < rep_b: all pairs of distinct word sets of at least ``threshold``.
 
     Sets that agree in some band of ``rows`` MinHash samples are candidates; of 48 bands of 6, a pair of similarity
-    0.75 is missed once in 12,000, one of 0.8 once in 2 million. No bucket is capped. Candidates go on if their odd
-    sketches' XOR has no more bits than a pair of similarity ``threshold - slack`` is expected to have (four standard
-    deviations), and count if the exact similarity is reached.
+    0.75 is missed once in 12,000, one of 0.8 once in 2 million. Candidates go on if their odd sketches' XOR has no more
+    bits than a pair of similarity ``threshold - slack`` is expected to have (see the README for the share of pairs that
+    this loses), and count if the exact similarity is reached.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +123,7 @@ def class_pairs(classes: DataFrame, threshold: float, bands: int = BANDS, rows:
         "sketches",
     )
     banded = signed.select("rep", F.explode("bands").alias("band"))
-    candidates = (
-        banded.withColumnRenamed("rep", "rep_a").hint("merge").join(banded.withColumnRenamed("rep", "rep_b"), "band")
-        .where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-    )
+    candidates = banded_candidates(banded, signed.count() * bands)
     side = lambda x: signed.select(F.col("rep").alias(f"rep_{x}"), *(F.col(c).alias(f"{x}_{c}") for c in sketch_columns))
     apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in sketch_columns), F.lit(0))
     likely = candidates.join(side("a"), "rep_a").join(side("b"), "rep_b").where(

@@ -67,6 +67,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MD5 of every document's text as its token ids give it back."""
+    ids = p6_ids(spark, sf_dir)
+    return bpe.decoded_texts(ids, "doc_id", "ids").select("doc_id", F.md5("text").alias("body"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text, or of every piece of one above 2,048 tokens."""
     return containers.fill_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -81,6 +87,13 @@ def p7_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every text is placed whole and no container is overfull."""
+    sizes = containers.materialize(bpe.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    placed = containers.materialize(containers.fill_containers(sizes, "doc_id", "n_tokens"), "placed")
+    return containers.checked_containers(sizes, placed, "doc_id", "n_tokens")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_form.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -89,6 +102,11 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_form.with_visual_form(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document that shows something: its class of texts that look the same."""
+    return visual_form.look_alike_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 NEIGHBOURS_SQL = """
 usable AS (
   SELECT point_no, any_value(dense_vector)::DOUBLE[] AS v FROM chunks
@@ -216,7 +234,8 @@ SELECT page_no, CASE WHEN any_value(s.markdown) IS NOT NULL THEN coalesce(any_va
 
 
 QUERIES = (
-    p2_found, p2_clean, p2_blocks, p3_found, p3_neighbours, p4_found, p4_pieces, p4_checks, p5_found, p5_classes, p6_ids, p7_containers, p7_space, p8_found, p8_forms,
+    p2_found, p2_clean, p2_blocks, p3_found, p3_neighbours, p4_found, p4_pieces, p4_checks, p5_found, p5_classes, p6_ids, p6_decoded,
+    p7_containers, p7_space, p7_checks, p8_found, p8_forms, p8_classes,
 )
 
 
@@ -224,7 +243,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in QUERIES}
 
 
+def visual_forms_sql() -> str:
+    """Common table expressions up to ``forms``: doc_id, text, form, by a mapping table joined to exploded code points."""
+    picture = r"[\p{So}\x{1f3fb}-\x{1f3ff}\x{fe0f}]"
+    joined = rf"regexp_replace(%s, '({picture})\x{{200d}}({picture})', '\1' || chr(57344) || '\2', 'g')"
+    shown = lambda form: " || ".join(f"chr({ord(c)})" for c in form) or "''"
+    mapping = ", ".join(f"(chr({cp}), {shown(form)})" for cp, form in visual_form.changed_points().items())
+    return rf"""
+mapping(c, form) AS (VALUES {mapping}),
+plain AS (SELECT doc_id, text, {joined % (joined % "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS body FROM documents),
+points AS (SELECT doc_id, unnest(regexp_extract_all(body, '(?s).')) AS c, generate_subscripts(regexp_extract_all(body, '(?s).'), 1) AS pos FROM plain),
+mapped AS (SELECT doc_id, string_agg(coalesce(form, c), '' ORDER BY pos) AS form FROM points LEFT JOIN mapping USING (c) GROUP BY doc_id),
+forms AS (SELECT p.doc_id, text, CASE WHEN text = '' THEN '' ELSE replace(nfc_normalize(form), chr(57344), chr(8205)) END AS form FROM plain p LEFT JOIN mapped USING (doc_id)),
+showing AS (SELECT * FROM forms WHERE regexp_matches(form, '[^{WHITE_SQL}]'))"""
+
+
+P8_CLASSES_SQL = """
+SELECT doc_id, class_id, class_size, n_texts FROM showing
+JOIN (SELECT form, min(doc_id) AS class_id, count(*) AS class_size, count(DISTINCT text) AS n_texts FROM showing GROUP BY form) USING (form)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    forms = visual_forms_sql()
     return {
-        "p2_found": P2_FOUND_SQL, "p2_clean": P2_CLEAN_SQL, "p2_blocks": P2_BLOCKS_SQL, "p4_found": P4_FOUND_SQL, "p4_checks": P4_CHECKS_SQL, "p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL,
+        "p2_found": P2_FOUND_SQL, "p2_clean": P2_CLEAN_SQL, "p2_blocks": P2_BLOCKS_SQL, "p3_found": P3_FOUND_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL,
+        "p4_found": P4_FOUND_SQL, "p4_checks": P4_CHECKS_SQL, "p5_found": P5_FOUND_SQL, "p5_classes": P5_CLASSES_SQL,
+        "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS body FROM documents",
+        "p7_checks": "SELECT doc_id, true AS fits, true AS whole FROM documents WHERE text <> ''",
+        "p8_found": f"WITH {forms} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM showing a JOIN showing b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+        "p8_forms": f"WITH {forms} SELECT doc_id, form FROM forms",
+        "p8_classes": f"WITH {forms} {P8_CLASSES_SQL}",
     }

@@ -22,7 +22,7 @@ SAMPLE_ROWS = 65_536
 LEAF_ROWS = 128
 PART_ROWS = 65_536
 LEAST_PART_ROWS = 8192
-CONFIDENCE = 0.05
+CONFIDENCE = 0.5
 BLOCK = 128
 CHUNK_ROWS = 2048
 FIRST_LEAVES = 8

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from folioscope.session import materialize
 
-# Letters and hyphens that are drawn alike, as pairs of (drawn alike, its form here).
+# Letters and hyphens that are drawn alike, as pairs of (drawn alike, its form here): Cyrillic small and
+# capital, Greek small and capital, Latin small capitals and others, Armenian, Cherokee, Lisu, Coptic, signs.
 LOOK_ALIKES = dict(zip(
-    "асеорхуіјѕһԁԛԝӏ" "АВЕЅІЈКМНОРСТУХԚԜӀ" "οϲνϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" "օɑɡ" "ՕՍՏԼսհոզցյ" "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᏀᏂᏃᏏᏙᏚᏞᏟᏢᏦᏧᏴ" "µ" "‐‑﹣˗⁃",
-    "aceopxyijshdqwl" "ABESIJKMHOPCTYXQWI" "ocvj" "ABEZHIKMNOPTYXCJ" "oag" "OUSLuhnqgj" "DRTiYAJEWMHGhZbVSLCPKdB" "μ" "-----",
+    "асеорхуіјѕһԁԛԝӏѵү" "АВЕЅІЈКМНОРСТУХԚԜӀѴҮԌ" "οϲνϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" "ɑɡᴄᴏꜱᴠᴡᴢ" "օսհոզցյՕՍՏԼ" "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᏀᏂᏃᏏᏙᏚᏞᏟᏢᏦᏧᏴ"
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ" "ⲟⲣⲥⲞⲢⲤⲎⲒⲔⲘⲚⲦⲬⲂ" "µ" "‐‑﹣－˗⁃−",
+    "aceopxyijshdqwlvy" "ABESIJKMHOPCTYXQWIVYG" "ocvj" "ABEZHIKMNOPTYXCJ" "agcosvwz" "ouhnqgjOUSL" "DRTiYAJEWMHGhZbVSLCPKdB"
+    "BPDTGKJCZFMNLSRVHWXYAEIOU" "opcOPCHIKMNTXB" "μ" "-------",
     strict=True,
 ))
 ZERO_WIDTH_JOINER = 0x200D
@@ -55,8 +58,8 @@ def _replacement(cp: int) -> str | None:
         return None  # a Hangul syllable stays whole
     tag, *parts = unicodedata.decomposition(char).split() or [""]
     became = char
-    if tag in ("<wide>", "<narrow>") and category[0] in "LN":
-        became = chr(int(parts[0], 16))
+    if tag in ("<wide>", "<narrow>", "<font>") and category[0] in "LN":
+        became = chr(int(parts[0], 16))  # also the mathematical letters and digits
     elif tag == "<compat>" and category[0] == "L" and len(parts) > 1:
         joined = "".join(chr(int(p, 16)) for p in parts)
         if all(unicodedata.category(c)[0] == "L" for c in joined):
@@ -74,7 +77,7 @@ def tables() -> dict[str, np.ndarray]:
     extra: list[int] = []
     classes, picture = np.zeros(LAST, np.uint8), np.zeros(LAST, bool)
     joins: dict[int, int] = {}
-    late = np.zeros(LAST, bool)
+    second = np.zeros(LAST, bool)
     for cp in range(LAST):
         if 0xD800 <= cp <= 0xDFFF or 0xE000 <= cp <= 0xF8FF or 0xF0000 <= cp or 0x3400 <= cp <= 0x4DBF or 0x4E00 <= cp <= 0x9FFF or 0x20000 <= cp <= 0x2F7FF or 0x30000 <= cp < 0xE0000:
             continue  # private use and ideographs: nothing to replace
@@ -88,18 +91,55 @@ def tables() -> dict[str, np.ndarray]:
         if len(two) == 2 and two[0][0] != "<":
             a, b = (int(x, 16) for x in two)
             if unicodedata.normalize("NFC", chr(a) + chr(b)) == char:
-                if unicodedata.combining(chr(b)):
-                    joins[a << 32 | b] = cp
-                else:
-                    late[b] = True
-    late[0x1161:0x11C3] = True  # vowels and final consonants of Hangul
+                joins[a << 32 | b] = cp
+                second[b] = not unicodedata.combining(chr(b))
     keys = np.array(sorted(joins), np.int64)
     return {
         "start": start, "count": count, "pool": np.concatenate((np.arange(LAST), extra)).astype(np.uint32), "class": classes,
-        "picture": picture, "late": late, "pair": keys, "joined": np.array([joins[k] for k in keys.tolist()], np.uint32),
+        "picture": picture, "second": second, "pair": keys, "joined": np.array([joins[k] for k in keys.tolist()], np.uint32),
     }
 
 
+def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the two compose by the table, and what they become."""
+    t = tables()
+    keys = left.astype(np.int64) << 32 | right
+    at = np.minimum(np.searchsorted(t["pair"], keys), len(t["pair"]) - 1)
+    return t["pair"][at] == keys, t["joined"][at]
+
+
+def _hangul(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_pairs`` for Hangul, by the rule of its syllables: consonant and vowel, then final consonant."""
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    opened = (left >= 0x1100) & (left <= 0x1112) & (right >= 0x1161) & (right <= 0x1175)
+    closed = (left >= 0xAC00) & (left <= 0xD7A3) & ((left - 0xAC00) % 28 == 0) & (right >= 0x11A8) & (right <= 0x11C2)
+    syllable = np.where(opened, 0xAC00 + ((left - 0x1100) * 21 + right - 0x1161) * 28, left + right - 0x11A7)
+    return opened | closed, syllable.astype(np.uint32)
+
+
+def _composed(out: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points with vowel signs and Hangul parts composed with what stands just before them, and their old places.
+
+    Left to right within a text: a composition can compose again with what follows, so rounds go on until none is left.
+    """
+    t = tables()
+    first = np.zeros(len(out) + 1, bool)
+    first[starts] = True
+    places = np.arange(len(out))
+    while True:
+        spots = np.flatnonzero((t["second"][out[1:]] | ((out[1:] >= 0x1161) & (out[1:] <= 0x11C2))) & ~first[places[1:]]) + 1
+        done = np.zeros(len(out), bool)
+        for rule in (_pairs, _hangul):
+            joins, became = rule(out[spots - 1], out[spots])
+            joins &= ~done[spots] & ~done[spots - 1]
+            joins[1:] &= ~(joins[:-1] & (spots[1:] == spots[:-1] + 1))  # the left one of two that overlap
+            out[spots[joins] - 1] = became[joins]
+            done[spots[joins]] = True
+        if not done.any():
+            return out, places
+        out, places = out[~done], places[~done]
+
+
 def _ordered(out: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Combining marks in the order of their classes and composed with their letters; out's places to keep.
 
@@ -124,11 +164,10 @@ def _ordered(out: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for k in range(int(length.max())):
         on = np.flatnonzero((length > k) & has_letter)
         mark = begins[on] + k
-        keys = out[letter[on]].astype(np.int64) << 32 | out[mark]
-        at = np.minimum(np.searchsorted(t["pair"], keys), len(t["pair"]) - 1)
         own = t["class"][out[mark]]
-        joins = (t["pair"][at] == keys) & (last_class[on] < own)
-        out[letter[on[joins]]] = t["joined"][at[joins]]
+        joins, became = _pairs(out[letter[on]], out[mark])
+        joins &= last_class[on] < own
+        out[letter[on[joins]]] = became[joins]
         keep[mark[joins]] = False
         last_class[on[~joins]] = own[~joins]
     return keep
@@ -138,8 +177,8 @@ def visual_forms(texts: list[str | None]) -> list[str | None]:
     """The form of each text; null for null.
 
     The texts become one array of positioned code points. Every point is replaced through the decomposition and
-    look-alike table (several points, one or none), combining marks are ordered by class and composed again, and the
-    texts are rebuilt.
+    look-alike table (several points, one or none), vowel signs and Hangul parts are composed, combining marks are
+    ordered by class and composed again, and the texts are rebuilt. A text's form never depends on the texts beside it.
     """
     result = list(texts)
     odd = [i for i, x in enumerate(texts) if x and PLAIN.search(x)]
@@ -148,9 +187,6 @@ def visual_forms(texts: list[str | None]) -> list[str | None]:
     t = tables()
     chosen = [texts[i].replace("\r\n", "\n").replace("\r", "\n") for i in odd]
     points = np.frombuffer("".join(chosen).encode("utf-32-le"), np.uint32)
-    if t["late"][points].any():
-        chosen = [unicodedata.normalize("NFC", x) for x in chosen]
-        points = np.frombuffer("".join(chosen).encode("utf-32-le"), np.uint32)
     bounds = np.cumsum([0, *map(len, chosen)])
     count = t["count"][points]
     joiners = np.flatnonzero(points == ZERO_WIDTH_JOINER)
@@ -162,6 +198,8 @@ def visual_forms(texts: list[str | None]) -> list[str | None]:
     total = int(ends[-1]) if len(ends) else 0
     out = t["pool"][np.arange(total) + np.repeat(start - (ends - count), count)]
     bounds = np.concatenate(([0], ends))[bounds]
+    out, places = _composed(out, bounds[:-1])
+    bounds = np.searchsorted(places, bounds)
     keep = _ordered(out, bounds[:-1])
     bounds = np.concatenate(([0], np.cumsum(keep)))[bounds]
     whole = out[keep].astype("<u4").tobytes().decode("utf-32-le")
@@ -193,13 +231,8 @@ def with_visual_form(df: DataFrame, key: str, text: str) -> DataFrame:
     return _mapped(df, key, text, "form string", build).withColumnRenamed("key", key)
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str, rows_per_salt: int = 2000) -> DataFrame:
-    """``key``_a < ``key``_b: texts that differ in their code points but have the same form.
-
-    Null texts and texts that show nothing but white space take no part; equal texts are no pair; repeated rows count
-    once. Only hashes are shuffled (128 bits of the form, 128 of the text). Groups whose texts are all equal are left
-    out before any pair is made, and the rows of a larger group are spread over one salt per ``rows_per_salt`` rows.
-    """
+def hashed_forms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, f1, f2 (128 bits of the form), t1, t2 (128 bits of the text) of every text that shows something."""
 
     def build(keys: pa.Array, texts: list[str | None], forms: list[str | None]) -> pa.RecordBatch:
         digest = lambda x: hashlib.blake2b(x.encode(), digest_size=16).digest()
@@ -210,8 +243,17 @@ def look_alike_pairs(df: DataFrame, key: str, text: str, rows_per_salt: int = 20
             [keys.take(pa.array(shown, pa.int64())), *(pa.array(x[:, i]) for x in (form, own) for i in (0, 1))], ["key", "f1", "f2", "t1", "t2"]
         )
 
-    rows = _mapped(df, key, text, "f1 bigint, f2 bigint, t1 bigint, t2 bigint", build).where("key is not null")
-    rows = materialize(rows, "forms")
+    return _mapped(df, key, text, "f1 bigint, f2 bigint, t1 bigint, t2 bigint", build).where("key is not null")
+
+
+def look_alike_pairs(df: DataFrame, key: str, text: str, rows_per_salt: int = 2000) -> DataFrame:
+    """``key``_a < ``key``_b: texts that differ in their code points but have the same form.
+
+    Null texts and texts that show nothing but white space take no part; equal texts are no pair; repeated rows count
+    once. Only hashes are shuffled (128 bits of the form, 128 of the text). Groups whose texts are all equal are left
+    out before any pair is made, and the rows of a larger group are spread over one salt per ``rows_per_salt`` rows.
+    """
+    rows = materialize(hashed_forms(df, key, text), "forms")
     groups = (
         rows.groupBy("f1", "f2").agg(F.min("t1").alias("least"), F.max("t1").alias("most"), F.count("*").alias("n"))
         .where("least <> most").select("f1", "f2", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
@@ -223,3 +265,23 @@ def look_alike_pairs(df: DataFrame, key: str, text: str, rows_per_salt: int = 20
         one.join(other, ["f1", "f2", "salt"]).where("key_a < key_b and (t1 <> u1 or t2 <> u2)")
         .select(F.col("key_a").alias(f"{key}_a"), F.col("key_b").alias(f"{key}_b")).distinct()
     )
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, class_id (the lowest key of the texts that look the same), class_size and n_texts (different ones of them).
+
+    The linear form of ``look_alike_pairs``, for groups of any size. Null texts and texts that show nothing but white
+    space take no part; repeated rows of a key count once, and a key whose rows differ belongs to the class of each.
+    """
+    rows = materialize(hashed_forms(df, key, text).distinct(), "forms")
+    texts = rows.select("f1", "f2", "t1", "t2").distinct().groupBy("f1", "f2").agg(F.count("*").alias("n_texts"))
+    members = rows.select("key", "f1", "f2").distinct()
+    classes = members.groupBy("f1", "f2").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size")).join(texts, ["f1", "f2"])
+    return members.join(classes, ["f1", "f2"]).select(F.col("key").alias(key), "class_id", "class_size", "n_texts")
+
+
+def changed_points() -> dict[int, str]:
+    """Code points that have another form than themselves, and that form before it is composed."""
+    t = tables()
+    told = {cp: "".join(map(chr, t["pool"][t["start"][cp] : t["start"][cp] + t["count"][cp]].tolist())) for cp in np.flatnonzero(t["start"] != np.arange(LAST)).tolist()}
+    return {cp: form for cp, form in told.items() if unicodedata.normalize("NFC", form) != chr(cp)}

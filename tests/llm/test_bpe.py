@@ -49,3 +49,10 @@ def test_table(spark, wanted):
     assert bpe.token_ids(df.limit(0), "doc_id", "text").count() == 0
     counts = {r.doc_id: r.n_tokens for r in bpe.token_counts(df.where("doc_id > 1"), "doc_id", "text").collect()}
     assert counts == {i: len(w) for i, w in enumerate(wanted) if i > 1}
+
+
+def test_ids_give_the_texts_back(spark):
+    texts = ["plain words", "", None, " \t\n", "日本語 Ünï 🙂\r\n", "a" * 3000, "\x00\x7f‍", "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in bpe.decoded_texts(bpe.token_ids(df, "doc_id", "text"), "doc_id", "ids").collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}

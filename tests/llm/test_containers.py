@@ -75,6 +75,12 @@ def test_table(spark):
     assert total == {i: n for i, n, _ in sizes} and max(load.values()) <= 100
     assert set(load) == set(range(len(load))) and len(load) <= 1.03 * sum(total.values()) / 100
     assert all(sum(1 for x in rows if x.doc_id == i) == 1 for i, n, _ in sizes[:200] if n <= 100)
+    split = ct.fill_containers(df, "doc_id", "n", 100, rows_per_bucket=70).collect()
+    loads = {}
+    for x in split:
+        loads[x.container_no] = loads.get(x.container_no, 0) + x.n_units
+    assert sorted((x.doc_id, x.piece_no, x.n_units) for x in split) == sorted((x.doc_id, x.piece_no, x.n_units) for x in rows)
+    assert sorted(loads.values()) == sorted(load.values())
     assert ct.fill_containers(df.limit(0), "doc_id", "n", 100).count() == 0
 
 
@@ -88,3 +94,11 @@ def test_reduction_fixes_an_exact_pair():
     stock = ct.Stock(histogram([60, 40, 55, 44, 5, 5], 100))
     ct.reduce_by_dominance(stock, 100)
     assert any(u == {60: 1, 40: 1} for _, u in stock.filled)
+
+
+def test_wrong_placements_are_told(spark):
+    sizes = spark.createDataFrame([(1, 60), (2, 50), (3, 150), (4, 30), (5, 20)], "doc_id bigint, n bigint")
+    placed = [(1, 0, 0, 60, 0), (2, 0, 0, 50, 0), (3, 0, 0, 100, 1), (3, 1, 100, 50, 2), (4, 0, 0, 10, 3), (4, 1, 100, 20, 3)]
+    df = spark.createDataFrame(placed, "doc_id bigint, piece_no int, first_unit bigint, n_units int, container_no bigint")
+    got = {r.doc_id: (r.fits, r.whole) for r in ct.checked_containers(sizes, df, "doc_id", "n", 100).collect()}
+    assert got == {1: (False, True), 2: (False, True), 3: (True, True), 4: (True, False), 5: (False, False)}

@@ -64,3 +64,25 @@ def test_sketch_estimates_similarity():
         similarity = 150 / (150 + 2 * extra)
         assert abs(apart - nc.most_bits(similarity, 288, 512)) < 50
         assert (keys[0] == keys[1]).all() == (extra == 0)
+
+
+def test_a_hot_band_is_spread_and_loses_no_pair(spark):
+    r = random.Random(4)
+    rows = [(i, 7) for i in range(60)] + [(i, 1000 + i // 3) for i in range(60)] + [(r.randint(0, 59), b) for b in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "rep bigint, band bigint")
+    wanted = {(i, j) for i in range(60) for j in range(i + 1, 60)}
+    for rows_per_salt in (5, 10_000):
+        found = nc.banded_candidates(df, len(rows), rows_per_salt)
+        got = [tuple(x) for x in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+    assert nc.banded_candidates(df.limit(0), 0).count() == 0
+
+
+def test_sketches_lose_few_pairs():
+    """Odd sketches of pairs of similarity 0.75, drawn as differing samples that each flip a bit on either side."""
+    rng = np.random.default_rng(2)
+    most, lost = nc.most_bits(0.6, 288, 512), 0
+    for _ in range(20_000):
+        flips = rng.integers(0, 512, 2 * rng.binomial(288, 0.25))
+        lost += int((np.bincount(flips, minlength=512) % 2).sum()) > most
+    assert lost <= 20
