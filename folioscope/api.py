@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.ids import safe_path
+from folioscope.functions.text import printed
 from folioscope.functions.urls import scope_test
 from folioscope.operators import search as s
 from folioscope.operators.crawl import CrawlSettings, Crawled, Fetch, SourceSpec, crawl, http_fetch
@@ -130,8 +131,7 @@ def search(
 
 def get(store: SnapshotStore, source: str, url: str, version: str | None = None) -> str:
     """A page's Markdown with one final newline."""
-    text = store.get_document(source, version, url).first().markdown or ""
-    return text if text.endswith("\n") else text + "\n"
+    return store.get_document(source, version, url).select(printed(F.col("markdown"))).first()[0]
 
 
 def sources(store: SnapshotStore, style: str = "text") -> str:

@@ -115,3 +115,19 @@ def embedding_text(title: Column, headings: Column, url: Column, markdown: Colum
 
 def title_or_url(title: Column, url: Column) -> Column:
     return F.coalesce(F.when(title != "", title), url)
+
+
+def printed(markdown: Column) -> Column:
+    """A page as it is printed: with one final newline where it has none; null as an empty page."""
+    text = F.coalesce(markdown, F.lit(""))
+    return F.when(F.endswith(text, F.lit("\n")), text).otherwise(F.concat(text, F.lit("\n")))
+
+
+def rfc3339(time: Column) -> Column:
+    """A time as RFC 3339 text in UTC with microseconds (the session's time zone is UTC)."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def from_rfc3339(text: Column) -> Column:
+    """The time; null for text that is none."""
+    return F.try_to_timestamp(F.when(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")), text))

@@ -61,7 +61,7 @@ def fold_documents(documents: DataFrame, keys: list[str], order: list[str], colu
     return documents.groupBy(*keys).agg(last).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in columns))
 
 
-def is_complete(events: DataFrame) -> DataFrame:
-    """One row: complete, failed, missing."""
+def is_complete(events: DataFrame, *by: str) -> DataFrame:
+    """complete, failed, missing: one row, or one for each value of ``by``."""
     of = lambda kind: F.count_if(F.col("kind") == kind)
-    return events.agg((F.count_if(F.col("kind").isin(*BAD_KINDS)) == 0).alias("complete"), of("failed").alias("failed"), of("selector_missing").alias("missing"))
+    return events.groupBy(*by).agg((F.count_if(F.col("kind").isin(*BAD_KINDS)) == 0).alias("complete"), of("failed").alias("failed"), of("selector_missing").alias("missing"))

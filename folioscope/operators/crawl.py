@@ -44,7 +44,8 @@ class SourceSpec:
     content_selectors: list[str] = field(default_factory=list)
 
     def selectors(self) -> list[str]:
-        return [self.content_selector, *[s for s in self.content_selectors if s.strip() and s != self.content_selector]]
+        """The primary selector and the others, in order, without repeats and blank ones."""
+        return list(dict.fromkeys(s for s in [self.content_selector, *(self.content_selectors or [])] if s and s.strip()))
 
 
 @dataclass

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.html import from_markdown, parse_pages
 from folioscope.functions.ids import sha_of, stored_point_id
+from folioscope.functions.text import printed
 from folioscope.functions.urls import canonical_url
 from folioscope.operators import catalog
-from folioscope.operators.crawl import reachable
+from folioscope.operators.crawl import SourceSpec, reachable
+from folioscope.operators.index import page_points
 from folioscope.operators.snapshot_diff import hex_digits
 from folioscope.plans.snapshots import CANONICAL_URL_SQL
 from folioscope.plans.texts import PAGES, UUID, pages
-from folioscope.sources.artifact import verify_hashes
 from folioscope.session import table
+from folioscope.sources.artifact import verify_hashes
+from folioscope.sources.store import with_identity
 
 c = F.col
 
@@ -37,16 +40,16 @@ def document_listing(spark, sf_dir):
 
 
 def document_lookup(spark, sf_dir):
-    """One page by its deterministic id, as the lowest-numbered page's URL gives it."""
-    rows = pages(spark, sf_dir).withColumn("document_point_id", stored_point_id(sha_of("document", c("source_id"), c("url"))))
-    wanted = rows.orderBy("page_no").limit(1).select("document_point_id")
-    return rows.join(wanted, "document_point_id", "left_semi").select("page_no", "document_point_id", "url")
+    """One page by its deterministic id, as the source and URL of the lowest-numbered page give it."""
+    rows = pages(spark, sf_dir)
+    first = rows.orderBy("page_no").select("source_id", "url").first()
+    documents = page_points(rows.withColumnRenamed("source_id", "source"))
+    return with_identity(documents, first.source_id, first.url).select("document_point_id", "version", "url", F.md5("markdown").alias("body"))
 
 
 def page_output(spark, sf_dir):
-    """A page's Markdown as printed: with one final newline where it has none."""
-    text = F.coalesce("markdown", F.lit(""))
-    return pages(spark, sf_dir).select("page_no", F.md5(F.when(F.endswith(text, F.lit("\n")), text).otherwise(F.concat(text, F.lit("\n")))).alias("printed"))
+    """A page's Markdown as printed."""
+    return pages(spark, sf_dir).select("page_no", F.md5(printed(c("markdown"))).alias("printed"))
 
 
 def hash_check(spark, sf_dir):
@@ -78,10 +81,7 @@ def page_events(spark, sf_dir):
 
 def crawl_completeness(spark, sf_dir):
     """Per crawl: failures and pages without content, and whether it counts as complete."""
-    bad = lambda kind: F.count_if(c("kind") == kind)
-    return events_of(spark, sf_dir).dropDuplicates(["manifest_no", "kind", "url", "detail"]).groupBy("manifest_no").agg(
-        bad("failed").alias("failed"), bad("selector_missing").alias("missing"), (F.count_if(c("kind").isin(*catalog.BAD_KINDS)) == 0).alias("complete")
-    )
+    return catalog.is_complete(events_of(spark, sf_dir).dropDuplicates(["manifest_no", "kind", "url", "detail"]), "manifest_no")
 
 
 def retry_urls(spark, sf_dir):
@@ -89,15 +89,6 @@ def retry_urls(spark, sf_dir):
     return catalog.retry_targets(events_of(spark, sf_dir))
 
 
-def merged_documents(spark, sf_dir):
-    """The pages of crawl number 1 of every series updated by those of number 2: replaced by URL or added; ``merged_series`` takes all crawls."""
-    listing = table(spark, sf_dir, "page_snapshots").where("url <> ''")
-    crawls = table(spark, sf_dir, "manifests").select("manifest_no", "snapshot_seq", F.coalesce("version", F.lit("")).alias("version"))
-    rows = listing.join(crawls, "manifest_no").groupBy("snapshot_seq", F.concat_ws(" ", "source_id", "version", "url").alias("url")).agg(F.max("content_hash").alias("content_hash"))
-    side = lambda n: rows.where(c("snapshot_seq") == n).select("url", "content_hash")
-    return catalog.merge_documents(side(1), side(2))
-
-
 def merged_series(spark, sf_dir):
     """The pages of all crawls of every series, each crawl replacing by URL what the ones before it left or adding to it.
 
@@ -111,8 +102,12 @@ def merged_series(spark, sf_dir):
 
 def content_selectors(spark, sf_dir):
     """The selectors of a source in order, the primary one first, without repeats and blanks."""
-    chosen = F.filter(F.concat(F.array("content_selector"), F.coalesce("content_selectors", F.array().cast("array<string>"))), lambda x: F.trim(x) != "")
-    return table(spark, sf_dir, "sources").select("source_id", "version", F.array_join(F.array_distinct(chosen), " | ").alias("selectors"))
+
+    @F.udf("string", useArrow=True)
+    def joined(primary: str | None, others: list[str] | None) -> str:
+        return " | ".join(SourceSpec("", "", primary or "", content_selectors=others or []).selectors())
+
+    return table(spark, sf_dir, "sources").select("source_id", "version", joined("content_selector", "content_selectors").alias("selectors"))
 
 
 def links_of(spark, sf_dir) -> DataFrame:
@@ -128,37 +123,27 @@ def reachable_pages(spark, sf_dir):
     return reachable(links, spark.sql("select cast(3 as bigint) as url")).select(c("url").alias("page_no"), "level")
 
 
-def html_of(spark, sf_dir) -> DataFrame:
-    """HTML around the stored pages: title, a link to the page itself and a rooted one, the first 12 words as content, as the SQL can follow them."""
-    text = F.trim(F.regexp_replace(F.coalesce("markdown", F.lit("")), r"[^A-Za-z0-9]+", " "))
-    words = F.array_join(F.slice(F.split(text, " "), 1, 12), " ")
-    return wrapped(pages(spark, sf_dir), F.concat(F.lit("<p>"), words))
-
+def parsed_pages(spark, sf_dir):
+    """Title, links and content of HTML pages that hold the whole stored texts, in all scripts and with all their marks.
 
-def wrapped(rows: DataFrame, content) -> DataFrame:
-    """Pages as HTML around their ``content``."""
+    The stored Markdown is turned into HTML, wrapped, and parsed again; what comes back is compared by its letters.
+    """
+    content = F.udf(from_markdown, "string", useArrow=True)
     title = F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     body = F.concat(
         F.lit("<html><head><meta charset=utf-8><title>\n "), title, F.lit(" </title><script>var x = '<p>no</p>';</script></head><body><nav><a href='"), c("url"),
-        F.lit("#top'>here</a><a href=\"/root?q=1\">root</a></nav><main id=\"content\"><h2>Page</h2>"), content, F.lit("<p>End of <b>page</b></main></body></html>"),
+        F.lit("#top'>here</a><a href=\"/root?q=1\">root</a><a href=\"/root?q=1\">again</a></nav><main id=\"content\"><h2>Page</h2>"), content(F.coalesce("markdown", F.lit(""))),
+        F.lit("<p>End of <b>page</b></main></body></html>"),
     )
-    return rows.where("url is not null").select("page_no", "url", body.alias("html"))
-
-
-def parsed(found: DataFrame) -> DataFrame:
-    rows = parse_pages(found, ["page_no"], "url", "html", ["article", "main#content"])
-    return rows.select("page_no", "title", F.array_join("links", " ").alias("links"), "markdown", "missing")
+    found = pages(spark, sf_dir).where("url is not null").select("page_no", "url", body.alias("html"))
+    return parse_pages(found, ["page_no"], "url", "html", ["article", "main#content"]).select("page_no", "title", "links", "markdown", "missing")
 
 
-def parsed_pages(spark, sf_dir):
-    """Title, links and Markdown of HTML pages that hold the first 12 words of the stored ones; ``parsed_whole_pages`` has the whole texts."""
-    return parsed(html_of(spark, sf_dir))
-
-
-def parsed_whole_pages(spark, sf_dir):
-    """Title, links and Markdown of HTML pages that hold the whole stored texts, in all scripts and with all their marks."""
-    content = F.udf(from_markdown, "string", useArrow=True)
-    return parsed(wrapped(pages(spark, sf_dir), content(F.coalesce("markdown", F.lit("")))))
+def page_heads(spark, sf_dir):
+    """Of the parsed pages: title, the links around the content (once each), and the letters of the content."""
+    rows = parsed_pages(spark, sf_dir)
+    around = F.filter("links", lambda x: F.endswith(x, F.lit("#top")) | F.endswith(x, F.lit("/root?q=1")))
+    return rows.select("page_no", "title", F.array_join(around, " ").alias("links"), F.md5(F.regexp_replace("markdown", r"[^\p{L}]+", "")).alias("letters"), "missing")
 
 
 SQL = {
@@ -173,7 +158,7 @@ WITH {PAGES}, h AS (SELECT *, sha256('document' || chr(0) || source_id || chr(0)
 SELECT source_id, version, url, title, {UUID.format('d')} AS document_point_id FROM h""",
     document_lookup: f"""
 WITH {PAGES}, h AS (SELECT *, sha256('document' || chr(0) || source_id || chr(0) || url) AS d FROM pages), w AS (SELECT d FROM h ORDER BY page_no LIMIT 1)
-SELECT page_no, {UUID.format('d')} AS document_point_id, url FROM h WHERE d IN (SELECT d FROM w)""",
+SELECT {UUID.format('d')} AS document_point_id, version, url, md5(markdown) AS body FROM h WHERE d IN (SELECT d FROM w)""",
     page_output: f"WITH {PAGES} SELECT page_no, md5(CASE WHEN coalesce(markdown, '') LIKE '%' || chr(10) THEN markdown ELSE coalesce(markdown, '') || chr(10) END) AS printed FROM pages",
     hash_check: f"WITH {PAGES} SELECT page_no, coalesce(sha256(markdown) = content_hash, false) AS intact FROM pages",
     snapshot_retention: """
@@ -187,24 +172,19 @@ SELECT DISTINCT CASE WHEN url IS NULL OR url = '' THEN 'failed' WHEN content_has
 WITH e AS (SELECT DISTINCT manifest_no, CASE WHEN url IS NULL OR url = '' THEN 'failed' WHEN content_hash IS NULL THEN 'selector_missing' ELSE 'fetched' END AS kind, coalesce(url, '') AS url, title FROM page_snapshots)
 SELECT manifest_no, count(*) FILTER (kind = 'failed') AS failed, count(*) FILTER (kind = 'selector_missing') AS missing, count(*) FILTER (kind <> 'fetched') = 0 AS complete FROM e GROUP BY manifest_no""",
     retry_urls: "SELECT DISTINCT coalesce(url, '') AS url FROM page_snapshots WHERE url IS NULL OR url = '' OR content_hash IS NULL",
-    merged_documents: """
-WITH r AS (SELECT snapshot_seq, concat_ws(' ', p.source_id, coalesce(m.version, ''), url) AS url, max(content_hash) AS content_hash
-  FROM page_snapshots p JOIN manifests m USING (manifest_no) WHERE url <> '' GROUP BY ALL)
-SELECT url, content_hash FROM r WHERE snapshot_seq = 2
-UNION ALL SELECT url, content_hash FROM r a WHERE snapshot_seq = 1 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.snapshot_seq = 2 AND b.url = a.url)""",
+    content_selectors: """
+WITH listed AS (SELECT *, list_filter(list_concat([content_selector], coalesce(content_selectors, [])), lambda x: trim(coalesce(x, '')) <> '') AS chosen FROM sources)
+SELECT source_id, version, array_to_string(list_filter(chosen, lambda x, i: list_position(chosen, x) = i), ' | ') AS selectors FROM listed""",
     reachable_pages: """
 WITH RECURSIVE own AS (SELECT DISTINCT page_no FROM stored_pages),
 links AS (SELECT page_no AS src, unnest([page_no * 2, page_no * 2 + 1, page_no // 2, (page_no * 7) % 101]) AS dst FROM own),
 valid AS (SELECT src, dst FROM links WHERE dst IN (SELECT page_no FROM own)),
 walk AS (SELECT 3::BIGINT AS page_no, 0 AS level UNION SELECT v.dst, w.level + 1 FROM walk w JOIN valid v ON v.src = w.page_no WHERE w.level < 40)
 SELECT page_no, CAST(min(level) AS INT) AS level FROM walk GROUP BY page_no""",
-    parsed_pages: r"""
-WITH p AS (SELECT DISTINCT ON (page_no) * FROM stored_pages WHERE url IS NOT NULL),
-t AS (SELECT page_no, url, title, trim(regexp_replace(coalesce(markdown, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS body FROM p),
-w AS (SELECT *, array_to_string(string_split(body, ' ')[1:12], ' ') AS words FROM t)
-SELECT page_no, trim(coalesce(title, '')) AS title,
-  array_to_string(list_sort([url || '#top', regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || '/root?q=1']), ' ') AS links,
-  '## Page' || chr(10) || chr(10) || CASE WHEN words = '' THEN '' ELSE words || chr(10) || chr(10) END || 'End of **page**' AS markdown, false AS missing FROM w""",
+    page_heads: r"""
+WITH p AS (SELECT DISTINCT ON (page_no) * FROM stored_pages WHERE url IS NOT NULL)
+SELECT page_no, trim(coalesce(title, '')) AS title, array_to_string(list_sort([url || '#top', regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || '/root?q=1']), ' ') AS links,
+  md5('Page' || regexp_replace(coalesce(markdown, ''), '[^\p{L}]+', '', 'g') || 'Endofpage') AS letters, false AS missing FROM p""",
 }
 
 SQL[merged_series] = rf"""
@@ -215,7 +195,7 @@ WITH page_rows AS (
 SELECT source_id, version, canonical_url AS url, snapshot_seq, hash AS content_hash FROM canonical
 QUALIFY row_number() OVER (PARTITION BY source_id, version, canonical_url ORDER BY snapshot_seq DESC, crawled_at DESC NULLS LAST, loaded_at DESC NULLS LAST, hash DESC NULLS LAST) = 1"""
 
-QUERIES = (*SQL, content_selectors, parsed_whole_pages)
+QUERIES = (*SQL, parsed_pages)
 
 
 def queries():

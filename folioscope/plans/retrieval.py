@@ -103,14 +103,11 @@ def suppressed_results(spark, sf_dir):
 
 
 def result_json(spark, sf_dir):
-    """URL and title of the first three results of every list; ``whole_result_json`` has the whole lists."""
-    shown = results(spark, sf_dir).where("rank_no <= 3").select("query_no", c("rank_no").alias("rank"), "url", "title")
-    return s.result_json(shown, "query_no")
-
-
-def whole_result_json(spark, sf_dir):
-    """All results of every list with all their columns."""
-    return s.result_json(results(spark, sf_dir).select("query_no", c("rank_no").alias("rank"), "point_no", *s.RESULT_COLUMNS), "query_no")
+    """All results of every list as JSON with all their columns, read back from it."""
+    shown = results(spark, sf_dir).select("query_no", c("rank_no").alias("rank"), "point_no", *s.RESULT_COLUMNS)
+    printed = s.result_json(shown, "query_no")
+    item = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in shown.schema if f.name != "query_no")
+    return printed.select("query_no", F.inline(F.from_json("json", f"struct<results:array<struct<{item}>>>")["results"])).withColumn("heading_path", F.array_join("heading_path", " > ", "-"))
 
 
 def result_text(spark, sf_dir):
@@ -125,18 +122,6 @@ def vector_dimensions(spark, sf_dir):
     return rows.groupBy("source_id").agg(F.count("*").alias("n"), (F.min(size) == F.max(size)).alias("uniform"))
 
 
-def embedding_cache(spark, sf_dir):
-    """Vectors of even points reused for odd ones: how many, and how many inputs are left; ``whole_embedding_cache`` looks at all points."""
-    rows = points(spark, sf_dir)
-    return reuse_counts(rows.where("point_no % 2 = 1"), rows.where("point_no % 2 = 0"))
-
-
-def cached_inputs(spark, sf_dir):
-    rows = points(spark, sf_dir)
-    found = cached_vectors(rows.where("point_no % 2 = 1"), rows.where("point_no % 2 = 0"))
-    return found.select("input_hash", F.size("dense_vector").alias("dimension"))
-
-
 def wanted_and_stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """All points but those that stand in the store, and these: of every input the point with a vector that was crawled first."""
     order = Window.partitionBy("input_hash").orderBy(c("dense_vector").isNull(), c("crawled_at").asc_nulls_last(), "point_no")
@@ -144,12 +129,12 @@ def wanted_and_stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows.where("not stored"), rows.where("stored")
 
 
-def whole_embedding_cache(spark, sf_dir):
+def embedding_cache(spark, sf_dir):
     """Every point is in the store or looked up in it: how many are reused, and how many inputs are left."""
     return reuse_counts(*wanted_and_stored(spark, sf_dir))
 
 
-def whole_cached_inputs(spark, sf_dir):
+def cached_inputs(spark, sf_dir):
     found = cached_vectors(*wanted_and_stored(spark, sf_dir))
     return found.select("input_hash", F.size("dense_vector").alias("dimension"))
 
@@ -207,8 +192,8 @@ SELECT a.query_no, a.point_no AS point_no_a, b.point_no AS point_no_b FROM r a J
 WHERE a.form = b.form OR (a.url = b.url AND len(a.words) > 0 AND len(b.words) > 0
   AND len(list_intersect(a.words, b.words)) >= 0.75 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))))""",
     result_json: f"""
-WITH {LISTED} SELECT query_no, '{{"results":[' || string_agg('{{"rank":' || rank_no || ',"url":' || coalesce(to_json(url)::VARCHAR, 'null') || CASE WHEN title IS NULL THEN '' ELSE ',"title":' || to_json(title)::VARCHAR END || '}}', ',' ORDER BY rank_no) || ']}}' AS json
-FROM listed WHERE rank_no <= 3 GROUP BY query_no""",
+WITH {LISTED} SELECT query_no, rank_no AS rank, point_no, vector_score, dense_score, sparse_score, fusion_score, reranker_score, source_id, version, url, title,
+  array_to_string(list_transform(heading_path, lambda h: coalesce(h, '-')), ' > ') AS heading_path, markdown FROM listed""",
     result_text: rf"""
 WITH {LISTED}, s AS (SELECT query_no, rank_no, '## ' || rank_no || '. ' || coalesce(nullif(title, ''), url, '') || chr(10) || chr(10) || 'Source: ' || coalesce(url, '') || chr(10)
   || CASE WHEN coalesce(version, '') <> '' THEN 'Version: ' || version || chr(10) ELSE '' END
@@ -217,22 +202,59 @@ WITH {LISTED}, s AS (SELECT query_no, rank_no, '## ' || rank_no || '. ' || coale
   || chr(10) || regexp_replace(coalesce(markdown, ''), '^{SPACES}|{SPACES}$', '', 'g') || chr(10) AS section FROM listed)
 SELECT query_no, md5(string_agg(section, chr(10) || '---' || chr(10) || chr(10) ORDER BY rank_no)) AS text FROM s GROUP BY query_no""",
     vector_dimensions: f"WITH {POINTS}, {DENSE} SELECT source_id, count(*) AS n, min(len(v)) = max(len(v)) AS uniform FROM usable JOIN points USING (point_no) GROUP BY source_id",
-    embedding_cache: f"""
-WITH {POINTS}, known AS (SELECT DISTINCT input_hash FROM points WHERE point_no % 2 = 0 AND dense_vector IS NOT NULL),
-w AS (SELECT p.input_hash, k.input_hash IS NOT NULL AS hit FROM points p LEFT JOIN known k USING (input_hash) WHERE point_no % 2 = 1)
-SELECT count(*) FILTER (hit) AS reused, count(DISTINCT input_hash) FILTER (NOT hit) AS embedded FROM w""",
-    cached_inputs: f"""
-WITH {POINTS} SELECT a.input_hash, CAST(len(arg_min(a.dense_vector, a.point_id)) AS INT) AS dimension FROM points a
-WHERE point_no % 2 = 0 AND dense_vector IS NOT NULL AND input_hash IN (SELECT input_hash FROM points WHERE point_no % 2 = 1) GROUP BY a.input_hash""",
 }
 
 STORE = f"""
 WITH {POINTS}, placed AS (SELECT *, dense_vector IS NOT NULL AND row_number() OVER (PARTITION BY input_hash ORDER BY dense_vector IS NULL, crawled_at NULLS LAST, point_no) = 1 AS stored FROM points)"""
-SQL[whole_embedding_cache] = f"""{STORE}, w AS (SELECT w.input_hash, s.input_hash IS NOT NULL AS hit FROM placed w LEFT JOIN (SELECT input_hash FROM placed WHERE stored) s USING (input_hash) WHERE NOT w.stored)
+SQL[embedding_cache] = f"""{STORE}, w AS (SELECT w.input_hash, s.input_hash IS NOT NULL AS hit FROM placed w LEFT JOIN (SELECT input_hash FROM placed WHERE stored) s USING (input_hash) WHERE NOT w.stored)
 SELECT count(*) FILTER (hit) AS reused, count(DISTINCT input_hash) FILTER (NOT hit) AS embedded FROM w"""
-SQL[whole_cached_inputs] = f"{STORE} SELECT input_hash, CAST(len(dense_vector) AS INT) AS dimension FROM placed WHERE stored AND input_hash IN (SELECT input_hash FROM placed WHERE NOT stored)"
-
-QUERIES = (*SQL, hybrid_search, dense_only_search, suppressed_results, whole_result_json)
+SQL[cached_inputs] = f"{STORE} SELECT input_hash, CAST(len(dense_vector) AS INT) AS dimension FROM placed WHERE stored AND input_hash IN (SELECT input_hash FROM placed WHERE NOT stored)"
+
+
+
+def suppressed_sql(ordered: str) -> str:
+    """Common table expressions from ``ordered`` (query_no, position, point_no, url, markdown) to ``kept`` (query_no, point_no, rank).
+
+    One step takes the next row of every list: it is kept unless it repeats one kept before it.
+    """
+    return f"""
+ordered AS ({ordered}),
+shaped AS (SELECT query_no, position, point_no, coalesce(url, '') AS url, {FORM} AS form, {WORDS} AS words FROM ordered),
+repeats AS (
+  SELECT b.query_no, b.position, list(a.position) AS of FROM shaped a JOIN shaped b ON a.query_no = b.query_no AND a.position < b.position
+  WHERE a.point_no = b.point_no OR a.form = b.form OR (a.url = b.url AND len(a.words) > 0 AND len(b.words) > 0
+    AND len(list_intersect(a.words, b.words)) >= 0.75 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))) GROUP BY ALL
+), walk AS (
+  SELECT DISTINCT query_no, 0::BIGINT AS position, []::BIGINT[] AS taken FROM ordered
+  UNION ALL
+  SELECT w.query_no, o.position, CASE WHEN len(taken) >= 5 OR list_has_any(taken, coalesce(r.of, [])) THEN taken ELSE list_append(taken, o.position) END
+  FROM walk w JOIN ordered o ON o.query_no = w.query_no AND o.position = w.position + 1 LEFT JOIN repeats r ON r.query_no = o.query_no AND r.position = o.position
+), last_step AS (SELECT query_no, arg_max(taken, position) AS taken FROM walk GROUP BY query_no),
+ranked_rows AS (SELECT query_no, unnest(taken) AS position, generate_subscripts(taken, 1) AS rank FROM last_step),
+kept AS (SELECT query_no, point_no, CAST(rank AS INT) AS rank FROM ranked_rows JOIN ordered USING (query_no, position))"""
+
+
+RERANKED = r"""
+scored AS (
+  SELECT f.*, 0.1 + len(list_filter(string_split_regex(trim(lower(asked)), '\s+'), lambda w: w <> '' AND contains(lower(coalesce(markdown, '')), w))) AS reranker_score,
+    p.url, p.markdown FROM found f JOIN asked USING (query_no) JOIN points p USING (point_no)
+)"""
+POSITIONED = "SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY reranker_score DESC, CASE WHEN fusion_score <> 0 THEN fusion_score ELSE dense_score END DESC, candidate_rank) AS position FROM scored"
+SQL[suppressed_results] = f"WITH RECURSIVE {LISTED}, {suppressed_sql(f'SELECT query_no, point_no, url, markdown, CAST({ORDER} AS BIGINT) AS position FROM listed')} SELECT * FROM kept"
+SQL[dense_only_search] = f"""
+WITH RECURSIVE {POINTS}, {ASKED}, {DENSE}, found AS (SELECT query_no, point_no, score AS dense_score, 0.0::DOUBLE AS fusion_score, rank AS candidate_rank FROM dense_ranked WHERE rank <= 40),
+{RERANKED}, {suppressed_sql(POSITIONED)} SELECT query_no, rank, point_no, round(dense_score, 6) AS vector_score FROM kept JOIN found USING (query_no, point_no)"""
+SQL[hybrid_search] = f"""
+WITH RECURSIVE {POINTS}, {ASKED}, {SPARSE}, {DENSE}, fused AS (
+  SELECT query_no, point_no, coalesce(d.score, 0) AS dense_score, coalesce(round(s.score, 12), 0) AS sparse_score,
+    coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS fusion_score
+  FROM (SELECT * FROM dense_ranked WHERE rank <= 40) d FULL JOIN (SELECT * FROM sparse_ranked WHERE rank <= 40) s USING (query_no, point_no)),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY fusion_score DESC, point_no) AS candidate_rank FROM fused QUALIFY candidate_rank <= 40),
+{RERANKED}, {suppressed_sql(POSITIONED)}
+SELECT query_no, rank, point_no, round(fusion_score, 6) AS vector_score, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, round(fusion_score, 6) AS fusion_score,
+  round(reranker_score::DOUBLE, 6) AS reranker_score, source_id, version, p.url, title FROM kept JOIN scored USING (query_no, point_no) JOIN points p USING (point_no)"""
+
+QUERIES = tuple(SQL)
 
 
 def queries():

@@ -107,8 +107,8 @@ def safe_names(spark, sf_dir):
 
 def timestamps(spark, sf_dir):
     """Times as RFC 3339 text with microseconds and back; text that is no time gives null."""
-    rows = table(spark, sf_dir, "manifests").select("manifest_no", F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("started"), "started_at")
-    return rows.select("manifest_no", "started", (F.try_to_timestamp("started") == c("started_at")).alias("same"), F.try_to_timestamp(F.concat(F.lit("no "), "started")).isNull().alias("refused"))
+    rows = table(spark, sf_dir, "manifests").select("manifest_no", text.rfc3339(c("started_at")).alias("started"), "started_at")
+    return rows.select("manifest_no", "started", (text.from_rfc3339(c("started")) == c("started_at")).alias("same"), text.from_rfc3339(F.concat(F.lit("no "), "started")).isNull().alias("refused"))
 
 
 def shown_chunks(chunks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.ids import alias_name, physical_name, sha_of, stored_point_id
+from folioscope.functions.ids import alias_name, physical_name, store_document_id, stored_point_id
 from folioscope.operators.catalog import retained, source_catalog
 from folioscope.operators.sparse import exploded
 from folioscope.sources.files import Files
@@ -85,6 +85,12 @@ def snapshot_problems(snapshot: Snapshot) -> DataFrame:
     return of_chunks.crossJoin(of_documents)  # two rows of counts
 
 
+def with_identity(documents: DataFrame, source: str, url: str) -> DataFrame:
+    """The documents that have the id of this source and URL: a comparison with one value, which the file statistics serve."""
+    wanted = documents.sparkSession.range(1).select(stored_point_id(store_document_id(F.lit(source), F.lit(url)))).first()[0]
+    return documents.where(F.col("document_point_id") == wanted)
+
+
 class SnapshotStore:
     """Physical snapshots are directories; one pointer file holds all aliases, so a switch is one rename."""
 
@@ -177,8 +183,7 @@ class SnapshotStore:
         meta = self.meta(physical)
         if not meta or meta.get("schema", 0) < INDEX_SCHEMA:
             raise ReindexRequiredError(source, version)
-        wanted = self.spark.range(1).select(stored_point_id(sha_of("document", F.lit(source), F.lit(url)))).first()[0]
-        found = self.documents(source, version).where(F.col("document_point_id") == wanted)
+        found = with_identity(self.documents(source, version), source, url)
         if found.isEmpty():
             raise DocumentNotFoundError(source, version, url)
         return found

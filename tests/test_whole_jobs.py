@@ -24,13 +24,13 @@ def test_whole_pages_are_parsed(spark, tmp_path):
         "~~~py\r\nif a < b:\r\n\r\n    # no heading\r\n~~~\r\n\r\n| k | v |\r\n| --- | --- |\r\n| a & b | 日本 |\r\n\r\n> quoted\r\n\r\n***\r\n\r\n2 < 3 </main> *end*"
     )
     stored(spark, tmp_path, "stored_pages", [(1, "https://h/a", "T", page), (1, "https://h/a", "T", page), (2, "https://h/b", None, None)], STORED)
-    got = {r.page_no: r for r in catalogs.queries()["parsed_whole_pages"](spark, str(tmp_path)).collect()}
+    got = {r.page_no: r for r in catalogs.queries()["parsed_pages"](spark, str(tmp_path)).collect()}
     words = " ".join(f"слово{i}" for i in range(40))
     assert got[1].markdown == (
         f"## Page\n\n# Über `a_b`\n\n{words}\n\n- one **two**\n- three\n  - [inner](https://o/x)\n\n4. four\n\n```py\nif a < b:\n\n    # no heading\n```\n\n"
         "| k | v |\n| --- | --- |\n| a & b | 日本 |\n\n> quoted\n\n---\n\n2 < 3 </main> *end*\n\nEnd of **page**"
     )
-    assert got[1].links == "https://h/a#top https://h/root?q=1 https://o/x"
+    assert got[1].links == ["https://h/a#top", "https://h/root?q=1", "https://o/x"]
     assert got[2].markdown == "## Page\n\nEnd of **page**" and not got[2].missing
 
 
@@ -131,8 +131,8 @@ def test_all_documents_are_chunked(spark, tmp_path):
     docs += [(90, None), (91, " \n"), (92, "ПРОПИСНЫЕ"), (93, "short line"), (94, "語" * 5000), (95, "```\n" + "line\n\n" * 900)]
     stored(spark, tmp_path, "documents", docs, "doc_id bigint, text string")
     got = texts.queries()["document_chunks"](spark, str(tmp_path)).collect()
-    want = {(d, n, tuple(path), chunk) for d, text in docs if text for n, path, chunk in plain_chunks(text)}
-    assert {(x.doc_id, x.chunk_index, tuple(x.heading_path), x.markdown) for x in got} == want and len(got) == len(want)
+    want = {(d, n, " > ".join(path), chunk) for d, text in docs if text for n, path, chunk in plain_chunks(text)}
+    assert {(x.doc_id, x.chunk_index, x.headings, x.markdown) for x in got} == want and len(got) == len(want)
     assert {x.doc_id for x in got} == {d for d, _ in docs} - {90, 91}
 
 
@@ -140,9 +140,12 @@ def test_json_holds_whole_result_lists(spark, tmp_path):
     named = "query_no bigint, rank_no int, point_no bigint, vector_score double, dense_score double, sparse_score double, fusion_score double, reranker_score double"
     rows = [(q, n, 100 * q + n, 0.1 * n, 0.2, 1e-7, 0.0, None if n == 4 else 1.5, "s", None if n == 2 else "v1", f"https://h/{n}", None if n == 3 else 'a "t"', None if n == 5 else ["h", "日本"], f"<b>\n{n}") for q in (1, 2) for n in range(1, 7)]
     stored(spark, tmp_path, "search_results", [*rows, *rows[:3]], f"{named}, source_id string, version string, url string, title string, heading_path array<string>, markdown string")
-    got = {x.query_no: json.loads(x.json) for x in retrieval.queries()["whole_result_json"](spark, str(tmp_path)).collect()}
+    shown = retrieval.results(spark, str(tmp_path)).withColumnRenamed("rank_no", "rank")
+    got = {x.query_no: json.loads(x.json) for x in retrieval.s.result_json(shown.select("query_no", "rank", "point_no", *retrieval.s.RESULT_COLUMNS), "query_no").collect()}
     names = ["rank", "point_no", *retrieval.s.RESULT_COLUMNS]
     assert got == {q: {"results": [{k: v for k, v in zip(names, x[1:]) if v is not None} for x in rows if x[0] == q]} for q in (1, 2)}
+    back = retrieval.queries()["result_json"](spark, str(tmp_path)).collect()
+    assert {(x.query_no, x.rank, x.markdown, x.reranker_score) for x in back} == {(x[0], x[1], x[13], x[7]) for x in rows} and len(back) == len(rows)
 
 
 def test_late_and_repeated_pages_of_a_stream(spark, tmp_path):
@@ -171,5 +174,5 @@ def test_no_half_of_the_points_is_left_out_of_the_cache(spark, tmp_path):
     points = [(n, f"p{n:02}", h, T + timedelta(days=d or 0), None if d is None else [float(n)]) for n, h, d in rows]
     stored(spark, tmp_path, "chunks", [*points, points[0]], "point_no bigint, point_id string, input_hash string, crawled_at timestamp, dense_vector array<float>")
     known = retrieval.queries()
-    assert tuple(known["whole_embedding_cache"](spark, str(tmp_path)).first()) == (5, 1)
-    assert {x.input_hash for x in known["whole_cached_inputs"](spark, str(tmp_path)).collect()} == {"twice even", "twice odd", "three", "late vector"}
+    assert tuple(known["embedding_cache"](spark, str(tmp_path)).first()) == (5, 1)
+    assert {x.input_hash for x in known["cached_inputs"](spark, str(tmp_path)).collect()} == {"twice even", "twice odd", "three", "late vector"}
