@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 CHARS_PER_TOKEN = 4
 TOKEN_PATTERN = r"([\p{L}\p{N}][\p{L}\p{N}_.:/@-]*)"
 PART_SPLIT = r"[^\p{L}\p{Nd}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=[\p{L}\p{Nd}])(?=\p{Lu}\p{Ll})"
+UNDIVIDED = r"^[\p{Ll}\p{Lo}\p{Nd}]+$"
 FNV32_OFFSET = 2166136261
 FNV32_PRIME = 16777619
 
@@ -45,14 +46,17 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def lexical_tokens(text: Column) -> Column:
-    """Lower-cased tokens, each followed by those of its identifier parts that differ from it."""
+    """Lower-cased tokens, each followed by those of its identifier parts that differ from it.
+
+    A token of letters without case or in lower case and of digits has no parts and is taken as it is.
+    """
     found = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(1))
 
     def expand(token: Column) -> Column:
         whole = lowered(token)
         parts = F.transform(F.split(token, PART_SPLIT), lowered)
         kept = F.filter(parts, lambda p: (F.octet_length(p) > 1) & (p != whole))
-        return F.concat(F.array(whole), kept)
+        return F.when(F.rlike(token, F.lit(UNDIVIDED)), F.array(token)).otherwise(F.concat(F.array(whole), kept))
 
     return F.flatten(F.transform(found, expand))
 
