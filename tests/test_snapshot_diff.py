@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from folioscope.operators.snapshot_diff import page_changes
+from folioscope.operators.snapshot_diff import KeptSnapshots, page_changes
 
 PAGES = "manifest_no int, source_id string, url string, content_hash string, crawled_at timestamp, loaded_at timestamp, position int"
 CRAWLS = "manifest_no int, source_id string, version string, snapshot_seq int, complete boolean, url string"
@@ -32,3 +32,23 @@ def test_empty_and_empty_crawl(spark):
     assert run(spark, [], []) == []
     crawls = [(1, "s", None, 1, True, ""), (2, "s", None, 2, True, ""), (3, "s", None, 3, True, "")]
     assert run(spark, [(1, "https://h/a", "aa", 0), (3, "https://h/a", "aa", 0)], crawls) == [(2, "https://h/a", "removed"), (3, "https://h/a", "added")]
+
+
+def test_kept_snapshots(spark, tmp_path):
+    schema = "sku string, part int, price double, name string"
+    days = [
+        [("a", 1, 1.0, "x"), ("b", 1, 2.0, None), ("c", 1, 3.0, "z"), ("d", 1, 4.0, "d"), (None, 1, 1.0, "n")],
+        [("a", 1, 1.0, "x"), ("b", 1, 2.5, "y"), ("c", 2, 3.0, "z"), ("d", 1, 5.0, "e"), ("d", 1, 5.0, "e")],
+        [("c", 2, None, "z"), ("a", 1, 1.0, "new")],
+    ]
+    kept = KeptSnapshots(spark, f"file://{tmp_path}/history", ["sku", "part"], ["price", "name"])
+    for n, rows in enumerate(days):
+        kept.keep(spark.createDataFrame(rows, schema), 10 * (n + 1))
+    got = [sorted((r.sku, r.part, r.diff_kind, r.changed_columns) for r in kept.changes(n).collect()) for n in kept.numbers()]
+    assert got[0] == []
+    assert got[1] == [("b", 1, "changed", ["price"]), ("c", 1, "removed", []), ("c", 2, "added", []), ("d", 1, "changed", ["price", "name"])]
+    assert got[2] == [("a", 1, "changed", ["name"]), ("b", 1, "removed", []), ("d", 1, "removed", [])]
+    kept.keep(spark.createDataFrame([], schema), 30)
+    assert {r.diff_kind for r in kept.changes(30).collect()} == {"removed"} and kept.numbers() == [10, 20, 30]
+    names = kept.changes(20).inputFiles()
+    assert names and not any("snapshot%3D30" in n or "snapshot=30" in n for n in names)
