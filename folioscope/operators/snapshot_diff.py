@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.urls import canonical_url
+from folioscope.session import materialize
 from folioscope.sources.files import Files
 
 
@@ -135,8 +136,9 @@ def page_changes(page_snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
     pages = page_snapshots.where("url is not null and url <> ''").select(
         "manifest_no", canonical_url(F.col("url")).alias("url"), hex_digits(F.col("content_hash")).alias("hash"), "crawled_at", "loaded_at"
     )
+    # The range partition samples its input before it moves it: the URLs' canonical forms are made once.
     merged = consecutive_snapshots(
-        pages.join(complete_crawls(manifests), "manifest_no"),
+        materialize(pages.join(complete_crawls(manifests), "manifest_no"), "listings"),
         "series_no", "position", ["url"], ["hash"],
         [F.col(c).desc_nulls_last() for c in ("crawled_at", "loaded_at", "hash")],
         ["manifest_no", "next_no"],
