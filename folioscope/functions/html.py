@@ -13,6 +13,8 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folioscope.functions.batches import small_batches
+
 # Element kinds of HTML, and the leading bytes by which a body without a useful type is judged.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -342,9 +344,9 @@ def parse_pages(pages: DataFrame, keys: list[str], url: str, page: str, selector
         parse_selector(selector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.to_pydict()
-            parsed = [parse_page(u or "", p or "", selectors) for u, p in zip(own["_url"], own["_page"])]
+        for batch in small_batches(batches, "_page"):
+            urls, texts = (batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("_url", "_page"))
+            parsed = [parse_page(u or "", p or "", selectors) for u, p in zip(urls, texts)]
             kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("_url", "_page")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(parsed, PAGE)], [*keys, "_p"])
 

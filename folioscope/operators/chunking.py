@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.batches import small_batches
+
 # Fixed values of the chunk rules.
 DEFAULT_MAX_TOKENS = 800
 DEFAULT_OVERLAP_TOKENS = 100
@@ -64,7 +66,7 @@ def document_blocks(df: DataFrame, keys: list[str], markdown: str) -> DataFrame:
     """A row per block: the keys, block_no (from 0), block, heading_path. Null and blank texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "_text"):
             found = [[{"block": b, "heading_path": path} for b, path in blocks(t)] if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(BLOCK))], [*keys, "_blocks"])
 
@@ -142,7 +144,7 @@ def chunk_documents(df: DataFrame, keys: list[str], markdown: str, max_tokens: i
     check_sizes(max_tokens, overlap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "_text"):
             texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
             chunks = pa.array([split_markdown(t, max_tokens, overlap) if t else [] for t in texts], pa.list_(CHUNK))
             kept = [i for i, name in enumerate(batch.schema.names) if name != "_text"]

@@ -13,13 +13,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import urljoin, urlsplit
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.batches import small_batches
 from folioscope.functions.html import decode, is_html, media_type, parse_page, parse_selector
 from folioscope.functions.ids import artifact_document_id, content_hash, document_filename
 from folioscope.functions.urls import canonical_url, in_scope
@@ -225,17 +224,6 @@ def table_fetch(pages: DataFrame) -> Fetch:
     return fetch
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut between rows, so that a slice has about ``most_bytes`` of ``column`` or is one row."""
-    for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), np.int64)
-        start = 0
-        while start < batch.num_rows:
-            take = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most_bytes, "right")))
-            yield batch.slice(start, take)
-            start += take
-
-
 def parse_fetched(fetched: DataFrame, selectors: list[str]) -> DataFrame:
     """Media type, charset, and for HTML pages of status 2xx the parsed page."""
 

@@ -1,8 +1,10 @@
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscope.functions import ids, text
+from folioscope.functions.batches import small_batches
 from folioscope.functions.urls import canonical_url, in_scope
 
 
@@ -87,3 +89,9 @@ def test_embedding_text(spark):
     df = spark.createDataFrame([("T", ["a", "b"], "u", "m"), (None, None, "", None)], "t string, h array<string>, u string, m string")
     got = [r[0] for r in df.select(text.embedding_text(F.col("t"), F.col("h"), F.col("u"), F.col("m"))).collect()]
     assert got == ["Title: T\nHeadings: a > b\nURL: u\nContent:\nm", "Content:\n"]
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aaaa", None, "bb", "c" * 50, "", "d"])], ["n", "text"])
+    got = [b.column(0).to_pylist() for b in small_batches(iter([batch, batch.slice(0, 0)]), "text", 8)]
+    assert got == [[0, 1, 2], [3, 4], [5]] or got == [[0, 1, 2], [3], [4, 5]]
