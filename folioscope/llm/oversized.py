@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.batches import small_batches
 from folioscope.functions.text import token_estimate
 from folioscope.operators.chunking import DEFAULT_MAX_TOKENS, WHITE, block_spans, chunk_sizes, estimate
 
@@ -145,11 +146,10 @@ def split_arrays(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100).to_pydict()
-                pieces = [split_oversized(*row) for row in zip(part["markdown"], part["heading_path"], part["limit"], part["overlap"])]
-                yield pa.RecordBatch.from_arrays([pa.array(part["point_no"], pa.int64()), pa.array(pieces, pa.list_(PIECE))], ["point_no", "pieces"])
+        for batch in small_batches(batches, "markdown", 1 << 20):
+            part = batch.to_pydict()
+            pieces = [split_oversized(*row) for row in zip(part["markdown"], part["heading_path"], part["limit"], part["overlap"])]
+            yield pa.RecordBatch.from_arrays([pa.array(part["point_no"], pa.int64()), pa.array(pieces, pa.list_(PIECE))], ["point_no", "pieces"])
 
     return large.mapInArrow(run, f"point_no bigint, pieces {PIECES}")
 

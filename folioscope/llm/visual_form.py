@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.batches import small_batches
 from folioscope.session import materialize
 
 # Letters and hyphens that are drawn alike, as pairs of (drawn alike, its form here): Cyrillic small and
@@ -212,11 +213,9 @@ def _mapped(df: DataFrame, key: str, text: str, schema: str, build) -> DataFrame
     picked = df.select(df[key].alias("key"), df[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                yield build(part.column(part.schema.get_field_index("key")), texts, visual_forms(texts))
+        for part in small_batches(batches, "text", 2 << 20):
+            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            yield build(part.column(part.schema.get_field_index("key")), texts, visual_forms(texts))
 
     kind = picked.schema["key"].dataType.simpleString()
     return picked.mapInArrow(run, f"key {kind}, {schema}")
