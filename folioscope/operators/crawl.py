@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioscope.functions.batches import small_batches
 from folioscope.functions.html import decode, is_html, media_type, parse_page, parse_selector
@@ -197,7 +198,8 @@ def http_fetch(settings: CrawlSettings, allowed: Callable[[str], bool], opener:
 def table_fetch(pages: DataFrame) -> Fetch:
     """Pages from a table: url, status, content_type, body (string or binary), redirect_to (null: none), without a network.
 
-    Redirects are followed in joins, at most ten; a URL the table lacks has status 404.
+    Redirects are followed once for the whole table, in joins of the redirecting rows, at most ten; so a level of a crawl
+    is one join. A URL the table lacks has status 404.
     """
     known = materialize(
         pages.select(
@@ -205,21 +207,35 @@ def table_fetch(pages: DataFrame) -> Fetch:
         ),
         "pages",
     )
+    hop = F.array(F.struct(F.col("at").alias("url"), F.coalesce("status", F.lit(302)).alias("status"), F.col("redirect_to").alias("target")))
+    moves = known.where("redirect_to is not null").select(F.col("at").alias("from"), F.col("redirect_to").alias("to"), hop.cast("array<struct<url:string,status:int,target:string>>").alias("hop"))
+    walked = moves.select(F.col("from").alias("requested"), F.col("to").alias("at"), F.col("hop").alias("hops"))
+    for _ in range(MAX_REDIRECTS - 1):
+        further = walked.join(moves, F.col("at") == F.col("from"), "left")
+        walked, before = materialize(further.select("requested", F.coalesce("to", "at").alias("at"), F.when(F.col("to").isNotNull(), F.concat("hops", "hop")).otherwise(F.col("hops")).alias("hops"), F.col("to").isNotNull().alias("moved")), "redirects"), walked
+        discard(before)
+        still = not walked.where("moved").isEmpty()
+        walked = walked.drop("moved")
+        if not still:
+            break
+    own = known.where("redirect_to is null").select("at", "status", "content_type", "body")
+    lost = walked.join(moves, F.col("at") == F.col("from"), "left_semi").select(
+        "requested", F.col("at").alias("final_url"), F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("binary").alias("body"), "hops",
+        F.lit("too many redirects").alias("error"),
+    )
+    ended = walked.join(moves, F.col("at") == F.col("from"), "left_anti").join(own, "at", "left")
+    none = F.lit(None).cast("string")
+    direct = own.select(F.col("at").alias("requested"), F.col("at").alias("final_url"), "status", "content_type", "body", F.array().cast("array<struct<url:string,status:int,target:string>>").alias("hops"), none.alias("error"))
+    moved = ended.select("requested", F.col("at").alias("final_url"), F.coalesce("status", F.lit(404)).alias("status"), "content_type", "body", "hops", none.alias("error"))
+    answers = materialize(direct.unionByName(moved).unionByName(lost), "answers")
+    discard(known)
 
     def fetch(frontier: DataFrame) -> DataFrame:
-        at = frontier.select(F.col("url").alias("requested"), F.col("url").alias("at"), F.array().cast("array<struct<url:string,status:int,target:string>>").alias("hops"))
-        none = lambda kind: F.lit(None).cast(kind)
-        done: list[DataFrame] = []
-        for _ in range(MAX_REDIRECTS + 1):
-            met = materialize(at.join(known, "at", "left"), "fetched")
-            done.append(met.where("redirect_to is null").select("requested", F.col("at").alias("final_url"), F.coalesce("status", F.lit(404)).alias("status"), "content_type", "body", "hops", none("string").alias("error")))
-            moved = met.where("redirect_to is not null")
-            if moved.isEmpty():
-                return reduce(DataFrame.unionByName, done)
-            hop = F.struct(F.col("at").alias("url"), F.coalesce("status", F.lit(302)).alias("status"), F.col("redirect_to").alias("target"))
-            at = moved.select("requested", F.col("redirect_to").alias("at"), F.concat("hops", F.array(hop)).alias("hops"))
-        lost = at.select("requested", F.col("at").alias("final_url"), none("int").alias("status"), none("string").alias("content_type"), none("binary").alias("body"), "hops", F.lit("too many redirects").alias("error"))
-        return reduce(DataFrame.unionByName, [*done, lost])
+        met = frontier.select(F.col("url").alias("requested")).join(answers.withColumn("there", F.lit(True)), "requested", "left")
+        return met.select(
+            "requested", F.coalesce("final_url", "requested").alias("final_url"), F.when(F.col("there"), F.col("status")).otherwise(404).alias("status"), "content_type", "body",
+            F.coalesce("hops", F.array().cast("array<struct<url:string,status:int,target:string>>")).alias("hops"), "error",
+        )
 
     return fetch
 
@@ -261,18 +277,26 @@ def percent_done(processed: int, discovered: int) -> int:
     return 100 if discovered <= 0 else processed * 10 // discovered * 10
 
 
-class Seen:
-    """The URLs a crawl must not fetch again, in the shared folder: every level is appended once, none is written again."""
+class Grown:
+    """A table in the shared folder that grows by one part at a time; no part is written again."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{checkpoint_folder(spark)}/seen-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema, self.columns, self.parts = spark, schema, StructType.fromDDL(schema).names, 0
+        self.path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
         delete_on_exit(spark, self.path)
 
-    def add(self, urls: DataFrame) -> None:
-        urls.select("url").write.mode("append").parquet(self.path)
+    def add(self, rows: DataFrame) -> DataFrame:
+        """The part as it was written."""
+        path = f"{self.path}/level={self.parts}"
+        self.parts += 1
+        rows.select(*self.columns).write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
 
-    def urls(self) -> DataFrame:
-        return self.spark.read.schema("url string").parquet(self.path)
+    def whole(self) -> DataFrame:
+        """All parts, with the number ``level`` of each."""
+        if not self.parts:
+            return self.spark.createDataFrame([], f"{self.schema}, level int")
+        return self.spark.read.schema(f"{self.schema}, level int").parquet(self.path)
 
 
 def crawl(
@@ -301,18 +325,19 @@ def crawl(
     if outside or not seed.startswith(("http://", "https://")):
         raise ValueError(f"not in the scope of {spec.seed_url}: {outside}")
     known = (spark.createDataFrame([], "url string") if known is None else known.select("url")).distinct()
-    seen, levels, processed, step, stopped = Seen(spark), [], 0, 0, ""
+    seen, levels = Grown(spark, "seen", "url string"), Grown(spark, "level", PARSED)
+    processed, step, stopped = 0, 0, ""
     seen.add(known)
     try:
         while not frontier.isEmpty():
             fetched = parse_fetched(fetch(frontier), spec.selectors()).withColumn("final_url", canonical_url(F.col("final_url")))
-            levels.append(materialize(fetched.withColumn("level", F.lit(len(levels))), "level"))
-            seen.add(levels[-1].select(F.explode(F.array("requested", "final_url")).alias("url")).distinct())
-            to = link_targets(levels[-1], seed).where("ok").select("url").distinct()
-            frontier, done = materialize(to.join(seen.urls(), "url", "left_anti"), "frontier"), frontier
+            level = levels.add(fetched)
+            seen.add(level.select(F.explode(F.array("requested", "final_url")).alias("url")).distinct())
+            to = link_targets(level, seed).where("ok").select("url").distinct()
+            frontier, done = materialize(to.join(seen.whole().select("url"), "url", "left_anti"), "frontier"), frontier
             discard(done)
             if progress:
-                processed += levels[-1].count()
+                processed += level.count()
                 discovered = processed + frontier.count()
                 reached = percent_done(processed, discovered)
                 if reached > 0 and reached != step:
@@ -323,7 +348,7 @@ def crawl(
                 break
     except KeyboardInterrupt:
         stopped = "interrupted"
-    parsed = reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], f"{PARSED}, level int")
+    parsed = levels.whole()
     documents = materialize(crawled_documents(parsed, spec, known, crawled_at), "documents")
     happened = crawl_events(parsed, seed, known)
     if stopped:
@@ -428,18 +453,10 @@ def reachable(links: DataFrame, seeds: DataFrame, source: str = "src", target: s
 
     The levels are appended to one table, which is the result.
     """
-    spark = links.sparkSession
-    path = f"{checkpoint_folder(spark)}/reached-{uuid.uuid4().hex}"
-    delete_on_exit(spark, path)
     edges = links.select(F.col(source).alias("url"), F.col(target).alias("next"))
-    frontier, level = materialize(seeds.select(F.col("url")).distinct().withColumn("level", F.lit(0)), "frontier"), 0
-    schema = frontier.schema
-    frontier.write.mode("append").parquet(path)
-    while not frontier.isEmpty() and (max_levels is None or level < max_levels):
-        level += 1
-        seen = spark.read.schema(schema).parquet(path)
-        after = frontier.join(edges, "url").select(F.col("next").alias("url")).where("url is not null").distinct().join(seen, "url", "left_anti")
-        frontier, done = materialize(after.withColumn("level", F.lit(level)), "frontier"), frontier
-        discard(done)
-        frontier.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    reached = Grown(links.sparkSession, "reached", f"url {seeds.schema['url'].dataType.simpleString()}")
+    frontier = reached.add(seeds.select("url").distinct())
+    while not frontier.isEmpty() and (max_levels is None or reached.parts <= max_levels):
+        after = frontier.join(edges, "url").select(F.col("next").alias("url")).where("url is not null").distinct()
+        frontier = reached.add(after.join(reached.whole().select("url"), "url", "left_anti"))
+    return reached.whole()

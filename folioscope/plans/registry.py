@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import catalogs, retrieval, snapshots, texts
+from folioscope.plans import catalogs, retrieval, sites, snapshots, texts
 
 FLAGSHIP = "hybrid_search"
-MODULES = (snapshots, texts, retrieval, catalogs)
+MODULES = (snapshots, texts, retrieval, catalogs, sites)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -217,3 +217,13 @@ def test_steps_are_deleted(spark, tmp_path, monkeypatch):
     discard(kept)
     discard(kept, spark.range(1))
     assert not list(tmp_path.iterdir())
+
+
+def test_chains_and_circles_of_redirects(spark):
+    moves = [(f"/r{i}", 301, None, None, f"/r{i + 1}") for i in range(12)] + [("/r12", 200, "text/html", page([]), None), ("/x", 302, None, None, "/y"), ("/y", 302, None, None, "/x"), ("/gone", 302, None, None, "/nowhere")]
+    fetch = site(spark, moves)
+    asked = spark.createDataFrame([(SEED + u,) for u in ("/r2", "/r1", "/x", "/gone", "/none", "/r12")], "url string")
+    got = {r.requested.removeprefix(SEED): (r.final_url.removeprefix(SEED), r.status, len(r.hops), r.error) for r in fetch(asked).collect()}
+    assert got["/r2"] == ("/r12", 200, 10, None) and got["/r12"] == ("/r12", 200, 0, None) and got["/none"] == ("/none", 404, 0, None)
+    assert got["/gone"] == ("/nowhere", 404, 1, None)
+    assert got["/r1"][3] == got["/x"][3] == "too many redirects"
