@@ -32,7 +32,7 @@ def site(spark, sf_dir, repaired: bool = False) -> DataFrame:
     kind = no % 12
     url = lambda n: F.concat(F.lit(f"{ROOT}/p"), n.cast("string"))
     link = lambda to: F.concat(F.lit("<a href='"), to, F.lit("'>x</a>"))
-    links = F.concat(*(link(url(no * 5 + i)) for i in range(4)), link(F.concat(F.lit("p"), (no * 5 + 4).cast("string"))), link(F.concat(url(F.floor(no / 2)), F.lit("#top"))), link(F.concat(F.lit("//other.example/x"), (no % 7).cast("string"))))
+    links = F.concat(*(link(url(no * 5 + i)) for i in range(4)), link(F.concat(F.lit("p"), (no * 5 + 4).cast("string"))), link(F.concat(url(F.floor(no / 5)), F.lit("#top"))), link(F.concat(F.lit("//other.example/x"), (no % 7).cast("string"))))
     inner = F.concat(F.lit("<h1>Page "), no.cast("string"), F.lit("</h1><p>word"), no.cast("string"), F.lit("</p>"))
     gone = F.lit(False) if repaired else kind == 11
     empty = F.lit(False) if repaired else kind == 5
@@ -118,7 +118,7 @@ levels AS (
   UNION ALL
   SELECT level + 1, next, list_distinct(list_concat(seen, list_concat(next, list_transform(next, lambda x: {final})))) FROM (
     SELECT level, seen, n.all_nos, list_distinct(list_filter(flatten(list_transform(list_transform(frontier, lambda x: {final}), lambda f:
-      CASE WHEN NOT {there('f')} OR f % 12 IN (0, 7 {gone}) THEN [] WHEN f % 12 = 9 THEN [f + 1] ELSE [f * 5, f * 5 + 1, f * 5 + 2, f * 5 + 3, f * 5 + 4, f // 2] END)), lambda x: NOT list_contains(seen, x))) AS next
+      CASE WHEN NOT {there('f')} OR f % 12 IN (0, 7 {gone}) THEN [] WHEN f % 12 = 9 THEN [f + 1] ELSE [f * 5, f * 5 + 1, f * 5 + 2, f * 5 + 3, f * 5 + 4, f // 5] END)), lambda x: NOT list_contains(seen, x))) AS next
     FROM levels, n WHERE len(frontier) > 0) n
 ), asked AS (
   SELECT level, x AS asked_no, {final} AS no, '{ROOT}/p' || x AS requested FROM (SELECT level, unnest(frontier) AS x FROM levels), n
